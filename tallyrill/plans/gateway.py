@@ -41,23 +41,24 @@ def p5_features(spark: SparkSession, folder: str) -> DataFrame:
     return wide.withColumn("last_at", F.timestamp_micros(F.expr("last_at div 1000"))).withColumnRenamed("n_events", "n_lines")
 
 
-_LINES = """WITH lines AS (SELECT DISTINCT session_id, line_no,
+_LINE_ROWS = """(SELECT DISTINCT session_id, line_no,
   regexp_replace(lower(coalesce(server_name, '')), '[^a-z0-9]', '', 'g') AS server_key,
   regexp_replace(lower(regexp_replace(coalesce(tool_name, ''), '^.*__', '', 's')), '[^a-z0-9]', '', 'g') AS tool_key,
   lower(trim(coalesce(pattern_name, ''))) AS pattern, lower(trim(coalesce(severity, ''))) AS severity,
   CASE WHEN lower(trim(coalesce(verdict, ''))) = 'block' THEN 1 ELSE 0 END AS blocked,
   CAST(CAST(regexp_replace(timestamp, '([.][0-9]{6})[0-9]+', '\\1') AS TIMESTAMPTZ) AS TIMESTAMP) AS line_at
-  FROM gateway_log WHERE session_id IS NOT NULL AND line_no IS NOT NULL)
-"""
+  FROM gateway_log WHERE session_id IS NOT NULL AND line_no IS NOT NULL)"""
+
+_LINES = f"WITH lines AS {_LINE_ROWS}\n"
 
 QUERIES = {"p3_found": p3_found, "p3_profile": p3_profile, "p5_features": p5_features}
 
 SQL = {
     "p3_found": _LINES + ", both_keys AS (SELECT * FROM lines WHERE server_key <> '' AND tool_key <> '') SELECT server_key, tool_key FROM both_keys GROUP BY ALL HAVING count(*) * 100 >= (SELECT count(*) FROM both_keys)",
-    "p5_features": _LINES
-    + """, typed AS (SELECT server_key, 'pattern__' || pattern AS kind FROM lines WHERE pattern <> '' UNION ALL SELECT server_key, 'severity__' || severity FROM lines WHERE severity <> ''
-         UNION ALL SELECT server_key, 'n_lines' FROM lines),
-       wide AS (PIVOT typed ON kind USING count(*) GROUP BY server_key)
-  SELECT wide.*, last_at FROM wide JOIN (SELECT server_key, max(line_at) AS last_at FROM lines GROUP BY ALL) USING (server_key)""",
+    "p5_features": f"""SELECT wide.*, last_at FROM (PIVOT (
+    SELECT server_key, 'pattern__' || pattern AS kind FROM {_LINE_ROWS} WHERE pattern <> ''
+    UNION ALL SELECT server_key, 'severity__' || severity FROM {_LINE_ROWS} WHERE severity <> ''
+    UNION ALL SELECT server_key, 'n_lines' FROM {_LINE_ROWS}) ON kind USING count(*) GROUP BY server_key) AS wide
+  JOIN (SELECT server_key, max(line_at) AS last_at FROM {_LINE_ROWS} GROUP BY ALL) USING (server_key)""",
     "p3_profile": _LINES + "SELECT server_key, tool_key, count(*) AS n_lines, CAST(sum(blocked) AS BIGINT) AS n_blocked, min(line_at) AS first_at, max(line_at) AS last_at FROM lines WHERE server_key <> '' AND tool_key <> '' GROUP BY ALL",
 }
