@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyrill.plans import gateway
+from tallyrill.plans import checkins, gateway
 
-MODULES = (gateway,)
+MODULES = (gateway, checkins)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,0 +1,75 @@
+"""Queries over check-ins: what changed between a machine's snapshots (p7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyrill.operators.snapshots import snapshot_changes
+from tallyrill.session import table
+
+#: Seconds of a block of a machine's history.
+HISTORY_BLOCK_S = 90 * 24 * 3600
+
+
+def platform(value: Column | str) -> Column:
+    """Letters only, lower case, then the two known platforms as they are written; null reads as empty."""
+    letters = F.lower(F.regexp_replace(F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit("")), "[^A-Za-z]", ""))
+    return F.when(letters == "claudecode", "claude_code").when(letters == "claudedesktop", "claude_desktop").otherwise(letters)
+
+
+def with_machine(checkins: DataFrame) -> DataFrame:
+    """Check-ins with ``machine``: the hostname, which never changes and is never shared; where it is missing, the
+    hostname seen with the machine_id, else the machine_id itself. Rows with neither are dropped."""
+    named = checkins.where(F.col("hostname").isNotNull())
+    nameless = checkins.where(F.col("hostname").isNull() & F.col("machine_id").isNotNull())
+    seen = named.where(F.col("machine_id").isNotNull()).groupBy("machine_id").agg(F.min("hostname").alias("_host"))
+    found = nameless.join(seen, "machine_id", "left").withColumn("machine", F.coalesce("_host", F.concat(F.lit("id:"), "machine_id"))).drop("_host")
+    return named.withColumn("machine", F.col("hostname")).unionByName(found)
+
+
+def _kind(checkins: DataFrame, column: str, kind: str, values: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Snapshots of one list, each (machine, kind) a source, and their items. Of copies of a snapshot the smallest
+    checkin_id counts, whatever its list holds, so copies are found before null lists are passed over."""
+    flag = F.col(column).isNotNull()
+    copies = checkins.where("machine is not null and checked_in_at is not null").groupBy("machine", "checked_in_at").agg(F.min(F.struct("checkin_id", flag.alias("given"))).alias("kept"))
+    snapshots = copies.where("kept.given").select(F.concat_ws("/", F.lit(kind), "machine").alias("source"), F.col("checked_in_at").alias("taken_at"), F.col("kept.checkin_id").alias("snapshot_id"))
+    each = checkins.select("checkin_id", F.explode(column).alias("i")).where("i is not null")
+    items = each.select(F.col("checkin_id").alias("snapshot_id"), F.lit(kind).alias("item_kind"), F.trim(F.coalesce("i.name", F.lit(""))).alias("name"), F.coalesce("i.source", F.lit("")).alias("source"), platform("i.platform").alias("platform"), *values)
+    return snapshots, items
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every skill and server added, removed or changed from one check-in of a machine to its next."""
+    checkins = with_machine(table(spark, folder, "checkins"))
+    skills, skill_items = _kind(checkins, "installed_skills", "skill", [F.lower(F.coalesce("i.hash", F.lit(""))).alias("one"), F.lit("").alias("two")])
+    servers, server_items = _kind(checkins, "installed_mcp_servers", "server", [F.coalesce("i.type", F.lit("")).alias("one"), F.coalesce("i.command", F.lit("")).alias("two")])
+    block = F.floor(F.unix_seconds("taken_at") / HISTORY_BLOCK_S)
+    key, values = ["item_kind", "name", "source", "platform"], ["one", "two"]
+    # a check-in holds one snapshot of each kind, so snapshots are told apart by 2 * checkin_id + kind
+    both = [x.withColumn("snapshot_id", F.col("snapshot_id") * 2 + n) for n, pair in enumerate([(skills, skill_items), (servers, server_items)]) for x in pair]
+    changes = snapshot_changes(both[0].unionByName(both[2]), both[1].unionByName(both[3]), key, values, block)
+    return changes.select(F.expr("snapshot_id div 2").alias("checkin_id"), *key, "change")
+
+
+_ITEM = """trim(coalesce(i.name, '')) AS name, coalesce(i.source, '') AS source,
+  CASE lower(regexp_replace(coalesce(i.platform, ''), '[^A-Za-z]', '', 'g')) WHEN 'claudecode' THEN 'claude_code' WHEN 'claudedesktop' THEN 'claude_desktop'
+    ELSE lower(regexp_replace(coalesce(i.platform, ''), '[^A-Za-z]', '', 'g')) END AS platform"""
+
+QUERIES = {"p7_found": p7_found}
+
+SQL = {
+    "p7_found": f"""WITH snaps AS (SELECT coalesce(hostname, machine_id) AS machine, checked_in_at, min(checkin_id) AS checkin_id FROM checkins GROUP BY ALL),
+  kept AS (SELECT machine, c.* FROM snaps JOIN checkins c USING (checkin_id)),
+  chains AS (SELECT 'skill' AS item_kind, machine, checkin_id, row_number() OVER w AS pos, lead(checkin_id) OVER w AS next_id FROM kept WHERE installed_skills IS NOT NULL WINDOW w AS (PARTITION BY machine ORDER BY checked_in_at)
+    UNION ALL SELECT 'server', machine, checkin_id, row_number() OVER w, lead(checkin_id) OVER w FROM kept WHERE installed_mcp_servers IS NOT NULL WINDOW w AS (PARTITION BY machine ORDER BY checked_in_at)),
+  raw AS (SELECT 'skill' AS item_kind, checkin_id, {_ITEM}, lower(coalesce(i.hash, '')) AS v FROM (SELECT checkin_id, unnest(installed_skills) AS i FROM kept) WHERE i IS NOT NULL
+    UNION ALL SELECT 'server', checkin_id, {_ITEM}, coalesce(i.type, '') || '|' || coalesce(i.command, '') FROM (SELECT checkin_id, unnest(installed_mcp_servers) AS i FROM kept) WHERE i IS NOT NULL),
+  items AS (SELECT item_kind, machine, pos, checkin_id, next_id, name, source, platform, string_agg(DISTINCT v, '~' ORDER BY v) AS v FROM raw JOIN chains USING (item_kind, checkin_id) GROUP BY ALL)
+  SELECT a.checkin_id, a.item_kind, a.name, a.source, a.platform, CASE WHEN b.v IS NULL THEN 'added' ELSE 'changed' END AS change
+  FROM items a LEFT JOIN items b ON a.item_kind = b.item_kind AND a.machine = b.machine AND a.pos = b.pos + 1 AND a.name = b.name AND a.source = b.source AND a.platform = b.platform
+  WHERE a.pos > 1 AND a.v IS DISTINCT FROM b.v
+  UNION ALL SELECT a.next_id, a.item_kind, a.name, a.source, a.platform, 'removed'
+  FROM items a LEFT JOIN items b ON a.item_kind = b.item_kind AND a.machine = b.machine AND a.pos = b.pos - 1 AND a.name = b.name AND a.source = b.source AND a.platform = b.platform
+  WHERE a.next_id IS NOT NULL AND b.v IS NULL""",
+}
