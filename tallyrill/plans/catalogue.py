@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyrill.plans import checkins, gateway
+from tallyrill.plans import checkins, feeds, gateway
 
-MODULES = (gateway, checkins)
+MODULES = (gateway, checkins, feeds)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
