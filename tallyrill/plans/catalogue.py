@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyrill.plans import checkins, feeds, gateway
+from tallyrill.plans import checkins, feeds, gateway, scans
 
-MODULES = (gateway, checkins, feeds)
+MODULES = (gateway, checkins, feeds, scans)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
