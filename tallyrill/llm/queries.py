@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrill.functions import keys as K
+from tallyrill.llm.bpe import encode_texts
 from tallyrill.llm.runs import collapse_runs
 from tallyrill.session import table
 
@@ -30,6 +31,11 @@ def p1_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return _runs(spark, folder, 1).select("session_id", F.col("first_pos").alias("first_line"), F.col("last_pos").alias("last_line"), "n_events", F.col("duration").alias("duration_ns"))
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
+
+
 _P1 = """WITH lines AS (SELECT DISTINCT session_id, line_no,
   concat_ws('|', regexp_replace(lower(coalesce(event_type, '')), '^.*[.]', ''), regexp_replace(lower(coalesce(server_name, '')), '[^a-z0-9]', '', 'g'),
     regexp_replace(lower(regexp_replace(coalesce(tool_name, ''), '^.*__', '')), '[^a-z0-9]', '', 'g'),
@@ -42,7 +48,7 @@ numbered AS (SELECT *, sum(starts) OVER (PARTITION BY session_id ORDER BY line_n
 runs AS (SELECT session_id, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_events, max_by(ns, line_no) - min_by(ns, line_no) AS duration_ns FROM numbered GROUP BY session_id, run)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p8_ids": p8_ids}
 
 SQL = {
     "p1_found": _P1 + "SELECT session_id, first_line, last_line FROM runs WHERE n_events > 1",
