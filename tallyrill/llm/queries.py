@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyrill.functions import keys as K
 from tallyrill.llm.bpe import encode_texts
 from tallyrill.llm.leakage import find_leaks
+from tallyrill.llm.readability import reading_levels
 from tallyrill.llm.runs import collapse_runs
 from tallyrill.session import table
 
@@ -42,6 +43,11 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The reading level of every document whose running text is mainly English."""
+    return reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"), "doc_id", "text", "level")
+
+
 _P1 = """WITH lines AS (SELECT DISTINCT session_id, line_no,
   concat_ws('|', regexp_replace(lower(coalesce(event_type, '')), '^.*[.]', ''), regexp_replace(lower(coalesce(server_name, '')), '[^a-z0-9]', '', 'g'),
     regexp_replace(lower(regexp_replace(coalesce(tool_name, ''), '^.*__', '')), '[^a-z0-9]', '', 'g'),
@@ -54,7 +60,7 @@ numbered AS (SELECT *, sum(starts) OVER (PARTITION BY session_id ORDER BY line_n
 runs AS (SELECT session_id, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_events, max_by(ns, line_no) - min_by(ns, line_no) AS duration_ns FROM numbered GROUP BY session_id, run)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 SQL = {
     "p1_found": _P1 + "SELECT session_id, first_line, last_line FROM runs WHERE n_events > 1",
