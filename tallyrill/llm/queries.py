@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrill.functions import keys as K
 from tallyrill.llm.bpe import encode_texts
+from tallyrill.llm.credentials import find_in_files, find_in_values
 from tallyrill.llm.leakage import find_leaks
 from tallyrill.llm.readability import reading_levels
 from tallyrill.llm.runs import collapse_runs
@@ -33,6 +34,30 @@ def p1_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return _runs(spark, folder, 1).select("session_id", F.col("first_pos").alias("first_line"), F.col("last_pos").alias("last_line"), "n_events", F.col("duration").alias("duration_ns"))
 
 
+def _entry_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The named values of server entries: each env and header by its key, and the command without a name."""
+    entries = table(spark, folder, "server_entries")
+    maps = [entries.select("entry_id", F.lit(field).alias("field"), F.explode(field).alias("item", "value")) for field in ("env", "headers")]
+    return maps[0].unionByName(maps[1]).unionByName(entries.select("entry_id", F.lit("command").alias("field"), F.lit("").alias("item"), F.col("command").alias("value")))
+
+
+def p2_redacted_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Each value of a server entry that holds secrets, with these blanked."""
+    return find_in_values(_entry_values(spark, folder), ["entry_id", "field", "item"], "item", "value")
+
+
+def p2_redacted_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each config file that holds secrets: the lines where they begin, and the file with them blanked."""
+    return find_in_files(table(spark, folder, "config_files"), "file_id", "kind", "path", "content")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every place of a server entry or config file that holds a literal secret."""
+    entries = p2_redacted_entries(spark, folder).select(F.lit("server_entry").alias("record_kind"), F.col("entry_id").alias("record_id"), "field", "item")
+    files = p2_redacted_files(spark, folder).select(F.lit("config_file").alias("record_kind"), F.col("file_id").alias("record_id"), F.lit("content").alias("field"), F.explode(F.array_distinct("lines")).cast("string").alias("item"))
+    return entries.unionByName(files)
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document."""
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
@@ -60,7 +85,7 @@ numbered AS (SELECT *, sum(starts) OVER (PARTITION BY session_id ORDER BY line_n
 runs AS (SELECT session_id, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_events, max_by(ns, line_no) - min_by(ns, line_no) AS duration_ns FROM numbered GROUP BY session_id, run)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_redacted_entries": p2_redacted_entries, "p2_redacted_files": p2_redacted_files, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 SQL = {
     "p1_found": _P1 + "SELECT session_id, first_line, last_line FROM runs WHERE n_events > 1",
