@@ -54,7 +54,7 @@ def p2_redacted_files(spark: SparkSession, folder: str) -> DataFrame:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every place of a server entry or config file that holds a literal secret."""
     entries = p2_redacted_entries(spark, folder).select(F.lit("server_entry").alias("record_kind"), F.col("entry_id").alias("record_id"), "field", "item")
-    files = p2_redacted_files(spark, folder).select(F.lit("config_file").alias("record_kind"), F.col("file_id").alias("record_id"), F.lit("content").alias("field"), F.explode(F.array_distinct("lines")).cast("string").alias("item"))
+    files = p2_redacted_files(spark, folder).select(F.lit("config_file").alias("record_kind"), F.col("file_id").alias("record_id"), F.lit("content").alias("field"), F.explode(F.transform(F.array_distinct("lines"), lambda x: x.cast("string"))).alias("item"))
     return entries.unionByName(files)
 
 
