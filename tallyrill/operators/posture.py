@@ -1,0 +1,153 @@
+"""Posture of a host from its state documents: values at any depth, checks, score and grade."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from tallyrill.functions import servers as S
+
+# Points that a failed check costs, grades by score, and the depth to which documents are searched.
+POINTS = {"critical": 20, "high": 12, "medium": 6, "low": 3}
+GRADES = ((90, "A"), (75, "B"), (60, "C"), (40, "D"))
+DEEPEST = 12
+REDACTED = "[REDACTED]"
+SECRET_TEXT_TERMS = ("bearer ", "sk-", "ghp_", "xoxb-", "-----begin")
+
+
+def find_values(docs: DataFrame, doc_id: str, text: str, keys: Sequence[str], deepest: int = DEEPEST) -> DataFrame:
+    """(doc_id, key, value) of every value that stands under one of the keys at any depth; value is its JSON text.
+
+    Documents are opened level by level with the variant reader: a level's containers are the next one's input. A text
+    that is no JSON has no values."""
+    spark = docs.sparkSession
+    level = docs.select(F.col(doc_id).alias("_id"), F.try_parse_json(text).alias("_v")).where("_v is not null")
+    found = []
+    for _ in range(deepest + 1):
+        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select("_id", "key", "value")
+        found.append(opened.where(F.col("key").isin(list(keys))).select(F.col("_id").alias(doc_id), "key", F.to_json("value").alias("value")))
+        level = opened.where(F.schema_of_variant("value").rlike("^(?:OBJECT|ARRAY)")).select("_id", F.col("value").alias("_v"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@F.pandas_udf(StringType())
+def values_under(text: pd.Series, key: pd.Series) -> pd.Series:
+    """As ``find_values`` for one key within a row: a JSON array of the values, in one pass over the document."""
+
+    def walk(value: object, wanted: str, depth: int, out: list) -> list:
+        if depth > DEEPEST:
+            return out
+        if isinstance(value, dict):
+            for k, v in value.items():
+                if k == wanted:
+                    out.append(v)
+                walk(v, wanted, depth + 1, out)
+        elif isinstance(value, list):
+            for v in value:
+                walk(v, wanted, depth + 1, out)
+        return out
+
+    def one(t: str | None, k: str) -> str:
+        try:
+            return json.dumps(walk(json.loads(t), k, 0, [])) if t else "[]"
+        except ValueError:
+            return "[]"
+
+    return pd.Series([one(t, k) for t, k in zip(text, key)])
+
+
+def _redact(value: object, key: str = "") -> object:
+    if any(term in key.lower() for term in S.SENSITIVE_KEY_TERMS):
+        return REDACTED
+    if isinstance(value, dict):
+        return {k: _redact(v, k) for k, v in sorted(value.items())}
+    if isinstance(value, list):
+        return [_redact(v) for v in value[:20]]
+    if isinstance(value, str):
+        if any(term in value.lower() for term in SECRET_TEXT_TERMS):
+            return REDACTED
+        raw = value.encode()
+        return raw[:256].decode("utf-8", "ignore") + "..." if len(raw) > 256 else value
+    return value
+
+
+@F.pandas_udf(StringType())
+def redacted_json(text: pd.Series) -> pd.Series:
+    """A document with sensitive keys and texts blanked, lists cut to 20 and texts to 256 bytes; null if it is no JSON."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return json.dumps(_redact(json.loads(t)), separators=(",", ":"), sort_keys=True) if t else None
+        except ValueError:
+            return None
+
+    return text.map(one)
+
+
+def check(status: str | Column, name: str, category: str, severity: str = "") -> Column:
+    """A check's struct; a blank severity reads as info."""
+    return F.struct((status if isinstance(status, Column) else F.lit(status)).alias("status"), F.lit(name).alias("check_name"), F.lit(category).alias("category"), F.lit(severity or "info").alias("severity"))
+
+
+def flag_checks(flags: dict[str, Column]) -> Column:
+    """The checks of a host's tri-state settings and counts, in order; a check with nothing to say is left out.
+
+    flags: keep_awake, scheduled_tasks, web_search, browser_actions (bools, null where unknown), sensitive_env (bool),
+    active_sessions (int), bridge (bool), wildcard (bool), unsigned, dangerous, broad (ints), governed (bool),
+    installed (int), hooks, risky_hooks, plugins, connectors, tasks, sensitive_tasks, startup, cookies (ints)."""
+    n = lambda k: F.coalesce(flags.get(k, F.lit(0)), F.lit(0))
+    b = lambda k: F.coalesce(flags.get(k, F.lit(None).cast("boolean")), F.lit(False))
+    either = lambda bad, fail, good: F.when(bad, fail).otherwise(good)
+    checks = [
+        F.when(b("keep_awake"), check("FAIL", "sleep_prevention", "runtime", "low")),
+        F.when(b("scheduled_tasks"), check("FAIL", "scheduled_tasks_enabled", "scheduled_tasks", "medium")),
+        F.when(b("web_search"), check("FAIL", "web_search_enabled", "egress", "low")),
+        F.when(b("browser_actions"), check("FAIL", "browser_actions", "browser", "high")).when(flags.get("browser_actions", F.lit(None).cast("boolean")).isNotNull(), check("PASS", "browser_actions", "browser")),
+        either(b("sensitive_env"), check("FAIL", "sensitive_environment", "mcp_servers", "medium"), check("PASS", "servers", "mcp_servers")),
+        F.when(n("active_sessions") > 0, check("FAIL", "active_dispatch", "dispatch", "high")).when(b("bridge"), check("FAIL", "dispatch_bridge", "dispatch", "high")).otherwise(check("PASS", "dispatch", "dispatch")),
+        either(b("wildcard"), check("FAIL", "egress_policy", "egress", "critical"), check("PASS", "egress_policy", "egress")),
+        F.when(n("installed") > 0, either(~b("governed"), check("FAIL", "extension_governance", "extensions", "high"), check("PASS", "extension_governance", "extensions"))),
+        either(n("unsigned") + n("dangerous") + n("broad") > 0, check("FAIL", "extension_risk", "extensions", "medium"), check("PASS", "extensions", "extensions")),
+        F.when(n("risky_hooks") > 0, check("FAIL", "plugin_hooks", "plugins_hooks", "high")).when(n("hooks") > 0, check("FAIL", "plugin_hooks", "plugins_hooks", "medium")).otherwise(check("PASS", "plugin_hooks", "plugins_hooks")),
+        either(n("plugins") > 0, check("FAIL", "plugins", "plugins", "low"), check("PASS", "plugins", "plugins")),
+        either(n("connectors") > 0, check("FAIL", "connectors", "connectors", "low"), check("PASS", "connectors", "connectors")),
+        check("PASS", "skills", "skills"),
+        F.when(n("sensitive_tasks") > 0, check("FAIL", "task_definitions", "scheduled_tasks", "high")).when(n("tasks") > 0, check("FAIL", "task_definitions", "scheduled_tasks", "medium")).otherwise(check("PASS", "task_definitions", "scheduled_tasks")),
+        either((n("startup") > 0) | b("keep_awake"), check("FAIL", "runtime_state", "runtime", "low"), check("PASS", "runtime_state", "runtime")),
+        either(n("cookies") > 0, check("FAIL", "cookies", "cookies", "low"), check("PASS", "cookies", "cookies")),
+    ]
+    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+
+
+def points(severity: Column) -> Column:
+    lower = F.lower(F.coalesce(severity, F.lit("")))
+    cost = F.lit(0)
+    for name, value in POINTS.items():
+        cost = F.when(lower == name, value).otherwise(cost)
+    return cost
+
+
+def grade(score: Column) -> Column:
+    out = F.lit("F")
+    for least, letter in reversed(GRADES):
+        out = F.when(score >= least, letter).otherwise(out)
+    return out
+
+
+def score(checks: DataFrame, host: str) -> DataFrame:
+    """(host, score, grade, passed, failed, skipped, fixed) from a row for each check (host, status, check_name,
+    category, severity): of each category the costliest failure counts, down to 0. Statuses compare by their case."""
+    failed = F.col("status") == "FAIL"
+    category = F.coalesce(F.nullif("category", F.lit("")), F.col("check_name"))
+    named = checks.select(F.col(host).alias("_host"), "status", category.alias("_category"), F.when(failed, points(F.col("severity"))).otherwise(0).alias("_points"))
+    by_category = named.groupBy("_host", "_category").agg(F.max("_points").alias("_points"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("PASS", "passed"), ("FAIL", "failed"), ("SKIPPED", "skipped"), ("FIXED", "fixed"))))
+    total = by_category.groupBy("_host").agg(F.greatest(F.lit(100) - F.sum("_points"), F.lit(0)).alias("score"), *(F.sum(n).alias(n) for n in ("passed", "failed", "skipped", "fixed")))
+    return total.select(F.col("_host").alias(host), "score", grade(F.col("score")).alias("grade"), "passed", "failed", "skipped", "fixed")

@@ -32,7 +32,7 @@ def read_files(spark: SparkSession, root: str, glob: str | None = None, pruned:
 
 
 def without_bom(text: Column) -> Column:
-    return F.regexp_replace(text, "^﻿", "")
+    return F.regexp_replace(text, "^\ufeff", "")
 
 
 def config_servers(df: DataFrame, path: str, text: str) -> DataFrame:
@@ -68,7 +68,7 @@ def json_status(length: Column, content: Column, most: int = JSON_BYTES) -> Colu
 def looks_like_state(name: Column) -> Column:
     """Whether a file name is that of a state document."""
     lower = F.lower(name)
-    return lower.endswith(".json") & (lower.isin("config.json", "state.json", "settings.json", "preferences.json") | lower.startswith("local_") | lower.startswith("session") | lower.contains("cowork"))
+    return lower.isin("cowork_settings.json", "settings.json", "config.json") | lower.startswith("local_") | lower.contains("session") | lower.contains("task") | lower.contains("plugin")
 
 
 def state_documents(spark: SparkSession, root: str) -> DataFrame:
