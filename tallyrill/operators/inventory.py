@@ -45,6 +45,7 @@ def discover(entries: DataFrame, gateway: str, default_route: str = "local_routa
         F.when(routed, "routed").otherwise("direct").alias("route_state"),
         F.when(routed, "local_routable").otherwise(route["label"]).alias("routeability"),
         (~routed & route["routable"]).alias("routable"),
+        S.text(F.try_element_at("args", F.lit(1))).alias("first_arg"),
         entry_key().alias("entry_key"),
     )
 
@@ -86,7 +87,7 @@ def coverage(discovered: DataFrame, n_backends: Column | int) -> DataFrame:
 
 def disposition(gateway: str, stale_name: str) -> Column:
     """What a migration does with a discovered row: ``stale`` (rewritten), ``native_kept``, ``left`` or ``direct``."""
-    stale = (F.col("route_state") != "routed") & (F.col("name") == stale_name) & (S.basename(F.col("command")) == gateway) & (F.col("args_count") > 0)
+    stale = (F.col("route_state") != "routed") & (F.col("name") == stale_name) & (S.basename(F.col("command")) == gateway) & (F.col("first_arg") == "server")
     return F.when(stale, "stale").when(F.col("routeability") == "native_client_auth", "native_kept").when((F.col("route_state") == "routed") | ~F.col("routable"), "left").otherwise("direct")
 
 

@@ -17,7 +17,9 @@ POINTS = {"critical": 20, "high": 12, "medium": 6, "low": 3}
 GRADES = ((90, "A"), (75, "B"), (60, "C"), (40, "D"))
 DEEPEST = 12
 REDACTED = "[REDACTED]"
-SECRET_TEXT_TERMS = ("bearer ", "sk-", "ghp_", "xoxb-", "-----begin")
+SECRET_TEXT_TERMS = ("sk-", "token=", "secret=", "password=", "authorization:")
+TASK_KEYS = ("cron", "cronExpression", "schedule", "prompt")
+TASK_TERMS = ("websearch", "webfetch", "browser", "bash", "run_command", "write_file", "edit_file", "network", "filesystem", "mcp")
 
 
 def find_values(docs: DataFrame, doc_id: str, text: str, keys: Sequence[str], deepest: int = DEEPEST) -> DataFrame:
@@ -38,30 +40,140 @@ def find_values(docs: DataFrame, doc_id: str, text: str, keys: Sequence[str], de
     return out
 
 
-@F.pandas_udf(StringType())
-def values_under(text: pd.Series, key: pd.Series) -> pd.Series:
-    """As ``find_values`` for one key within a row: a JSON array of the values, in one pass over the document."""
-
-    def walk(value: object, wanted: str, depth: int, out: list) -> list:
-        if depth > DEEPEST:
-            return out
-        if isinstance(value, dict):
-            for k, v in value.items():
-                if k == wanted:
-                    out.append(v)
-                walk(v, wanted, depth + 1, out)
-        elif isinstance(value, list):
-            for v in value:
-                walk(v, wanted, depth + 1, out)
-        return out
-
-    def one(t: str | None, k: str) -> str:
+def _under(value: object, key: str, depth: int = 0) -> list:
+    """The values under a key at any depth."""
+    if depth > DEEPEST:
+        return []
+    if isinstance(value, dict):
+        return [x for k, v in value.items() for x in ([v] if k == key else []) + _under(v, key, depth + 1)]
+    return [x for v in value for x in _under(v, key, depth + 1)] if isinstance(value, list) else []
+
+
+def _true(value: object) -> bool:
+    return value is True or isinstance(value, str) and value.lower() == "true"
+
+
+def _tri(value: object) -> bool | None:
+    if isinstance(value, bool):
+        return value
+    return {"true": True, "false": False}.get(value.strip().lower()) if isinstance(value, str) else None
+
+
+def _texts(value: object) -> list[str]:
+    if isinstance(value, list):
+        return [v for v in value if isinstance(v, str) and v]
+    if isinstance(value, dict):
+        return [k for k, v in value.items() if _true(v)]
+    return [value] if isinstance(value, str) and value else []
+
+
+def _first_text(value: dict, *keys: str) -> str:
+    return next((value[k] for k in keys if isinstance(value.get(k), str) and value[k]), "")
+
+
+def _any_term(text: str, terms: Sequence[str]) -> bool:
+    return any(t in text.lower() for t in terms)
+
+
+def _hooks(value: object, top: bool = True) -> tuple[int, int, set[str]]:
+    """Count, risky ones and names of hooks; at the top, an object's keys are names."""
+    if isinstance(value, dict) and top:
+        parts = [_hooks(v, False) for v in value.values()]
+        return sum(p[0] for p in parts), sum(p[1] for p in parts), set(value).union(*(p[2] for p in parts))
+    if isinstance(value, list):
+        parts = [_hooks(v, False) for v in value]
+        return sum(p[0] for p in parts), sum(p[1] for p in parts), set().union(*(p[2] for p in parts))
+    if isinstance(value, dict):
+        risky = any(_any_term(v if isinstance(v, str) else json.dumps(v), S.RISKY_HOOK_TERMS) for v in value.values() if isinstance(v, (str, list, dict)))
+        return 1, int(risky), {n} if (n := _first_text(value, "name", "event", "type")) else set()
+    return (1, int(_any_term(value, S.RISKY_HOOK_TERMS)), set()) if isinstance(value, str) else (0, 0, set())
+
+
+def _connectors(value: object) -> set[str]:
+    if isinstance(value, dict):
+        return {k for k, v in value.items() if _true(v) or isinstance(v, dict) and any(_true(v.get(f)) for f in ("enabled", "connected", "authenticated"))}
+    if isinstance(value, list):
+        return {n for v in value if (n := v if isinstance(v, str) else _first_text(v, "name", "id", "service") if isinstance(v, dict) else "")}
+    return set(_texts(value))
+
+
+def _extensions(value: object) -> list[dict]:
+    if isinstance(value, dict):
+        inner = next((value[k] for k in ("installations", "extensions") if k in value), None)
+        return _extensions(inner) if inner is not None else [v for v in value.values() if isinstance(v, dict)]
+    return [v for v in value if isinstance(v, dict)] if isinstance(value, list) else []
+
+
+def _signature(extension: dict) -> str:
+    info = extension.get("signatureInfo")
+    return _first_text(extension, "signatureStatus", "signature_status") or (_first_text(info, "status", "signatureStatus") if isinstance(info, dict) else "")
+
+
+def _tools(value: object) -> set[str]:
+    if isinstance(value, dict):
+        return set(value)
+    return {n for v in value if (n := v if isinstance(v, str) else _first_text(v, "name", "tool", "id") if isinstance(v, dict) else "")} if isinstance(value, list) else set()
+
+
+def _tasks(value: object) -> tuple[int, int]:
+    """Task definitions and those that reach for tools or the network."""
+    if isinstance(value, list):
+        parts = [_tasks(v) for v in value]
+        return sum(p[0] for p in parts), sum(p[1] for p in parts)
+    if isinstance(value, dict):
+        own = any(k in value for k in TASK_KEYS)
+        parts = [_tasks(v) for v in value.values() if isinstance(v, (list, dict))] if not own else []
+        sensitive = own and _any_term(json.dumps(_redact(value)), TASK_TERMS)
+        return own + sum(p[0] for p in parts), sensitive + sum(p[1] for p in parts)
+    return 0, 0
+
+
+FACTS = (
+    "keep_awake boolean, scheduled_tasks boolean, web_search boolean, browser_actions boolean, sensitive_env boolean, servers int, active_sessions int, bridge boolean, domains array<string>, wildcard boolean, "
+    "installed int, unsigned int, dangerous int, broad int, governed boolean, hooks int, risky_hooks int, hook_names array<string>, plugins int, connectors int, tasks int, sensitive_tasks int, startup int, cookies int"
+)
+
+
+def document_facts(document: object) -> dict:
+    """What the checks need to know of a host's state documents, given as one object of documents."""
+    doc = document if isinstance(document, dict) else {}
+    prefs = doc.get("preferences") if isinstance(doc.get("preferences"), dict) else {}
+    setting = lambda key: _tri(prefs[key]) if key in prefs else next((t for v in _under(doc, key)[:1] if (t := _tri(v)) is not None), None)
+    either = [b for k in ("coworkScheduledTasksEnabled", "ccdScheduledTasksEnabled") if (b := setting(k)) is not None]
+    servers = [v for v in doc["mcpServers"].values() if isinstance(v, dict)] if isinstance(doc.get("mcpServers"), dict) else []
+    bridge = [v for b in _under(doc, "bridge_state") if isinstance(b, dict) for v in b.values() if isinstance(v, dict)]
+    domains = sorted({d for v in _under(doc, "egressAllowedDomains") for d in _texts(v)})
+    extensions = [e for v in _under(doc, "extensions")[:1] for e in _extensions(v)]
+    hooks = [_hooks(v) for v in _under(doc, "hooks")]
+    tasks = [_tasks(v) for k in ("scheduledTasks", "tasks") for v in _under(doc, k)]
+    crons = len(_under(doc, "cron"))
+    return {
+        "keep_awake": _tri(prefs.get("keepAwakeEnabled")), "scheduled_tasks": any(either) if either else None, "web_search": setting("coworkWebSearchEnabled"), "browser_actions": setting("allowAllBrowserActions"),
+        "sensitive_env": any(_any_term(k, S.SENSITIVE_KEY_TERMS) for s in servers if isinstance(s.get("env"), dict) for k in s["env"]), "servers": len(servers),
+        "active_sessions": sum(map(_true, _under(doc, "hostLoopMode"))), "bridge": any(_true(b.get("enabled")) for b in bridge),
+        "domains": [REDACTED if _any_term(d, SECRET_TEXT_TERMS) else d for d in domains], "wildcard": any(d.strip() in ("*", "0.0.0.0/0", "::/0") for d in domains),
+        "installed": len(extensions), "unsigned": sum(_signature(e).lower() in ("unsigned", "invalid") for e in extensions), "dangerous": sum(bool({t.lower() for v in _under(e, "tools") for t in _tools(v)} & set(S.DANGEROUS_TOOLS)) for e in extensions), "broad": 0,
+        "governed": bool(_under(doc, "extensionAllowlist") or _under(doc, "extensionBlocklist")), "hooks": sum(h[0] for h in hooks), "risky_hooks": sum(h[1] for h in hooks), "hook_names": sorted(set().union(*(h[2] for h in hooks)))[:30],
+        "plugins": len({p for v in _under(doc, "marketplaces") for p in _tools(v)}), "connectors": len({c for v in _under(doc, "connectors") for c in _connectors(v)}), "tasks": sum(t[0] for t in tasks) + crons, "sensitive_tasks": sum(t[1] for t in tasks),
+        "startup": len([x for v in _under(doc, "startupEntries") for x in _texts(v)]), "cookies": len([x for v in _under(doc, "cookies") for x in _texts(v)]),
+    }
+
+
+def host_facts(df: DataFrame, text: str, into: str = "facts") -> DataFrame:
+    """``df`` with the facts of a JSON text of state documents, read in batches; a text that is no JSON has those of an
+    empty one."""
+
+    def load(t: str | None) -> object:
         try:
-            return json.dumps(walk(json.loads(t), k, 0, [])) if t else "[]"
+            return json.loads(t) if t else {}
         except ValueError:
-            return "[]"
+            return {}
+
+    @F.pandas_udf(FACTS)
+    def facts(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([document_facts(load(t)) for t in texts], columns=[f.split()[0] for f in FACTS.split(", ")])
 
-    return pd.Series([one(t, k) for t, k in zip(text, key)])
+    return df.withColumn(into, facts(text))
 
 
 def _redact(value: object, key: str = "") -> object:

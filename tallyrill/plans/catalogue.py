@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyrill.plans import checkins, feeds, gateway, scans
+from tallyrill.plans import checkins, detection, events, feeds, gateway, scans
 
-MODULES = (gateway, checkins, feeds, scans)
+MODULES = (gateway, checkins, feeds, scans, detection, events)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return gateway.p3_profile(spark, folder)
+    return detection.detect_documents(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 MESSAGE = "jsonrpc string, id string, method string, params string, result string, error struct<code:int,message:string,data:string>"
 
 #: Seconds that a call of a method may take.
-TIMEOUTS = {"tools/list": 20, "tools/call": 60}
+TIMEOUTS = {"initialize": 20, "tools/list": 20, "resources/list": 20, "prompts/list": 20, "tools/call": 60}
 DEFAULT_TIMEOUT = 8
 
 
@@ -27,14 +27,16 @@ def method_branch(message: Column) -> Column:
 
 
 def parse_result(body: Column, wanted_id: Column) -> Column:
-    """(result, error) of a JSON-RPC response: an id mismatch and an error message are errors, no result is {}."""
+    """(result, error) of a JSON-RPC response: another id and an error object are errors, an empty body and a missing
+    result are {}."""
+    blank = F.trim(F.coalesce(body, F.lit(""))) == ""
     read = F.from_json(body, MESSAGE)
-    message = read["error"]["message"]
+    refused = F.coalesce(F.nullif(read["error"]["message"], F.lit("")), F.lit("error"))
     error = (
-        F.when(read.isNull() | F.try_parse_json(body).isNull(), "unparsable response").when(read["id"].isNotNull() & (read["id"] != wanted_id.cast("string")), "response id mismatch")
-        .when(F.coalesce(message, F.lit("")) != "", message).otherwise("")
+        F.when(blank, "").when(~F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), F.lit(False)), "unparsable response")
+        .when(read["id"].isNotNull() & (read["id"] != wanted_id.cast("string")), "unexpected response id").when(read["error"].isNotNull(), refused).otherwise("")
     )
-    return F.struct(F.when(error == "", F.coalesce(read["result"], F.lit("{}"))).alias("result"), error.alias("error"))
+    return F.struct(F.when(error == "", F.when(blank, "{}").otherwise(F.coalesce(read["result"], F.lit("{}")))).alias("result"), error.alias("error"))
 
 
 def sse_payloads(stream: Column) -> Column:
@@ -51,11 +53,12 @@ def sse_result(stream: Column, wanted_id: Column) -> Column:
 
 
 def http_outcome(status: Column, content_type: Column, body: Column, wanted_id: Column) -> Column:
-    """The result of an HTTP answer: 202 is {}, a stream's first result, else the JSON body whatever the status; a
-    failed status without a readable body has none."""
-    streamed = F.lower(F.coalesce(content_type, F.lit(""))).contains("text/event-stream")
+    """The result of an HTTP answer: 202 is {}, a stream's first result, else the JSON body's; of a failed status only
+    a readable JSON body's. Null where there is none."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
     parsed = parse_result(body, wanted_id)
-    return F.when(status == 202, "{}").when(streamed, sse_result(body, wanted_id)).when(parsed["error"] == "", parsed["result"])
+    own = F.when(parsed["error"] == "", parsed["result"])
+    return F.when(status == 202, "{}").when(~status.between(200, 299), F.when(kind.contains("application/json"), own)).when(kind.contains("text/event-stream"), sse_result(body, wanted_id)).otherwise(own)
 
 
 def correlate(requests: DataFrame, responses: DataFrame, at: str = "at") -> DataFrame:

@@ -54,10 +54,10 @@ def envelope_ok(operation: Column, body: Column, allowed: tuple[str, ...] = ("sy
 
 
 def acknowledged(status: Column, ok: Column, error: Column, received: Column, sent: Column, disabled: Column) -> Column:
-    """What becomes of a sent batch: ``dropped`` where uploads are disabled, ``requeued`` on any failure or a short
-    count, else ``done``."""
-    failed = ~status.between(200, 299) | ~F.coalesce(ok, F.lit(False)) | (F.coalesce(error, F.lit("")) != "") | (F.coalesce(received, F.lit(0)) < sent)
-    return F.when(F.coalesce(disabled, F.lit(False)), "dropped").when(F.coalesce(failed, F.lit(True)), "requeued").otherwise("done")
+    """What becomes of a sent batch: ``requeued`` on a failed status, ``dropped`` where uploads are disabled,
+    ``requeued`` where it isn't acknowledged whole, else ``done``. A null ``received`` counts as all."""
+    short = ~F.coalesce(ok, F.lit(False)) | (F.coalesce(error, F.lit("")) != "") | (F.coalesce(received, sent) < sent)
+    return F.when(~F.coalesce(status.between(200, 299), F.lit(False)), "requeued").when(F.coalesce(disabled, F.lit(False)), "dropped").when(short, "requeued").otherwise("done")
 
 
 def overwrite_state(df: DataFrame, path: str) -> None:
