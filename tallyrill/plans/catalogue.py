@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyrill.plans import checkins, detection, events, feeds, gateway, scans
+from tallyrill.plans import checkins, detection, events, feeds, gateway, inventory, scans
 
-MODULES = (gateway, checkins, feeds, scans, detection, events)
+MODULES = (gateway, checkins, feeds, scans, detection, events, inventory)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
