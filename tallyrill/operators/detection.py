@@ -34,13 +34,13 @@ def first_match(text: Column, lower: Column, sensitive: Sequence[Rule] = SENSITI
 def detect_text(df: DataFrame, text: str, into: str = "detection") -> DataFrame:
     """``df`` with a detection struct for a text column; null reads as empty and passes. The lower-case text is
     computed once, in a projection of its own."""
-    named = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_lower", fold_case(F.col("_text")))
-    return named.withColumn(into, first_match(F.col("_text"), F.col("_lower"))).drop("_text", "_lower")
+    named = df.withColumn("__tr_text", F.coalesce(F.col(text), F.lit(""))).withColumn("__tr_lower", fold_case(F.col("__tr_text")))
+    return named.withColumn(into, first_match(F.col("__tr_text"), F.col("__tr_lower"))).drop("__tr_text", "__tr_lower")
 
 
 def detect_calls(df: DataFrame, arguments: str, into: str = "detection") -> DataFrame:
     """As ``detect_text`` for a JSON object of arguments, flattened first; what is no object passes."""
-    return detect_text(df.withColumn("_flat", flatten_json(arguments)), "_flat", into).drop("_flat")
+    return detect_text(df.withColumn("__tr_flat", flatten_json(arguments)), "__tr_flat", into).drop("__tr_flat")
 
 
 def tool_text(name: str = "tool_name", description: str = "description", parameters: str = "parameters") -> Column:
@@ -52,9 +52,21 @@ def tool_text(name: str = "tool_name", description: str = "description", paramet
 
 def detect_descriptions(df: DataFrame, text: Column, rules: Sequence[Rule] = POISON) -> DataFrame:
     """A row for each tool and each rule that its description text breaks, with the detection's fields."""
-    named = df.withColumn("_text", text)
-    hits = F.filter(F.array(*(F.when(holds(r, F.col("_text"), F.col("_text"), True), _outcome(r)) for r in rules)), lambda x: x.isNotNull())
-    return named.withColumn("_hit", F.explode(hits)).select(*df.columns, *(F.col(f"_hit.{f}").alias(f"hit_{f}") for f in RESULT))
+    named = df.withColumn("__tr_text", text)
+    hits = F.filter(F.array(*(F.when(holds(r, F.col("__tr_text"), F.col("__tr_text"), True), _outcome(r)) for r in rules)), lambda x: x.isNotNull())
+    return named.withColumn("__tr_hit", F.explode(hits)).select(*df.columns, *(F.col(f"__tr_hit.{f}").alias(f"hit_{f}") for f in RESULT))
+
+
+def manifest_tools(df: DataFrame, manifest: str) -> DataFrame:
+    """``df``'s rows for each tool of a manifest, a JSON array: (*columns, tool_name, description, parameters). Entries
+    that are no objects are skipped; a missing name or description reads as ``<nil>``; parameters are the object-valued
+    properties of the input schema, by name."""
+    read = lambda text, path: F.coalesce(F.get_json_object(text, path), F.lit("<nil>"))
+    each = df.withColumn("__tr_tool", F.explode(F.from_json(manifest, "array<string>"))).where(F.schema_of_variant(F.try_parse_json("__tr_tool")).startswith("OBJECT"))
+    properties = F.from_json(F.get_json_object("__tr_tool", "$.inputSchema.properties"), "map<string,string>")
+    objects = F.map_filter(properties, lambda _, v: F.coalesce(F.schema_of_variant(F.try_parse_json(v)).startswith("OBJECT"), F.lit(False)))
+    parameters = F.transform(F.array_sort(F.map_entries(objects)), lambda e: F.struct(e["key"].alias("name"), read(e["value"], "$.description").alias("description")))
+    return each.select(*df.columns, read("__tr_tool", "$.name").alias("tool_name"), read("__tr_tool", "$.description").alias("description"), F.coalesce(parameters, F.array().cast("array<struct<name:string,description:string>>")).alias("parameters"))
 
 
 def escalate(detection: Column, policy_mode: dict[str, str], local_mode: dict[str, str]) -> Column:

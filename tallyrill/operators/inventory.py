@@ -27,7 +27,7 @@ NEXT_STEPS = {
 
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Of the rows of a key the first by an order; never an arbitrary one. Null keys are keys."""
-    return df.withColumn("_first", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_first = 1").drop("_first")
+    return df.withColumn("__tr_first", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__tr_first = 1").drop("__tr_first")
 
 
 def discover(entries: DataFrame, gateway: str, default_route: str = "local_routable") -> DataFrame:

