@@ -32,7 +32,7 @@ OTHER_KEYS = frozenset("public primary foreign partition sort cache row group ob
 # Texts that stand for a credential without being one.
 _STAND_IN = re.compile(
     r"(?i)^(?:<.*>|\[.*\]|\{\{.*\}\}|\$\w+|\$\{.*\}|\$\(.*\)|`.*`|%\w+%|%\(\w+\)s|\{\w*\}|!(?:secret|env|vault|ref|sub|getatt|include|file|ssm|reference)\b.*|@\w+@|(?:none|null|nil|undefined|unset|empty|true|false|yes|no|on|off|default|disabled|todo|tbd|fixme|n/?a|secret|password|token|redacted|hidden|masked|basic|bearer|oauth2?|mtls|digest|anonymous|ldap|saml|strong|changeit|test)"
-    r"|(?:vault|op|env|secret|secretref|secrets?manager|ssm|arn|aws-sm|gcp-sm|sm|akv|keyring|keychain|file|pass|doppler|infisical|sops|bw|ref|conjur|k8s|credstash|lpass|process\.env|os\.environ|import\.meta)[:./[].*|[a-z]:\\.*|sha(?:1|224|256|384|512)[:-].*|md5[:-].*|data:.*|ssh-(?:rsa|dss|ed25519)\s.*|ecdsa-sha2.*)$"
+    r"|(?:vault|op|env|secret|secretref|secrets?manager|ssm|arn|aws-sm|gcp-sm|sm|akv|keyring|keychain|file|pass|doppler|infisical|sops|bw|ref|conjur|k8s|credstash|lpass)[:/].*|(?:process\.env|os\.environ|import\.meta|env|secrets)[.[].*|[a-z]:\\.*|sha(?:1|224|256|384|512)[:-].*|md5[:-].*|data:.*|ssh-(?:rsa|dss|ed25519)\s.*|ecdsa-sha2.*)$"
 )
 _STAND_IN_WORD = re.compile(r"(?i)(?:^|[^a-z])(?:your|insert|enter|paste|replace|change[-_ ]?me|changeme|dummy|example|sample|placeholder|redacted|masked|fake|todo|xxx+|here)(?:[^a-z]|$)")
 _PATH = re.compile(r"(?:~|\.{1,2})?/[\w./${}~-]*$")
