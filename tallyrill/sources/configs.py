@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from fnmatch import fnmatch
 
-from pyspark.errors import AnalysisException
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +18,35 @@ PRUNED = ("node_modules", ".git", "dist")
 STATE_DEPTH, STATE_FILES, STATE_BYTES, JSON_BYTES = 8, 400, 2 << 20, 5 << 20
 
 
-def read_files(spark: SparkSession, root: str, glob: str | None = None, pruned: Sequence[str] = PRUNED, deepest: int | None = None) -> DataFrame:
-    """(path, length, content) of the files under a folder, outside pruned folders and not deeper than ``deepest``
-    steps below the root; empty where the folder is missing. Only names and sizes are read where content isn't used."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    try:
-        files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    except AnalysisException:
-        return spark.createDataFrame([], "path string, length bigint, content binary, below string")
-    below = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^.*" + root.rstrip("/").rpartition("/")[2] + "/", "")
-    kept = files.select("path", "length", "content", below.alias("below"))
-    if pruned:
-        kept = kept.where(~F.exists(F.slice(F.split("below", "/"), 1, F.greatest(F.size(F.split("below", "/")) - 1, F.lit(0))), lambda s: s.isin(list(pruned))))
-    return kept.where(F.size(F.split("below", "/")) - 1 <= deepest) if deepest is not None else kept
+def list_files(spark: SparkSession, root: str, glob: str = "*", pruned: Sequence[str] = PRUNED, deepest: int | None = None) -> DataFrame:
+    """(path, length, below) of the files under a folder, hidden ones included (Spark's own readers pass those over),
+    outside pruned folders and not deeper than ``deepest`` steps below the root; empty where the folder is missing.
+    Names are listed on the driver, as a file index does; contents aren't touched."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    if system.exists(folder):
+        top, files = system.makeQualified(folder).toString().rstrip("/") + "/", system.listFiles(folder, True)
+        while files.hasNext():
+            status = files.next()
+            path = status.getPath().toString()
+            steps = path.removeprefix(top).split("/")
+            if fnmatch(steps[-1], glob) and not set(steps[:-1]) & set(pruned) and (deepest is None or len(steps) - 1 <= deepest):
+                found.append((path, status.getLen(), "/".join(steps)))
+    return spark.createDataFrame(found, "path string, length bigint, below string")
+
+
+def read_files(spark: SparkSession, root: str, glob: str = "*", pruned: Sequence[str] = PRUNED, deepest: int | None = None) -> DataFrame:
+    """As ``list_files`` with each file's ``content``, read where the rows are processed."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, path in enumerate(batch.column(0).to_pylist()):
+                system, name = FileSystem.from_uri(path if path.startswith(("file://", "hdfs://", "s3://", "gs://")) else path.replace("file:", "file://", 1))
+                with system.open_input_stream(name) as stream:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns), pa.array([stream.read()], pa.binary())], names=["path", "length", "below", "content"])
+
+    return list_files(spark, root, glob, pruned, deepest).mapInArrow(read, "path string, length bigint, below string, content binary")
 
 
 def without_bom(text: Column) -> Column:
