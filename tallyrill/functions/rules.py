@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +23,42 @@ class Rule:
     original: str = ""
 
 
+#: Literals without which a rule can't hold: of each group one has to be in the text. Looking for them first is far
+#: cheaper than the pattern and changes no result; rules without an entry are tried as they are.
+NEEDED = {
+    "api_key_stripe": (("sk_live_",),),
+    "api_key_aws": (("AKIA",),),
+    "api_key_github": (("ghp_", "gho_", "ghs_", "ghr_"),),
+    "api_key_slack": (("xox",),),
+    "private_key_pem": (("-----BEGIN ",),),
+    "ssn": (("-",),),
+    "database_uri": (("://",), ("@",)),
+    "jwt_token": (("eyJ",),),
+    "credential_exfil_pipe": (("|",), ("cat", "head", "tail"), ("curl", "wget", "nc")),
+    "credential_exfil_subshell": (("$(cat", "`cat"), ("curl", "wget")),
+    "reverse_shell": (("/dev/tcp", "/bin/", "--exec", "socket"),),
+    "reverse_shell_encoded": (("|",), ("base64",)),
+    "firewall_disable": (("ufw", "iptables", "pfctl", "firewalld"),),
+    "selinux_disable": (("setenforce", "/sys/fs/selinux", "apparmor", "aa-teardown"),),
+    "antivirus_disable": (("systemctl", "launchctl"),),
+    "recursive_delete_root": (("-rf", "-fr", "--no-preserve-root"), ("rm",)),
+    "history_tampering": (("history", "histfile", "histsize"),),
+    "ssh_key_exfil": (("id_rsa", "id_ed25519", "id_ecdsa", ".pem", ".key"),),
+    "cryptominer": (("xmrig", "miner", "stratum+tcp", "cryptonight", "monero"),),
+    "dns_exfil": (("$(", "|"), ("dig", "nslookup", "host")),
+    "suid_manipulation": (("chmod",),),
+    "suspicious_install": (("install",), ("http", "git")),
+    "prompt_injection_override": (("ignore", "disregard", "forget", "override"), ("previous", "prior", "above", "earlier")),
+    "prompt_injection_persona": (("you are", "your new identity is", "act as if", "pretend"),),
+    "prompt_injection_jailbreak": (("jailbreak", "mode", "do anything now"),),
+    "exfil_instruction": (("http", "external", "remote"), ("send", "post", "upload", "exfiltrate", "forward", "transmit")),
+    "credential_request": (("show", "list", "output", "reveal", "dump", "print", "display", "read"), ("key", "token", "credential", "secret", "password", ".env")),
+    "security_disable_request": (("disable", "turn off", "remove", "bypass", "skip"), ("firewall", "security", "antivirus", "sandbox", "shield", "protection", "hook", "monitoring", "logging", "audit")),
+    "exfil_endpoint": (("requestbin", "pipedream", "webhook.site", "hookbin", "requestcatcher", "beeceptor", "mockbin", "ngrok", "burpcollaborator", "interact.sh", "canarytokens"),),
+    "raw_ip_fetch": (("://",),),
+}
+
+
 # Names, severities, descriptions and patterns of the rules, in the order in which they are tried.
 SENSITIVE = (
     Rule("api_key_stripe", "critical", "sensitive_data", "Stripe live API key detected", r"sk_live_[a-zA-Z0-9]{20,}"),
@@ -97,7 +135,8 @@ def fold_case(text: Column) -> Column:
 
 def holds(rule: Rule, text: Column, lower: Column, folded: bool) -> Column:
     """Whether a rule holds; folded: its pattern reads the lower-case text."""
-    condition = (lower if folded else text).rlike(java_pattern(rule.pattern))
+    read = lower if folded else text
+    condition = reduce(and_, [reduce(or_, [read.contains(x) for x in group]) for group in NEEDED.get(rule.name, ())] + [read.rlike(java_pattern(rule.pattern))])
     if rule.also:
         condition &= lower.rlike(java_pattern(rule.also))
     if rule.original:

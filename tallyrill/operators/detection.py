@@ -22,20 +22,22 @@ def _outcome(rule: Rule) -> Column:
     return result("warn", rule.name, rule.severity, rule.description, rule.category)
 
 
-def first_match(text: Column, lower: Column, sensitive: Sequence[Rule] = SENSITIVE, threat: Sequence[Rule] = THREAT) -> Column:
-    """The result of the first rule that holds, sensitive data before threats; one lazy CASE, so later rules aren't tried."""
-    chain = None
-    for rule, folded in [(r, False) for r in sensitive] + [(r, True) for r in threat]:
-        condition = holds(rule, text, lower, folded)
-        chain = F.when(condition, _outcome(rule)) if chain is None else chain.when(condition, _outcome(rule))
-    return chain.otherwise(result("pass")) if chain is not None else result("pass")
-
-
-def detect_text(df: DataFrame, text: str, into: str = "detection") -> DataFrame:
-    """``df`` with a detection struct for a text column; null reads as empty and passes. The lower-case text is
-    computed once, in a projection of its own."""
+def first_rule(text: Column, lower: Column, sensitive: Sequence[Rule] = SENSITIVE, threat: Sequence[Rule] = THREAT) -> Column:
+    """The number of the first rule that holds, from 1, sensitive data before threats; 0 where none does. One lazy CASE,
+    so later rules aren't tried."""
+    chain = F
+    for number, (rule, folded) in enumerate([(r, False) for r in sensitive] + [(r, True) for r in threat], 1):
+        chain = chain.when(holds(rule, text, lower, folded), number)
+    return chain.otherwise(0) if sensitive or threat else F.lit(0)
+
+
+def detect_text(df: DataFrame, text: str, into: str = "detection", sensitive: Sequence[Rule] = SENSITIVE, threat: Sequence[Rule] = THREAT) -> DataFrame:
+    """``df`` with a detection struct for a text column; null reads as empty and passes. The lower-case text and the
+    rule's number are projections of their own, so neither is computed once for each field that is read."""
     named = df.withColumn("__tr_text", F.coalesce(F.col(text), F.lit(""))).withColumn("__tr_lower", fold_case(F.col("__tr_text")))
-    return named.withColumn(into, first_match(F.col("__tr_text"), F.col("__tr_lower"))).drop("__tr_text", "__tr_lower")
+    numbered = named.withColumn("__tr_rule", first_rule(F.col("__tr_text"), F.col("__tr_lower"), sensitive, threat))
+    outcomes = F.array(result("pass"), *(_outcome(r) for r in (*sensitive, *threat)))
+    return numbered.withColumn(into, F.get(outcomes, F.col("__tr_rule"))).drop("__tr_text", "__tr_lower", "__tr_rule")
 
 
 def detect_calls(df: DataFrame, arguments: str, into: str = "detection") -> DataFrame:

@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def type_list(df: DataFrame, column: str, most: int = 5_000) -> list[str]:
-    """The distinct non-empty values of a type column, sorted. At most ``most`` reach the driver: a longer list can't
-    be the columns of a table, so it raises; ``entity_type_totals`` gives the same totals as rows."""
-    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull() & (F.col(column) != "")).distinct().limit(most + 1).collect()]
+def type_list(df: DataFrame, columns: Sequence[str], most: int = 5_000) -> dict[str, list[str]]:
+    """The distinct non-empty values of each type column, sorted, in one pass. At most ``most`` reach the driver: longer
+    lists can't be the columns of a table, so they raise; ``entity_type_totals`` gives the same totals as rows."""
+    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns))).alias("p")).select("p.column", "p.value")
+    found = pairs.where("value is not null and value <> ''").distinct().limit(most + 1).collect()
     if len(found) > most:
-        raise ValueError(f"{column} has more than {most} types; use entity_type_totals")
-    return sorted(found)
+        raise ValueError(f"more than {most} types; use entity_type_totals")
+    return {c: sorted(value for column, value in found if column == c) for c in columns}
 
 
 def _partial(df: DataFrame, entity: str, types: Sequence[str], at: str, spread: Column, salts: int) -> DataFrame:
@@ -39,5 +40,8 @@ def entity_features(df: DataFrame, entity: str, types: Mapping[str, Sequence[str
     that differs from row to row. An empty table gives no row. Columns of the table that aren't named are ignored.
     """
     partial = _partial(df, entity, list(types), at, spread, salts)
-    columns = [F.coalesce(F.sum(F.when(F.col(column) == value, F.col("_n"))), F.lit(0)).alias(f"{column}__{value}") for column, values in types.items() for value in values]
-    return partial.groupBy(entity).agg(F.sum("_n").alias("n_events"), F.max("_last").alias("last_at"), *columns)
+    kinds = [F.lit("all"), *(F.when(F.col(c) != "", F.concat(F.lit(f"{c}__"), F.col(c))) for c in types)]
+    each = partial.select(entity, F.explode(F.array_compact(F.array(*kinds))).alias("_kind"), "_n", "_last")
+    names = [f"{column}__{value}" for column, values in types.items() for value in values]
+    wide = each.groupBy(entity).pivot("_kind", ["all", *names]).agg(F.sum("_n").alias("n"), F.max("_last").alias("last"))
+    return wide.select(entity, F.col("all_n").alias("n_events"), F.col("all_last").alias("last_at"), *(F.coalesce(F.col(f"`{n}_n`"), F.lit(0)).alias(n) for n in names))

@@ -14,7 +14,7 @@ from tallyrill.functions.rules import POISON, SENSITIVE, THREAT, Rule
 from tallyrill.operators.detection import detect_calls, detect_descriptions, detect_text, escalate, manifest_tools, tool_text
 from tallyrill.operators.policy import Policy, action, evaluate, merge, policy_detection, rank, stricter_mode, usable_key
 from tallyrill.plans.literals import Literal, sql_text
-from tallyrill.session import table
+from tallyrill.session import spread, table
 
 #: Calls and near misses, each rule at least once; the test tables themselves hardly meet the rules.
 CALLS = Literal(
@@ -48,18 +48,18 @@ MANIFESTS = Literal(
 
 def detect_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Rule hits of every document, counted by source, rule, severity and verdict; what passes is counted too."""
-    hits = detect_text(table(spark, folder, "documents").select("source", "text"), "text")
+    hits = detect_text(spread(table(spark, folder, "documents").select("source", "text")), "text")
     return hits.groupBy(F.coalesce("source", F.lit("")).alias("source"), F.col("detection.pattern_name").alias("pattern_name"), F.col("detection.severity").alias("severity"), F.col("detection.verdict").alias("verdict")).agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 def detect_responses(spark: SparkSession, folder: str) -> DataFrame:
     """The first rule that each raw posture payload breaks, read with its JSON escapes."""
-    hits = detect_text(table(spark, folder, "posture_scans").select("scan_id", "payload"), "payload")
+    hits = detect_text(spread(table(spark, folder, "posture_scans").select("scan_id", "payload")), "payload")
     return hits.select("scan_id", F.col("detection.verdict").alias("verdict"), F.col("detection.pattern_name").alias("pattern_name"), F.col("detection.category").alias("category"))
 
 
 def detect_config_files(spark: SparkSession, folder: str) -> DataFrame:
-    hits = detect_text(table(spark, folder, "config_files").select("file_id", "content"), "content")
+    hits = detect_text(spread(table(spark, folder, "config_files").select("file_id", "content")), "content")
     return hits.select("file_id", F.col("detection.verdict").alias("verdict"), F.col("detection.pattern_name").alias("pattern_name"), F.col("detection.severity").alias("severity"))
 
 

@@ -35,7 +35,7 @@ def p5_features(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each server key with its log lines, latest time and the total of every pattern and severity."""
     log = table(spark, folder, "gateway_log")
     names = log.select(K.label("pattern_name").alias("pattern"), K.label("severity").alias("severity"))
-    types = {"pattern": type_list(names, "pattern"), "severity": type_list(names, "severity")}
+    types = type_list(names, ["pattern", "severity"])
     lines = K.log_lines(log, server_key=K.server_key(), pattern=K.label("pattern_name"), severity=K.label("severity"), at=K.epoch_nanos("timestamp"))
     wide = entity_features(lines, "server_key", types, "at", F.xxhash64("session_id", "line_no"))
     return wide.withColumn("last_at", F.timestamp_micros(F.expr("last_at div 1000"))).withColumnRenamed("n_events", "n_lines")

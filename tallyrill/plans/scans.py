@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrill.operators.nested import flatten_nested
-from tallyrill.session import table
+from tallyrill.session import spread, table
 
 #: The array fields of a scan's payload.
 SCAN_ARRAYS = (
@@ -18,7 +18,7 @@ SCAN_ARRAYS = (
 
 def p6_elements(spark: SparkSession, folder: str) -> DataFrame:
     """Every element of every array of every scan, with its parent and its JSON text."""
-    return flatten_nested(table(spark, folder, "posture_scans"), "scan_id", "payload", SCAN_ARRAYS)
+    return flatten_nested(spread(table(spark, folder, "posture_scans").select("scan_id", "payload")), "scan_id", "payload", SCAN_ARRAYS)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,6 @@ Nothing here changes a session that already exists: cluster settings win over ou
 from __future__ import annotations
 
 import tempfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +57,8 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def local_path(path: str) -> Path:
-    """A ``file:`` address or plain path as a local path."""
-    return Path(path.removeprefix("file://").removeprefix("file:"))
+def spread(df: DataFrame) -> DataFrame:
+    """A bare scan in at least as many parts as there are cores: a table of fewer files would leave cores idle in a
+    step that costs much more than moving its rows. A table of enough files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

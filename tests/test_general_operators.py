@@ -65,9 +65,9 @@ def test_entity_features(spark):
     df = spark.createDataFrame(data, "entity string, kind string, at int").withColumn("_n", F.lit(1))
     got = rows(entity_features(df, "entity", {"kind": ["a", "b"]}, "at", F.xxhash64("at"), salts=3))
     assert got == sorted([("e", 4, 9, 2, 1), (None, 1, 2, 0, 1), ("f", 2, 6, 0, 0)], key=repr)
-    assert type_list(df, "kind") == ["a", "b", "zz"]
+    assert type_list(df, ["kind"]) == {"kind": ["a", "b", "zz"]}
     with pytest.raises(ValueError):
-        type_list(df, "kind", most=2)
+        type_list(df, ["kind"], most=2)
     assert rows(entity_type_totals(df, "entity", "kind", "at", F.lit(7))) == sorted([("e", "a", 2, 5), ("e", "b", 1, 1), (None, "b", 1, 2), ("f", "zz", 1, 6)], key=repr)
     assert entity_features(df.limit(0), "entity", {"kind": ["a"]}, "at", F.lit(1)).count() == 0
 
