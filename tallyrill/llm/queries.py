@@ -11,7 +11,7 @@ from tallyrill.llm.credentials import find_in_files, find_in_values
 from tallyrill.llm.leakage import find_leaks
 from tallyrill.llm.readability import reading_levels
 from tallyrill.llm.runs import collapse_runs
-from tallyrill.session import table
+from tallyrill.session import spread, table
 
 #: Most nanoseconds from one line of a run to the next.
 RUN_GAP_NS = 15 * 60 * 10**9
@@ -48,7 +48,7 @@ def p2_redacted_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_redacted_files(spark: SparkSession, folder: str) -> DataFrame:
     """Each config file that holds secrets: the lines where they begin, and the file with them blanked."""
-    return find_in_files(table(spark, folder, "config_files"), "file_id", "kind", "path", "content")
+    return find_in_files(spread(table(spark, folder, "config_files").select("file_id", "kind", "path", "content")), "file_id", "kind", "path", "content")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,17 +60,17 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document."""
-    return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
+    return encode_texts(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every document that holds a passage of an evaluation item, with the item."""
-    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
+    return find_leaks(spread(table(spark, folder, "documents").select("doc_id", "text")), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """The reading level of every document whose running text is mainly English."""
-    return reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"), "doc_id", "text", "level")
+    return reading_levels(spread(table(spark, folder, "documents").select("doc_id", "text")), table(spark, folder, "reading_labels"), "doc_id", "text", "level")
 
 
 _P1 = """WITH lines AS (SELECT DISTINCT session_id, line_no,
