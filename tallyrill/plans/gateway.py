@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrill.functions import keys as K
-from tallyrill.operators.entity_features import entity_features, type_list
+from tallyrill.operators.entity_features import entity_features, entity_type_totals, type_list
 from tallyrill.operators.heavy_keys import heavy_key_profile
 from tallyrill.session import table
 
@@ -41,6 +41,14 @@ def p5_features(spark: SparkSession, folder: str) -> DataFrame:
     return wide.withColumn("last_at", F.timestamp_micros(F.expr("last_at div 1000"))).withColumnRenamed("n_events", "n_lines")
 
 
+def p5_type_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """The same totals as rows, with the latest time of each: one for each server key and pattern it has met. Types of
+    any number fit here, where a table of columns has its bound."""
+    lines = K.log_lines(table(spark, folder, "gateway_log"), server_key=K.server_key(), pattern=K.label("pattern_name"), at=K.epoch_nanos("timestamp"))
+    totals = entity_type_totals(lines, "server_key", "pattern", "at", F.xxhash64("session_id", "line_no"))
+    return totals.select("server_key", "pattern", F.col("n_events").alias("n_lines"), F.timestamp_micros(F.expr("last_at div 1000")).alias("last_at"))
+
+
 _LINE_ROWS = """(SELECT DISTINCT session_id, line_no,
   regexp_replace(lower(coalesce(server_name, '')), '[^a-z0-9]', '', 'g') AS server_key,
   regexp_replace(lower(regexp_replace(coalesce(tool_name, ''), '^.*__', '', 's')), '[^a-z0-9]', '', 'g') AS tool_key,
@@ -51,7 +59,7 @@ _LINE_ROWS = """(SELECT DISTINCT session_id, line_no,
 
 _LINES = f"WITH lines AS {_LINE_ROWS}\n"
 
-QUERIES = {"p3_found": p3_found, "p3_profile": p3_profile, "p5_features": p5_features}
+QUERIES = {"p3_found": p3_found, "p3_profile": p3_profile, "p5_features": p5_features, "p5_type_totals": p5_type_totals}
 
 SQL = {
     "p3_found": _LINES + ", both_keys AS (SELECT * FROM lines WHERE server_key <> '' AND tool_key <> '') SELECT server_key, tool_key FROM both_keys GROUP BY ALL HAVING count(*) * 100 >= (SELECT count(*) FROM both_keys)",
@@ -60,5 +68,6 @@ SQL = {
     UNION ALL SELECT server_key, 'severity__' || severity FROM {_LINE_ROWS} WHERE severity <> ''
     UNION ALL SELECT server_key, 'n_lines' FROM {_LINE_ROWS}) ON kind USING count(*) GROUP BY server_key) AS wide
   JOIN (SELECT server_key, max(line_at) AS last_at FROM {_LINE_ROWS} GROUP BY ALL) USING (server_key)""",
+    "p5_type_totals": _LINES + "SELECT server_key, pattern, count(*) AS n_lines, max(line_at) AS last_at FROM lines WHERE pattern <> '' GROUP BY ALL",
     "p3_profile": _LINES + "SELECT server_key, tool_key, count(*) AS n_lines, CAST(sum(blocked) AS BIGINT) AS n_blocked, min(line_at) AS first_at, max(line_at) AS last_at FROM lines WHERE server_key <> '' AND tool_key <> '' GROUP BY ALL",
 }
