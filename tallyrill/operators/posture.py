@@ -274,3 +274,38 @@ def score(checks: DataFrame, host: str) -> DataFrame:
     by_category = named.groupBy("_host", "_category").agg(F.max("_points").alias("_points"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("PASS", "passed"), ("FAIL", "failed"), ("SKIPPED", "skipped"), ("FIXED", "fixed"))))
     total = by_category.groupBy("_host").agg(F.greatest(F.lit(100) - F.sum("_points"), F.lit(0)).alias("score"), *(F.sum(n).alias(n) for n in ("passed", "failed", "skipped", "fixed")))
     return total.select(F.col("_host").alias(host), "score", grade(F.col("score")).alias("grade"), "passed", "failed", "skipped", "fixed")
+
+
+def collection_size(text: Column) -> Column:
+    """Items of a JSON text: a list's length; of an object its ``items``, else its ``entries``, else its own keys; 0 of
+    anything else."""
+
+    def plain(t: Column) -> Column:
+        return F.coalesce(F.json_array_length(t), F.size(F.json_object_keys(t)))
+
+    inner = [F.get_json_object(text, f"$.{k}") for k in ("items", "entries")]
+    named = F.coalesce(F.array_contains(F.json_object_keys(text), "items"), F.lit(False)), F.coalesce(F.array_contains(F.json_object_keys(text), "entries"), F.lit(False))
+    size = F.when(named[0], F.coalesce(plain(inner[0]), F.lit(0))).when(named[1], F.coalesce(plain(inner[1]), F.lit(0))).otherwise(F.coalesce(plain(text), F.lit(0)))
+    return F.when(text.isNull(), 0).otherwise(F.greatest(size, F.lit(0)))
+
+
+def bridge_counts(text: Column) -> Column:
+    """(entries, consented, configured) of a bridge state: its object-valued members, those a user consented to, and
+    whether one is enabled."""
+    members = F.filter(F.map_values(F.from_json(text, "map<string,string>")), lambda v: F.coalesce(F.schema_of_variant(F.try_parse_json(v)).startswith("OBJECT"), F.lit(False)))
+    true = lambda v, key: F.lower(F.coalesce(F.get_json_object(v, f"$.{key}"), F.lit(""))) == "true"
+    members = F.coalesce(members, F.array().cast("array<string>"))
+    return F.struct(F.size(members).alias("entries"), F.size(F.filter(members, lambda v: true(v, "userConsented"))).alias("consented"), F.exists(members, lambda v: true(v, "enabled")).alias("configured"))
+
+
+def text_list(text: Column) -> Column:
+    """The texts of a JSON value: of a list its non-empty strings, of an object the keys that are true, of a string
+    itself; else none. Null where the text is no JSON."""
+    value = F.try_parse_json(text)
+    kind = F.schema_of_variant(value)
+    none = F.array().cast("array<string>")
+    items = F.from_json(text, "array<variant>")
+    strings = F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
+    members = F.map_filter(F.from_json(text, "map<string,string>"), lambda _, v: F.lower(F.coalesce(v, F.lit(""))) == "true")
+    single = F.try_variant_get(value, "$", "string")
+    return F.when(kind.startswith("ARRAY"), F.filter(strings, lambda s: s != "")).when(kind.startswith("OBJECT"), F.array_sort(F.map_keys(members))).when((kind == "STRING") & (single != ""), F.array(single)).when(value.isNotNull(), none)

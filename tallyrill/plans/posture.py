@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrill.operators.posture import find_values, flag_checks, grade, host_facts, points, redacted_json, score
+from tallyrill.operators.posture import bridge_counts, collection_size, find_values, flag_checks, grade, host_facts, points, redacted_json, score, text_list
 from tallyrill.plans.literals import Literal
 from tallyrill.plans.scans import p6_checks
 from tallyrill.session import table
@@ -27,6 +27,17 @@ DOCS = Literal(
 
 CHECKS = Literal("host string, status string, check_name string, category string, severity string", [("a", "FAIL", "x", "egress", "critical"), ("a", "FAIL", "y", "egress", "low"), ("a", "FAIL", "z", "", "HIGH"), ("a", "PASS", "w", "b", "high"), ("a", "FIXED", "v", "c", "high"), ("b", "SKIPPED", "x", "e", "info"), *(("c", "FAIL", f"n{i}", f"k{i}", "critical") for i in range(6)), ("d", "FAIL", "q", None, None)])
 
+VALUES = Literal(
+    "row_id int, text string",
+    [(1, "[1, null, 3]"), (2, '{"items": [1, 2], "entries": [3]}'), (3, '{"entries": {"a": 1, "b": 2, "c": 3}}'), (4, '{"x": true, "y": "TRUE", "z": false}'), (5, '"text"'), (6, "7"), (7, "{"), (8, None), (9, '["a", "", 1, "b"]'), (10, '{"items": 5}'), (11, '{"a": {"userConsented": true, "enabled": "true"}, "b": {"userConsented": false}, "c": 1}')],
+)
+
+
+def posture_collections(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes, bridge counts and texts of literal values in every shape."""
+    t = F.col("text")
+    return VALUES.frame(spark).withColumn("b", bridge_counts(t)).select("row_id", collection_size(t).alias("n_items"), "b.entries", "b.consented", "b.configured", F.array_join(text_list(t), ",").alias("texts"))
+
 
 def posture_score(spark: SparkSession, folder: str) -> DataFrame:
     """Score and grade of every scan from its checks, statuses read without case."""
@@ -69,12 +80,14 @@ def posture_grades(spark: SparkSession, folder: str) -> DataFrame:
     return spark.range(101).select(F.col("id").alias("score"), grade(F.col("id")).alias("grade"))
 
 
-QUERIES = {f.__name__: f for f in (posture_score, posture_score_cases, posture_hosts, posture_severities, posture_values, posture_redacted, posture_grades)}
+QUERIES = {f.__name__: f for f in (posture_collections, posture_score, posture_score_cases, posture_hosts, posture_severities, posture_values, posture_redacted, posture_grades)}
 
 _POINTS = "CASE lower(coalesce(severity, '')) WHEN 'critical' THEN 20 WHEN 'high' THEN 12 WHEN 'medium' THEN 6 WHEN 'low' THEN 3 ELSE 0 END"
 _GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END"
 
 SQL = {
+    "posture_collections": """SELECT * FROM (VALUES (1, 3, 0, 0, false, ''), (2, 2, 0, 0, false, ''), (3, 3, 1, 0, false, ''), (4, 3, 0, 0, false, 'x,y'), (5, 0, 0, 0, false, 'text'), (6, 0, 0, 0, false, ''), (7, 0, 0, 0, false, NULL), (8, 0, 0, 0, false, NULL), (9, 4, 0, 0, false, 'a,b'), (10, 0, 0, 0, false, ''), (11, 3, 2, 1, true, ''))
+      AS t(row_id, n_items, entries, consented, configured, texts)""",
     "posture_score_cases": f"""WITH c AS (SELECT host, coalesce(nullif(category, ''), check_name) AS category, max(CASE WHEN status = 'FAIL' THEN {_POINTS} ELSE 0 END) AS p, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (status = 'SKIPPED') AS skipped, count(*) FILTER (status = 'FIXED') AS fixed
         FROM {CHECKS.sql()} GROUP BY ALL), t AS (SELECT host, greatest(0, 100 - sum(p)) AS score, sum(passed) AS passed, sum(failed) AS failed, sum(skipped) AS skipped, sum(fixed) AS fixed FROM c GROUP BY ALL)
       SELECT host, CAST(score AS BIGINT) AS score, {_GRADE} AS grade, CAST(passed AS BIGINT) AS passed, CAST(failed AS BIGINT) AS failed, CAST(skipped AS BIGINT) AS skipped, CAST(fixed AS BIGINT) AS fixed FROM t""",
