@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyrill.functions import servers as S
+from tallyrill.operators.inventory import keep_first
 from tallyrill.plans.literals import Literal
 from tallyrill.session import table
 from tallyrill.sources import configs, rpc
@@ -25,6 +28,9 @@ ANSWERS = Literal(
 )
 LINES = Literal("line_no int, line string", [(1, '{"jsonrpc":"2.0","id":1,"method":"tools/call","params":{"n":1}}'), (2, "   "), (3, "plain words"), (4, '{"method":"notifications/initialized"}'), (5, '{"id":1,"result":{}}'), (6, '{"id":2,"method":"x/y"}'), (7, "[1,2]"), (8, '{"id":3,"method":"initialize"}')])
 SETTINGS = Literal("row_id int, file string, env string", [(1, "f", "e"), (2, " ", "e"), (3, None, None), (4, "", "  "), (5, None, "e")])
+_PROJECTS = {p: {"mcpServers": {f"srv{i}": {"command": "c"}}} for i, p in enumerate(("/w", "/w/app", "/w/app/sub", "/other", "/w/application"))}
+USER_CONFIGS = Literal("config string, text string", [("one", json.dumps({"projects": _PROJECTS})), ("two", json.dumps({"projects": {k: v for k, v in _PROJECTS.items() if k != "/w/app"}})), ("three", "{"), ("four", "{}")])
+SESSIONS = Literal("session string, text string", [("s1", '{"remoteMcpServersConfig":[{"uuid":"u1","name":"My Docs","url":"https://docs.example","headers":{"Authorization":"x"}},{"uuid":"u2","name":"","url":" "}]}'), ("s2", '{"remoteMcpServersConfig":[{"uuid":"u1","name":"My Docs","url":"https://docs.example"}]}'), ("s3", "[]")])
 _START = datetime(2026, 1, 1)
 _WAITS = [("tools/call", 59), ("tools/call", 61), ("tools/list", 20), ("tools/list", 21), ("ping", 8), ("ping", 9), ("initialize", -1)]
 
@@ -79,9 +85,22 @@ def state_names(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("file_id", configs.looks_like_state(F.col("name")).alias("is_state"), configs.name_matches(F.array("name"), ["deploy", "SERVER"]).alias("n_matches"))
 
 
-QUERIES = {f.__name__: f for f in (rpc_results, sse_results, http_results, rpc_lines, jsonrpc_correlate, settings_origin, json_statuses, config_file_servers, state_names)}
+def project_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Servers of the projects that belong to /w/app: the project named so, else those around and in it."""
+    return configs.project_servers(USER_CONFIGS.frame(spark), "config", "text", "/w/app").select(F.col("path").alias("config"), "project", "name")
+
+
+def session_servers(spark: SparkSession, folder: str) -> DataFrame:
+    """Remote servers of session documents, once for each name and address, with the name and route they get."""
+    remotes = configs.remote_servers(SESSIONS.frame(spark), "session", "text").withColumn("server_name", S.remote_name(F.col("name"), F.col("url"), F.col("uuid")))
+    return keep_first(remotes, ["server_name", "url"], ["path"]).select("server_name", "url", F.col("path").alias("first_session"), S.needs_native_auth(F.lit("http"), F.col("url"), F.col("headers")).alias("native_auth"))
+
+
+QUERIES = {f.__name__: f for f in (rpc_results, sse_results, http_results, rpc_lines, jsonrpc_correlate, settings_origin, json_statuses, config_file_servers, state_names, project_matches, session_servers)}
 
 SQL = {
+    "project_matches": "SELECT * FROM (VALUES ('one', '/w/app', 'srv1'), ('two', '/w', 'srv0'), ('two', '/w/app/sub', 'srv2')) AS t(config, project, name)",
+    "session_servers": "SELECT 'my-docs' AS server_name, 'https://docs.example' AS url, 's1' AS first_session, false AS native_auth",
     "rpc_results": f"""SELECT body_id, CASE WHEN error <> '' THEN NULL WHEN blank THEN '{{}}' ELSE coalesce(CAST(j->'$.result' AS VARCHAR), '{{}}') END AS result, error FROM (SELECT *, CASE WHEN blank THEN '' WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN 'unparsable response'
       WHEN j->>'$.id' <> CAST(wanted AS VARCHAR) THEN 'unexpected response id' WHEN json_exists(j, '$.error') THEN coalesce(nullif(j->>'$.error.message', ''), 'error') ELSE '' END AS error FROM (SELECT *, trim(coalesce(body, '')) = '' AS blank, TRY_CAST(body AS JSON) AS j FROM {BODIES.sql()}))""",
     "sse_results": """SELECT * FROM (VALUES (1, 1, '{"a":1}'), (2, 2, '{"y":1}'), (3, 0, NULL), (4, 0, NULL), (5, 0, NULL), (6, 2, NULL)) AS t(stream_id, n_payloads, result)""",
