@@ -30,7 +30,7 @@ ENGLISH = frozenset("the a an and or but of to in on at for from with by as is a
 FOREIGN = frozenset("der die das und ist nicht ein eine den dem des auf mit für sich im bitte jede jeder danach niemand le la les des un une et est pas ne dans du pour sur avec que qui chaque personne ensuite el los las una y es no en del por con se al cada mañana después otra il lo gli di che non per sono".split()) - ENGLISH
 
 #: Abbreviations whose dot ends no sentence.
-ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "st", "jr", "sr", "vs", "no", "sec", "fig", "cf", "eg", "ie", "e.g", "i.e", "etc", "approx", "a.m", "p.m", "inc", "ltd", "dept", "al", "vol", "pp")
+ABBREVIATIONS = frozenset(("mr", "mrs", "ms", "dr", "st", "jr", "sr", "vs", "no", "sec", "fig", "cf", "eg", "ie", "e.g", "i.e", "etc", "approx", "a.m", "p.m", "inc", "ltd", "dept", "al", "vol", "pp"))
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.M | re.S)
 _ANSI = re.compile(r"\x1b\[[0-9;?]*[A-Za-z]")
@@ -38,16 +38,38 @@ _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,300}>", re.S)
 _LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*(?:\s\"[^\"]*\")?\)")
 _JSON = re.compile(r"\{\s*\"(?:[^{}\"]|\"(?:[^\"\\]|\\.)*\")*\}", re.S)
 _INLINE_CODE = re.compile(r"`[^`\n]*`")
-_NOISE = re.compile(r"https?://\S+|\((?:see |cf\.? )?[^()]{0,40}[0-9_][^()]{0,40}\)|\[[0-9a-fA-F]{4,}\]|\b\w+(?:_\w+)+\b|\b[a-z]+-\d+\b|\bv?\d+(?:\.\d+)+\b")
+#: Inline matter that is no running text, each looked for only where its mark is in the text.
+_NOISE = (
+    ("://", re.compile(r"https?://\S+")),
+    ("(", re.compile(r"\((?:see |cf\.? )?[^()]{0,40}[0-9_][^()]{0,40}\)")),
+    ("[", re.compile(r"\[[0-9a-fA-F]{4,}\]")),
+    ("_", re.compile(r"\b\w+(?:_\w+)+\b")),
+    ("-", re.compile(r"\b[a-z]+-\d+\b")),
+    (".", re.compile(r"\bv?\d+(?:\.\d+)+\b")),
+)
 _ITEM = re.compile(r"^[ \t>]*(?:[-*+•]|\d+[.)])[ \t]+")
 _HEADING = re.compile(r"^[ \t]*#{1,6}[ \t]|^[ \t]*(?:=+|-{3,}|\*{3,})[ \t]*$")
 _LOG = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:|\d\d:\d\d:\d\d|\||\+[-+]+\+|[{}\[\]]|\"[^\"]*\"\s*:|at \w+[.(]|\$ |>>> |(?:import|from|def|class|const|let|var|export|return) .*[=({;:]|\w+\s*=\s*\S+$)")
 _LETTERS = re.compile(r"[^\W\d_]")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_DOTTED = re.compile(r"\b(?:" + "|".join(re.escape(a) for a in ABBREVIATIONS) + r")\.|\b[A-Za-z]\.(?=\s?[A-Za-z]\.)|(?<=\d)\.(?=\d)|(?<=\b[A-Z])\.(?=\s[A-Z])", re.I)
+_DOT = re.compile(r"\.")
+_INITIAL_NEXT, _NAME_NEXT = re.compile(r"\s?[A-Za-z]\."), re.compile(r"\s[A-Z]")
 _END = re.compile(r"[.!?…]+[\"'”’)\]]*(?:\s+|$)|[。！？]")
 
 
+def _dot(found: re.Match) -> str:
+    """A dot, or a blank where it ends no sentence: after an abbreviation, between digits, behind initials."""
+    text, at = found.string, found.start()
+    before, after = text[max(0, at - 8) : at], text[at + 1 : at + 4]
+    token = re.split(r"[^A-Za-z.]+", before)[-1].lower()
+    last = before[-1:]
+    if token in ABBREVIATIONS or (last.isdigit() and after[:1].isdigit()):
+        return " "
+    if last.isalpha() and not before[-2:-1].isalnum() and (_INITIAL_NEXT.match(after) or (last.isupper() and _NAME_NEXT.match(after))):
+        return " "
+    return "."
+
+
 def running_sentences(text: str) -> list[list[str]]:
     """The sentences of a document's running text, each as its words."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -63,7 +85,13 @@ def running_sentences(text: str) -> list[list[str]]:
         text = _JSON.sub(" ", text)
     if "<" in text:
         text = _TAG.sub(" ", text)
-    text = _NOISE.sub(" ", _INLINE_CODE.sub(" ", _LINK.sub(r"\1", text)))
+    if "](" in text:
+        text = _LINK.sub(r"\1", text)
+    if "`" in text:
+        text = _INLINE_CODE.sub(" ", text)
+    for mark, pattern in _NOISE:
+        if mark in text:
+            text = pattern.sub(" ", text)
     units, open_unit = [], []
     for line in [*text.split("\n"), ""]:
         if not line.strip() or _HEADING.match(line) or _LOG.match(line):
@@ -78,7 +106,7 @@ def running_sentences(text: str) -> list[list[str]]:
             open_unit.append(line.strip(" \t>*"))
     sentences = []
     for unit in units:
-        for part in _END.split(_DOTTED.sub(lambda m: m[0].replace(".", " "), unit)):
+        for part in _END.split(_DOT.sub(_dot, unit)):
             if part and (words := _WORDS.findall(part)):
                 sentences.append(words)
     return sentences
@@ -143,9 +171,10 @@ def profile(text: str | None) -> tuple | None:
     english, words = [], 0
     for s in sentences:
         words += len(s)
-        low = [w.lower() for w in s]
-        own, other = sum(w in ENGLISH for w in low), sum(w in FOREIGN for w in low)
-        plain = sum(w.isascii() for w in low)
+        joined = " ".join(s).lower()
+        low = joined.split(" ")
+        own, other = sum(map(ENGLISH.__contains__, low)), sum(map(FOREIGN.__contains__, low))
+        plain = len(low) if joined.isascii() else sum(map(str.isascii, low))
         if own > other and own >= 0.08 * len(low) and plain >= 0.8 * len(low):
             english.append(s)
     if not english:
