@@ -80,5 +80,6 @@ def snapshot_changes(snapshots: DataFrame, items: DataFrame, key: Sequence[str],
     wide = buckets or parallelism(snapshots.sparkSession) * BUCKETS_EACH
     numbered = hashed.join(chain, "snapshot_id").withColumn("bucket", F.pmod(F.hash("source_hash", "item_hash"), F.lit(wide)))
     differ = numbered.groupBy("bucket").applyInArrow(_bucket_changes, "from_snapshot bigint, item_hash bigint, snapshot_id bigint, change string")
-    full = items.select(F.col("snapshot_id").alias("from_snapshot"), tagged(key).alias("item_hash"), *key).distinct()
-    return differ.join(full, ["from_snapshot", "item_hash"]).select("snapshot_id", *key, "change")
+    full = items.select(F.col("snapshot_id").alias("from_snapshot"), tagged(key).alias("item_hash"), *key)
+    # repeated items are folded behind the join, where only what differs is left
+    return differ.join(full, ["from_snapshot", "item_hash"]).select("snapshot_id", *key, "change").distinct()
