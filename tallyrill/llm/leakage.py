@@ -121,6 +121,8 @@ class Partition:
 class LeakIndex:
     items: list[Item]
     partitions: list[Partition]
+    shingles: np.ndarray  # of all items, sorted, with the item that has each
+    owner: np.ndarray
     shingle: int
     passage: int
     words_an_edit: int
@@ -140,7 +142,22 @@ class LeakIndex:
             flat = np.concatenate(minima)
             order = np.argsort(flat, kind="stable")
             partitions.append(Partition(width, flat[order], owner[order]))
-        return cls(items, partitions, shingle, passage, words_an_edit)
+        every = np.concatenate([np.zeros(0, np.uint64), *(i.shingles for i in items)])
+        owner = np.repeat(np.arange(len(items)), [len(i.shingles) for i in items]).astype(np.int64)
+        order = np.argsort(every, kind="stable")
+        return cls(items, partitions, every[order], owner[order], shingle, passage, words_an_edit)
+
+    def needed(self) -> int:
+        """Whole shingles that the worst placed edits leave among the neighbouring ones of a shortest passage."""
+        return max(1, self.passage - self.shingle + 1 - self.shingle * (self.passage // self.words_an_edit))
+
+    def contained(self, hashes: np.ndarray) -> np.ndarray:
+        """How many shingles of each item a text holds, for all items at once."""
+        own = np.unique(hashes)
+        low, high = np.searchsorted(self.shingles, own), np.searchsorted(self.shingles, own, "right")
+        count = (high - low)[high > low]
+        at = np.repeat(low[high > low], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.bincount(self.owner[at], minlength=len(self.items))
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """(text number, item number) of every leak."""
@@ -160,8 +177,10 @@ class LeakIndex:
                 for a, b in zip(low[high > low].tolist(), high[high > low].tolist()):
                     candidates.update(part.owner[a:b].tolist())
             if candidates:
-                order = np.argsort(hashes, kind="stable")
-                found += [(n, c) for c in sorted(candidates) if self.verify(self.items[c], own, hashes, order)]
+                held = self.contained(hashes)
+                if candidates := [c for c in sorted(candidates) if held[c] >= self.needed()]:
+                    order = np.argsort(hashes, kind="stable")
+                    found += [(n, c) for c in candidates if self.verify(self.items[c], own, hashes, order)]
         return found
 
     def verify(self, item: Item, text: np.ndarray, hashes: np.ndarray, order: np.ndarray) -> bool:
@@ -169,18 +188,21 @@ class LeakIndex:
         ranked = hashes[order]
         low, high = np.searchsorted(ranked, item.shingles), np.searchsorted(ranked, item.shingles, "right")
         there = high > low
-        # a passage keeps so many whole shingles among the neighbouring ones of a shortest passage
         span = self.passage - self.shingle + 1
-        needed = span - self.shingle * (self.passage // self.words_an_edit)
         held = np.r_[0, np.cumsum(there)]
         width = min(span, len(there))
-        if (held[width:] - held[:-width]).max(initial=0) < max(1, needed):
+        if (held[width:] - held[:-width]).max(initial=0) < self.needed():
             return False
         n, slack = len(item.words), len(item.words) // self.words_an_edit + 1
         at = np.flatnonzero(there)
         count = (high - low)[at]
         item_place = np.repeat(at, count)
         text_place = order[np.repeat(low[at], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        # a passage word for word needs no alignment: its shingles follow each other at one distance
+        line = np.sort((text_place - item_place) * (n + 1) + item_place)
+        breaks = np.flatnonzero(np.diff(line) != 1)
+        if np.diff(np.r_[-1, breaks, len(line) - 1]).max(initial=0) >= span:
+            return True
         # stretches of the text that an alignment through one of the common shingles can reach
         begin = np.maximum(0, text_place - item_place - slack)
         stop = np.minimum(len(text), text_place + (n - item_place) + slack)
