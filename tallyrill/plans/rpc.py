@@ -69,7 +69,7 @@ def settings_origin(spark: SparkSession, folder: str) -> DataFrame:
 def json_statuses(spark: SparkSession, folder: str) -> DataFrame:
     """How each posture payload reads as a document."""
     scans = table(spark, folder, "posture_scans")
-    return scans.select("scan_id", configs.json_status(F.octet_length("payload"), F.col("payload"), 4000).alias("status"))
+    return scans.select("scan_id", configs.json_status(F.octet_length("payload"), F.col("payload")).alias("status"))
 
 
 def config_file_servers(spark: SparkSession, folder: str) -> DataFrame:
