@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import posixpath
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,6 +22,11 @@ GRADES = ((90, "A"), (75, "B"), (60, "C"), (40, "D"))
 DEEPEST = 12
 REDACTED = "[REDACTED]"
 SECRET_TEXT_TERMS = ("sk-", "token=", "secret=", "password=", "authorization:")
+#: Keys under which extensions are granted folders, that of an enabled allowlist in dotted keys, and the names of the
+#: blocklist document.
+FOLDER_KEYS = ("allowed_directories", "allowedDirectories")
+ALLOWLIST = "dxt:allowlistenabled"
+BLOCKLISTS = ("extensions-blocklist.json", "extensions_blocklist", "extensionBlocklist")
 TASK_KEYS = ("cron", "cronExpression", "schedule", "prompt")
 TASK_TERMS = ("websearch", "webfetch", "browser", "bash", "run_command", "write_file", "edit_file", "network", "filesystem", "mcp")
 
@@ -126,6 +132,33 @@ def _tools(value: object) -> set[str]:
     return {n for v in value if (n := v if isinstance(v, str) else _first_text(v, "name", "tool", "id") if isinstance(v, dict) else "")} if isinstance(value, list) else set()
 
 
+def _broad(folder: str, home: str = "") -> bool:
+    """Whether a folder is a root, the home folder, a drive, or a documents or desktop folder."""
+    clean = lambda path: "/" + p.lstrip("/") if (p := posixpath.normpath(path.replace("\\", "/"))).startswith("/") else p
+    plain = clean(folder).strip()
+    lower = plain.lower()
+    return plain in ("/", "~", ".") or lower in (clean(home).lower(), "c:", "c:/", "%userprofile%") or lower.endswith(("/documents", "/desktop"))
+
+
+def _size(value: object) -> int:
+    """Items of a list, or of an object's ``items``, else its ``entries``, else its own keys."""
+    if isinstance(value, dict):
+        return next((_size(value[k]) for k in ("items", "entries") if k in value), len(value))
+    return len(value) if isinstance(value, list) else 0
+
+
+def flatten(document: object) -> Iterator[tuple[str, object]]:
+    """The dotted key and value of every member of an object and of the objects in it, inner ones included, however deep;
+    lists are not entered."""
+    held = [("", document)]
+    while held:
+        prefix, value = held.pop()
+        for k, v in value.items() if isinstance(value, dict) else ():
+            key = f"{prefix}.{k}" if prefix else k
+            yield key, v
+            held.append((key, v))
+
+
 def _tasks(value: object) -> tuple[int, int]:
     """Task definitions and those that reach for tools or the network."""
     if isinstance(value, list):
@@ -145,8 +178,9 @@ FACTS = (
 )
 
 
-def document_facts(document: object) -> dict:
-    """What the checks need to know of a host's state documents, given as one object of documents."""
+def document_facts(document: object, home: str = "") -> dict:
+    """What the checks need to know of a host's state documents, given as one object of documents; ``home`` is the
+    user's home folder, where it is known."""
     doc = document if isinstance(document, dict) else {}
     prefs = doc.get("preferences") if isinstance(doc.get("preferences"), dict) else {}
     setting = lambda key: _tri(prefs[key]) if key in prefs else next((t for v in _under(doc, key)[:1] if (t := _tri(v)) is not None), None)
@@ -163,16 +197,17 @@ def document_facts(document: object) -> dict:
         "sensitive_env": any(_any_term(k, S.SENSITIVE_KEY_TERMS) for s in servers if isinstance(s.get("env"), dict) for k in s["env"]), "servers": len(servers),
         "active_sessions": sum(map(_true, _under(doc, "hostLoopMode"))), "bridge": any(_true(b.get("enabled")) for b in bridge),
         "domains": [REDACTED if _any_term(d, SECRET_TEXT_TERMS) else d for d in domains], "wildcard": any(d.strip() in ("*", "0.0.0.0/0", "::/0") for d in domains),
-        "installed": len(extensions), "unsigned": sum(_signature(e).lower() in ("unsigned", "invalid") for e in extensions), "dangerous": sum(bool({t.lower() for v in _under(e, "tools") for t in _tools(v)} & set(S.DANGEROUS_TOOLS)) for e in extensions), "broad": 0,
-        "governed": bool(_under(doc, "extensionAllowlist") or _under(doc, "extensionBlocklist")), "hooks": sum(h[0] for h in hooks), "risky_hooks": sum(h[1] for h in hooks), "hook_names": sorted(set().union(*(h[2] for h in hooks)))[:30],
+        "installed": len(extensions), "unsigned": sum(_signature(e).lower() in ("unsigned", "invalid") for e in extensions), "dangerous": sum(bool({t.lower() for v in _under(e, "tools") for t in _tools(v)} & set(S.DANGEROUS_TOOLS)) for e in extensions),
+        "broad": sum(_broad(d, home) for k in FOLDER_KEYS for v in _under(doc, k) for d in _texts(v)),
+        "governed": any(ALLOWLIST in k.lower() and _true(v) for k, v in flatten(doc)) or any(_size(v) for k in BLOCKLISTS for v in _under(doc, k)), "hooks": sum(h[0] for h in hooks), "risky_hooks": sum(h[1] for h in hooks), "hook_names": sorted(set().union(*(h[2] for h in hooks)))[:30],
         "plugins": len({p for v in _under(doc, "marketplaces") for p in _tools(v)}), "connectors": len({c for v in _under(doc, "connectors") for c in _connectors(v)}), "tasks": sum(t[0] for t in tasks) + crons, "sensitive_tasks": sum(t[1] for t in tasks),
         "startup": len([x for v in _under(doc, "startupEntries") for x in _texts(v)]), "cookies": len([x for v in _under(doc, "cookies") for x in _texts(v)]),
     }
 
 
-def host_facts(df: DataFrame, text: str, into: str = "facts") -> DataFrame:
+def host_facts(df: DataFrame, text: str, into: str = "facts", home: str | None = None) -> DataFrame:
     """``df`` with the facts of a JSON text of state documents, read in batches; a text that is no JSON has those of an
-    empty one."""
+    empty one. home: the column of each host's home folder, if there is one."""
 
     def load(t: str | None) -> object:
         try:
@@ -181,10 +216,10 @@ def host_facts(df: DataFrame, text: str, into: str = "facts") -> DataFrame:
             return {}
 
     @F.pandas_udf(FACTS)
-    def facts(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([document_facts(load(t)) for t in texts], columns=[f.split()[0] for f in FACTS.split(", ")])
+    def facts(texts: pd.Series, homes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([document_facts(load(t), h or "") for t, h in zip(texts, homes)], columns=[f.split()[0] for f in FACTS.split(", ")])
 
-    return df.withColumn(into, facts(text))
+    return df.withColumn(into, facts(text, F.col(home) if home else F.lit("")))
 
 
 def _redact(value: object, key: str = "") -> object:

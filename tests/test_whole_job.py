@@ -5,6 +5,7 @@ import json
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tallyrill.operators import posture
 from tallyrill.plans import catalogue
 from tallyrill.sources import configs
 
@@ -15,3 +16,26 @@ def test_long_payloads_are_read(spark, tmp_path):
     assert rows(catalogue.queries()["json_statuses"](spark, str(tmp_path))) == [(1, "ok"), (2, "invalid_json"), (3, "ok"), (4, "missing")]
     df = spark.createDataFrame([("[1]",), ("[12]",)], "t string")
     assert rows(df.select(configs.json_status(F.octet_length("t"), F.col("t"), 3))) == [("ok",), ("too_large",)]
+
+
+def test_broad_folders_and_governance(spark):
+    extension = {"extensions": {"installations": [{"id": "e"}]}}
+    hosts = {
+        "root": {**extension, "settings": [{"allowed_directories": ["/"]}]},
+        "home": {**extension, "settings": {"a": {"allowedDirectories": {"~": True, "/srv": True}}, "b": {"allowedDirectories": "C:\\Users\\u\\Documents\\"}}},
+        "own": {**extension, "allowedDirectories": ["/home/u/x/.."]},
+        "narrow": {**extension, "allowedDirectories": ["/srv/data", "", None]},
+        "allowed": {**extension, "org": {"a.dxt:allowlistEnabled": "TRUE"}},
+        "off": {**extension, "dxt:allowlistEnabled": False, "extensionAllowlist": ["e"], "list": [{"dxt:allowlistEnabled": True}]},
+        "blocked": {**extension, "extensions-blocklist.json": {"entries": [{"id": "x"}]}},
+        "empty": {**extension, "extensionBlocklist": {"items": [], "version": 1}},
+    }
+    df = spark.createDataFrame([(h, json.dumps(d), "/home/u/") for h, d in hosts.items()], "host string, text string, home string")
+    facts = posture.host_facts(df, "text", home="home")
+    assert rows(facts, "host", "facts.broad", "facts.governed") == [("allowed", 0, True), ("blocked", 0, True), ("empty", 0, False), ("home", 2, False), ("narrow", 0, False), ("off", 0, False), ("own", 1, False), ("root", 1, False)]
+    fields = ("installed", "unsigned", "dangerous", "broad", "governed")
+    checks = facts.select("host", F.explode(posture.flag_checks({f: F.col(f"facts.{f}") for f in fields})).alias("c")).where("c.category = 'extensions'").select("host", "c.*")
+    assert rows(posture.score(checks, "host"), "host", "score") == [("allowed", 100), ("blocked", 100), ("empty", 88), ("home", 88), ("narrow", 88), ("off", 88), ("own", 88), ("root", 88)]
+    assert rows(checks.where("check_name = 'extension_risk' and status = 'FAIL'"), "host") == [("home",), ("own",), ("root",)]
+    assert posture.document_facts({"allowedDirectories": ["/home/u", ".", "c:/", "//", "/x/Desktop"]})["broad"] == 4
+    assert dict(posture.flatten({"a": {"b": {"c": 1}}, "d": [{"e": 2}]})) == {"a": {"b": {"c": 1}}, "a.b": {"c": 1}, "a.b.c": 1, "d": [{"e": 2}]}
