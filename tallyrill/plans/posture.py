@@ -65,8 +65,8 @@ def posture_severities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def posture_values(spark: SparkSession, folder: str) -> DataFrame:
-    """Every value under ``source``, ``signature`` or ``count`` at any depth of every scan, counted."""
-    found = find_values(table(spark, folder, "posture_scans"), "scan_id", "payload", ["source", "signature", "count"], deepest=5)
+    """Every value under ``source``, ``signature`` or ``count`` at any depth (down to the operator's bound) of every scan, counted."""
+    found = find_values(table(spark, folder, "posture_scans"), "scan_id", "payload", ["source", "signature", "count"])
     return found.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n_values"))
 
 

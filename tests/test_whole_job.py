@@ -39,3 +39,9 @@ def test_broad_folders_and_governance(spark):
     assert rows(checks.where("check_name = 'extension_risk' and status = 'FAIL'"), "host") == [("home",), ("own",), ("root",)]
     assert posture.document_facts({"allowedDirectories": ["/home/u", ".", "c:/", "//", "/x/Desktop"]})["broad"] == 4
     assert dict(posture.flatten({"a": {"b": {"c": 1}}, "d": [{"e": 2}]})) == {"a": {"b": {"c": 1}}, "a.b": {"c": 1}, "a.b.c": 1, "d": [{"e": 2}]}
+
+
+def test_deep_values_are_found(spark, tmp_path):
+    payload = lambda levels: '{"a":' * levels + '{"count":1}' + "}" * levels
+    spark.createDataFrame([(n, payload(n)) for n in (0, 5, 6, 12, 13)], "scan_id int, payload string").write.parquet(str(tmp_path / "posture_scans.parquet"))
+    assert rows(catalogue.queries()["posture_values"](spark, str(tmp_path))) == [("count", "1", 4)]
