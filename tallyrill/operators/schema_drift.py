@@ -54,12 +54,13 @@ def path_values(records: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def value_shape(value: Column) -> Column:
-    """What a value looks like: runs of hexadecimal, digits and letters as one sign each, other signs as they are."""
-    shape = F.regexp_replace(F.substring(value, 1, 4096), r"\b(?=[a-f]*[0-9])[0-9a-f]{32,}\b", "①")
+    """What a value looks like, to its end: runs of hexadecimal, digits and letters as one sign each, other signs as they
+    are."""
+    shape = F.regexp_replace(value, r"\b(?=[a-f]*[0-9])[0-9a-f]{32,}\b", "①")
     shape = F.regexp_replace(shape, r"\b(?=[a-f]*[0-9])[0-9a-f]{8,31}\b", "②")
     for least, sign in ((7, "③"), (4, "④"), (2, "⑤"), (1, "⑥")):
         shape = F.regexp_replace(shape, f"[0-9]{{{least},}}", sign)
-    return F.substring(F.regexp_replace(F.regexp_replace(shape, r"\p{L}+", "a"), r"\s+", " "), 1, 48)
+    return F.regexp_replace(F.regexp_replace(shape, r"\p{L}+", "a"), r"\s+", " ")
 
 
 def field_stats(values: DataFrame, file_key: Sequence[str]) -> DataFrame:

@@ -1,11 +1,13 @@
 """Cases past the cuts that operators once had: long documents, deep values, far differences."""
 
 import json
+import random
 
 from conftest import rows
 from pyspark.sql import functions as F
 
 from tallyrill.operators import posture
+from tallyrill.operators.schema_drift import schema_changes
 from tallyrill.plans import catalogue
 from tallyrill.sources import configs
 
@@ -45,3 +47,21 @@ def test_deep_values_are_found(spark, tmp_path):
     payload = lambda levels: '{"a":' * levels + '{"count":1}' + "}" * levels
     spark.createDataFrame([(n, payload(n)) for n in (0, 5, 6, 12, 13)], "scan_id int, payload string").write.parquet(str(tmp_path / "posture_scans.parquet"))
     assert rows(catalogue.queries()["posture_values"](spark, str(tmp_path))) == [("count", "1", 4)]
+
+
+def drift(spark, files):
+    lines = [("f", no, json.dumps(r)) for no, records in enumerate(files) for r in records]
+    return rows(schema_changes(spark.createDataFrame(lines, "feed string, file_no bigint, record string"), "feed", "file_no", "record"), "file_no", "change", "field", "new_field")
+
+
+def words(seed, n=8):
+    return ["".join(random.Random(f"{seed} {i}").choices("ghijklmnop", k=12)) for i in range(n)]
+
+
+def test_shapes_to_the_end(spark):
+    for least in (30, 3000):
+        head = "some words " * least
+        like = [[{"old": head + w + " (x/y)"} for w in words("a")], [{"new": head + w + " (x/y)"} for w in words("b")]]
+        assert drift(spark, like) == [(1, "renamed", "old", "new")]
+        unlike = [[{"old": head + w + " (x/y)"} for w in words("a")], [{"new": head + w + " <7>"} for w in words("b")]]
+        assert drift(spark, unlike) == [(1, "added", "new", ""), (1, "removed", "old", "")]
