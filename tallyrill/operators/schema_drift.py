@@ -3,12 +3,14 @@
 Records are read as path-value maps with the raw JSON type of each value. Statistics of each file and field (types held,
 and a small sketch of its values) are all that moves; consecutive files are compared by an equi-join on file and field.
 A field that goes while another comes in the same file is a rename if both carry the same kind of values, judged by
-one-permutation MinHash sketches of the two fields' values and of their shapes, taken over the whole feed.
+one-permutation MinHash sketches of the two fields' values and of their shapes, taken over the whole feed; where several
+go and come, the likest pair first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,7 +125,17 @@ def schema_changes(df: DataFrame, feed: str, file_no: str, record: str) -> DataF
     scored = pairs.select("feed", "file_no", "old", "new", (score + shapes / 10).alias("score"), score.alias("own")).where(F.col("own") >= SAME_KIND)
     best = scored.groupBy("feed", "file_no", "old", "new").agg(F.max("score").alias("score"))
     rank = lambda side, other: F.row_number().over(Window.partitionBy("feed", "file_no", side).orderBy(F.desc("score"), other))
-    renames = cut(best.select("*", rank("old", "new").alias("_o"), rank("new", "old").alias("_n")).where("_o = 1 and _n = 1").select("feed", "file_no", "old", "new"))
+    # pairs that prefer each other, then those among what they leave, until no pair is left; the best pair of a file
+    # always does, so each round ends some
+    rounds, left = [], best
+    while not rounds or not left.isEmpty():
+        ranked = cut(left.select("*", rank("old", "new").alias("_o"), rank("new", "old").alias("_n")))
+        rounds.append(ranked.where("_o = 1 and _n = 1").select("feed", "file_no", "old", "new"))
+        left = ranked.drop("_o", "_n")
+        for side in ("old", "new"):
+            left = left.join(rounds[-1].select("feed", "file_no", side), ["feed", "file_no", side], "left_anti")
+        left = left.select("feed", "file_no", "old", "new", "score")
+    renames = reduce(DataFrame.unionByName, rounds)
 
     plain = moved.select("feed", "file_no", "field", F.when(F.col("now").isNull(), "removed").otherwise("added").alias("change"))
     taken = renames.select("feed", "file_no", F.explode(F.array(F.struct(F.col("old").alias("field"), F.lit("removed").alias("change")), F.struct(F.col("new").alias("field"), F.lit("added").alias("change")))).alias("x")).select("feed", "file_no", "x.field", "x.change")

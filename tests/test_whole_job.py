@@ -65,3 +65,11 @@ def test_shapes_to_the_end(spark):
         assert drift(spark, like) == [(1, "renamed", "old", "new")]
         unlike = [[{"old": head + w + " (x/y)"} for w in words("a")], [{"new": head + w + " <7>"} for w in words("b")]]
         assert drift(spark, unlike) == [(1, "added", "new", ""), (1, "removed", "old", "")]
+
+
+def test_all_renames_of_a_file(spark):
+    a, b = words("a"), words("b")
+    files = [[{"o1": f"{x}@x.org", "o2": f"{y}@y.org"} for x, y in zip(a, b)], [{"n1": f"{x}@x.net", "n2": f"{y}@y.net"} for x, y in zip(words("c"), words("d"))]]
+    assert drift(spark, files) == [(1, "renamed", "o1", "n1"), (1, "renamed", "o2", "n2")]
+    three = [[{f"o{i}": f"{x}/{i}" for i in range(3)} for x in a], [{f"n{i}": f"{x}/{i}" for i in (1, 2)} for x in b]]
+    assert [r[1] for r in drift(spark, three)] == ["removed", "renamed", "renamed"]
