@@ -36,14 +36,21 @@ _UNICODE_ESCAPE = re.compile(r"\\+u\{?([0-9a-fA-F]{4})\}?")
 _SPACE_ESCAPE = re.compile(r"\\+[nrtbfv]")
 _TAG = re.compile(r"<!--.*?-->|</?(?:a|abbr|b|big|cite|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strong|sub|sup|tt|u|wbr)(?:\s[^<>]*)?/?>", re.I | re.S)
 _BLOCK_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>")
+_EMPTY_COMMENT, _COMMENT_MARK = re.compile(r"<!--\s*-->"), re.compile(r"<!--|-->")
+_INLINE = "a|abbr|b|big|cite|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strong|sub|sup|tt|u|wbr"
+_BLOCK = (
+    "html|head|body|p|div|br|hr|h[1-6]|ul|ol|li|dl|dt|dd|table|thead|tbody|tfoot|tr|td|th|caption|pre|blockquote|img|picture|section|article|header|footer|nav|main|aside|figure|figcaption|details|summary|"
+    "script|style|link|meta|title|form|input|button|label|select|option|textarea|iframe|video|audio|source|svg|path|center"
+)
+_ATTRIBUTES = r"""(?:\s+[\w:.-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=]+))*"""
+_KNOWN_TAGS = [[(re.compile(rf"</?(?:{names}){own}\s*/?>", re.I), by) for names, by in ((_INLINE, ""), (_BLOCK, " "))] for own in (_ATTRIBUTES, "")]
 _LINK = re.compile(r"\]\([^()\s]*(?:\s\"[^\"]*\")?\)")
 _JOINED = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[>\s#*|/]*(?=[^\W\d_])")
 _DROPPED = re.compile(r"[*`~\\]|(?<=\w)['’ʼ‘](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 
 
-def plain_words(text: str) -> list[str]:
-    """The words of a text without case, punctuation, markup, escapes, invisible signs, accents and line layout."""
+def _unescaped(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
     if "\\" in text:
@@ -51,13 +58,48 @@ def plain_words(text: str) -> list[str]:
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    if "<" in text:
-        text = _BLOCK_TAG.sub(" ", _TAG.sub("", text))
+    return text
+
+
+def _without_markup(text: str) -> str:
+    return _BLOCK_TAG.sub(" ", _TAG.sub("", text))
+
+
+def _words(text: str) -> list[str]:
     if "](" in text:
         text = _LINK.sub(" ", text)
     return _WORD.findall(_DROPPED.sub("", _JOINED.sub("", text)).casefold())
 
 
+def plain_words(text: str) -> list[str]:
+    """The words of a text without case, punctuation, markup, escapes, invisible signs, accents and line layout."""
+    text = _unescaped(text)
+    return _words(_without_markup(text) if "<" in text else text)
+
+
+def readings(text: str) -> list[list[str]]:
+    """The different word lists of a text: its ``plain_words``, then those that keep the words of comments, of what only
+    looks like a tag, and of attributes. A passage may go past a comment, stand in it or reach into it, so none of them
+    replaces another."""
+    text = _unescaped(text)
+    if "<" not in text:
+        return [_words(text)]
+    forms = [_without_markup(text)]
+    if "<!--" in text:
+        text = _COMMENT_MARK.sub(" ", _EMPTY_COMMENT.sub("", text))
+        forms.append(_without_markup(text))
+    for known in _KNOWN_TAGS:
+        form = text
+        for tag, by in known:
+            form = tag.sub(by, form)
+        forms.append(form)
+    found = []
+    for form in dict.fromkeys(forms):
+        if (own := _words(form)) not in found:
+            found.append(own)
+    return found
+
+
 _HASHES: dict[str, int] = {}
 
 
@@ -129,7 +171,7 @@ class LeakIndex:
 
     @classmethod
     def build(cls, rows: list[tuple], shingle: int, passage: int, words_an_edit: int) -> LeakIndex:
-        items = [Item(key, w := word_hashes(plain_words(text)), shingle_hashes(w, shingle)) for key, text in rows if text]
+        items = [Item(key, w := word_hashes(own), shingle_hashes(w, shingle)) for key, text in rows if text for own in readings(text)]
         items = [i for i in items if len(i.words) >= passage]
         classes: dict[int, list[int]] = {}
         for n, item in enumerate(items):
@@ -161,10 +203,10 @@ class LeakIndex:
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """(text number, item number) of every leak."""
-        words = [word_hashes(plain_words(t)) if t else np.zeros(0, np.uint64) for t in texts]
+        words = [(n, word_hashes(own)) for n, t in enumerate(texts) if t for own in readings(t)]
         least = self.passage - self.passage // self.words_an_edit  # a shorter text can't hold a passage
         found = []
-        for n, own in enumerate(words):
+        for n, own in words:
             if len(own) < least:
                 continue
             hashes = shingle_hashes(own, self.shingle)
@@ -181,7 +223,7 @@ class LeakIndex:
                 if candidates := [c for c in sorted(candidates) if held[c] >= self.needed()]:
                     order = np.argsort(hashes, kind="stable")
                     found += [(n, c) for c in candidates if self.verify(self.items[c], own, hashes, order)]
-        return found
+        return list(dict.fromkeys(found))
 
     def verify(self, item: Item, text: np.ndarray, hashes: np.ndarray, order: np.ndarray) -> bool:
         """Exact containment of the item's shingles in the text, then the alignment where it may be."""
