@@ -102,6 +102,24 @@ def migration_plan(discovered: DataFrame, gateway: str, stale_name: str) -> Data
     return plan.withColumn("needs_rewrite", rewrite).withColumn("already_routed", ~rewrite & F.col("_settled")).drop("_stale", "_routed", "_settled")
 
 
+def guard_summary(plans: DataFrame, migrated: str = "migrated", disabled: str = "native_disabled") -> DataFrame:
+    """One row: (plans, migrated, disabled), how many plans there are and the names that they migrate and disable."""
+    names = lambda column: F.coalesce(F.sum(F.when(F.col(column).isNotNull(), F.size(column))), F.lit(0))
+    return plans.agg(F.count(F.lit(1)).alias("plans"), names(migrated).alias("migrated"), names(disabled).alias("disabled"))
+
+
+def skill_source(path: Column) -> Column:
+    """scheduled, plugin or session, by what a skill file's path holds."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.when(F.lower(plain).contains("scheduled"), "scheduled").when(plain.contains("/skills-plugin/"), "plugin").otherwise("session")
+
+
+def skill_counts(files: DataFrame, path: str = "path") -> DataFrame:
+    """One row: (total, scheduled, plugin, session) of the files named SKILL.md, by their source."""
+    own = files.where(F.element_at(F.split(F.replace(F.col(path), F.lit("\\"), F.lit("/")), "/"), -1) == "SKILL.md").select(skill_source(F.col(path)).alias("_source"))
+    return own.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("_source") == s).alias(s) for s in ("scheduled", "plugin", "session")))
+
+
 def free_names(rows: DataFrame, taken: DataFrame) -> DataFrame:
     """``gateway_name`` for new rows (name, entry_key, source_hash): their own name where it is free or stands for the
     same entry, else the name with a hash, numbered from 2 where even that is taken.

@@ -16,6 +16,8 @@ REMOTE = "remoteMcpServersConfig array<struct<uuid:string,name:string,url:string
 #: Folders that a walk doesn't enter, names of state documents, and their limits.
 PRUNED = ("node_modules", ".git", "dist")
 STATE_DEPTH, STATE_FILES, STATE_BYTES, JSON_BYTES = 8, 400, 2 << 20, 5 << 20
+#: Steps from a folder down to a skill file.
+SKILL_DEPTH = 7
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*", pruned: Sequence[str] = PRUNED, deepest: int | None = None) -> DataFrame:
@@ -49,6 +51,12 @@ def read_files(spark: SparkSession, root: str, glob: str = "*", pruned: Sequence
     return list_files(spark, root, glob, pruned, deepest).mapInArrow(read, "path string, length bigint, below string, content binary")
 
 
+def skill_files(spark: SparkSession, root: str) -> DataFrame:
+    """As ``list_files`` the files ``/skills/<name>/SKILL.md`` under a folder, in folders of at most 6 separators below
+    it; no folder is pruned by its name."""
+    return list_files(spark, root, "SKILL.md", (), SKILL_DEPTH).where(F.try_element_at(F.split("path", "/"), F.lit(-3)) == "skills")
+
+
 def without_bom(text: Column) -> Column:
     return F.regexp_replace(text, "^\ufeff", "")
 

@@ -6,6 +6,7 @@ import random
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tallyrill.operators import inventory as I
 from tallyrill.operators import posture
 from tallyrill.operators.schema_drift import schema_changes
 from tallyrill.plans import catalogue
@@ -73,3 +74,14 @@ def test_all_renames_of_a_file(spark):
     assert drift(spark, files) == [(1, "renamed", "o1", "n1"), (1, "renamed", "o2", "n2")]
     three = [[{f"o{i}": f"{x}/{i}" for i in range(3)} for x in a], [{f"n{i}": f"{x}/{i}" for i in (1, 2)} for x in b]]
     assert [r[1] for r in drift(spark, three)] == ["removed", "renamed", "renamed"]
+
+
+def test_guard_summary_and_skills(spark, tmp_path):
+    plans = spark.createDataFrame([(["a", "b"], ["c"]), ([], None), (None, ["d"])], "migrated array<string>, native_disabled array<string>")
+    assert rows(I.guard_summary(plans)) == [(3, 2, 2)] and rows(I.guard_summary(plans.limit(0))) == [(0, 0, 0)]
+    paths = ["/s/x/skills/a/SKILL.md", "/s/skills-plugin/skills/b/SKILL.md", "/s/skills-plugin/Scheduled/c/SKILL.md", "C:\\s\\skills-plugin\\d\\SKILL.md", "/s/skills/e/skill.md", "/s/scheduled/README.md"]
+    assert rows(I.skill_counts(spark.createDataFrame([(p,) for p in paths], "path string")), "total", "scheduled", "plugin", "session") == [(4, 1, 2, 1)]
+    for path in ("skills/a/SKILL.md", "x/node_modules/skills/b/SKILL.md", "skills/SKILL.md", "skills/c/d/SKILL.md", "other/e/SKILL.md", "skills/f/README.md", "1/2/3/4/5/skills/g/SKILL.md", "1/2/3/4/5/6/skills/h/SKILL.md"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    assert rows(configs.skill_files(spark, str(tmp_path)), "below") == [("1/2/3/4/5/skills/g/SKILL.md",), ("skills/a/SKILL.md",), ("x/node_modules/skills/b/SKILL.md",)]
