@@ -1,8 +1,9 @@
 """The reading level that running English text demands of its reader.
 
 Running text is what is left of a document without code, tables, log lines, dumps, headings and inline identifiers.
-Its sentences, words and syllables, the last by hyphenation-style rules, give several classic grade estimates, whose
-median is the document's grade. Cuts between levels are fitted on a bounded sample of labelled documents.
+Its sentences, words and syllables, the last by hyphenation-style rules, give four classic school grades, each of which
+is read on the scale of levels; their median is the document's level. The places of the levels on each grade's scale are
+fitted on a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyrill.session import cut
+
 #: Words a document needs, and the share of its running text's sentences, by words, that has to be English.
 LEAST_WORDS, ENGLISH_SHARE = 50, 0.5
 
@@ -34,7 +37,7 @@ ABBREVIATIONS = frozenset(("mr", "mrs", "ms", "dr", "st", "jr", "sr", "vs", "no"
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.M | re.S)
 _ANSI = re.compile(r"\x1b\[[0-9;?]*[A-Za-z]")
-_TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,300}>", re.S)
+_TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>", re.S)
 _LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*(?:\s\"[^\"]*\")?\)")
 _JSON = re.compile(r"\{\s*\"(?:[^{}\"]|\"(?:[^\"\\]|\\.)*\")*\}", re.S)
 _INLINE_CODE = re.compile(r"`[^`\n]*`")
@@ -133,40 +136,38 @@ def syllables(word: str) -> int:
     return max(1, count)
 
 
-#: Words that, before one of the second list, begin a clause of their own.
-JOINERS = frozenset("so and but because which while when if however after before then".split())
+#: The coordinators that join T-units, and common first words of a clause that tell them from those that
+#: join names or verbs.
+COORDINATORS = frozenset("and but or so".split())
 CLAUSE_STARTS = frozenset("the a an your each any some every that this then it you he she they we i all its my our".split())
 
-#: Names of the estimates that ``estimates`` gives, in order.
-ESTIMATES = ("kincaid", "fog", "smog", "coleman_liau", "ari", "lix")
+#: Names of the grades that ``grades`` gives, in order.
+GRADES = ("kincaid", "fog", "coleman_liau", "ari")
 
 
-def clauses(sentence: list[str]) -> int:
-    """Units of a sentence that could stand alone: chains of short clauses are no harder than short sentences."""
+def t_units(sentence: list[str]) -> int:
+    """T-units of a sentence: main clauses, each with all that depends on it. A chain of short main clauses is no harder
+    than as many sentences, while a subordinate clause makes its unit longer."""
     low = [w.lower() for w in sentence]
-    return 1 + sum(low[i] in JOINERS and low[i - 1] not in JOINERS and (low[i + 1] in CLAUSE_STARTS or low[i] == "which") for i in range(2, len(low) - 2))
+    return 1 + sum(low[i] in COORDINATORS and low[i + 1] in CLAUSE_STARTS and low[i - 1] not in COORDINATORS for i in range(2, len(low) - 2))
 
 
-def estimates(sentences: list[list[str]]) -> list[float]:
-    """School grades by Flesch-Kincaid, Gunning fog, SMOG, Coleman-Liau and ARI, and the LIX score, over clause units
-    where a formula asks for sentence length (Coleman-Liau, which hardly weighs it, over sentences)."""
+def grades(sentences: list[list[str]]) -> list[float]:
+    """School grades by Flesch-Kincaid, Gunning fog, Coleman-Liau and ARI, with T-units as the formulas' sentences."""
     words = [w for s in sentences for w in s]
-    n, m = len(words), sum(map(clauses, sentences))
+    n, m = len(words), sum(map(t_units, sentences))
     beats = [syllables(w) for w in words]
-    letters, total = sum(map(len, words)), sum(beats)
-    hard, long = sum(b >= 3 for b in beats), sum(len(w) > 6 for w in words)
+    letters, total, hard = sum(map(len, words)), sum(beats), sum(b >= 3 for b in beats)
     return [
         0.39 * n / m + 11.8 * total / n - 15.59,
         0.4 * (n / m + 100 * hard / n),
-        1.043 * (hard * 30 / m) ** 0.5 + 3.1291,
-        5.88 * letters / n - 29.6 * len(sentences) / n - 15.8,
+        5.88 * letters / n - 29.6 * m / n - 15.8,
         4.71 * letters / n + 0.5 * n / m - 21.43,
-        n / m + 100 * long / n,
     ]
 
 
 def profile(text: str | None) -> tuple | None:
-    """(words, English words, estimates) of a document's running text; None where it has no English sentence."""
+    """(words, English words, grades) of a document's running text; None where it has no English sentence."""
     sentences = running_sentences(text) if text else []
     english, words = [], 0
     for s in sentences:
@@ -179,23 +180,25 @@ def profile(text: str | None) -> tuple | None:
             english.append(s)
     if not english:
         return None
-    return words, sum(map(len, english)), estimates(english)
+    return words, sum(map(len, english)), grades(english)
 
 
-#: Cuts between the five levels for each estimate where too few documents are labelled to fit them: those fitted on
-#: about 1,300 labelled documents of this domain.
-DEFAULT_CUTS = ((0.4, 4.3, 13.0, 24.9), (2.9, 7.0, 15.6, 29.1), (4.5, 7.9, 13.5, 20.4), (4.3, 8.9, 18.5, 30.1), (-0.7, 4.4, 13.0, 25.0), (10.4, 26.8, 51.5, 75.7))
-FEWEST_LABELLED = 40
+#: School grades in the middle of elementary, middle and high school, college and graduate reading. Each stands beside
+#: the labelled texts as half a text of its level, so that a few labels move the cuts and many leave no trace of them.
+STAGES, STAGE_WEIGHT = (4.0, 7.5, 11.0, 15.0, 19.0), 0.5
 
 
 def fit_cuts(values: np.ndarray, levels: np.ndarray) -> tuple[float, ...]:
-    """The four cuts of one estimate that read the labelled levels with the least absolute error."""
-    order = np.argsort(values, kind="stable")
-    x, n = values[order], len(values)
-    cost = np.abs(levels[order][None, :] - np.arange(1, 6)[:, None])
+    """The four cuts of one grade that read the labelled levels with the least absolute error; without labels those
+    between the school stages."""
+    x, level = np.r_[values, STAGES], np.r_[levels, np.arange(1, 6)]
+    weight = np.r_[np.ones(len(values)), np.full(5, STAGE_WEIGHT)]
+    order = np.argsort(x, kind="stable")
+    x, level, weight, n = x[order], level[order], weight[order], len(x)
+    cost = np.abs(level[None, :] - np.arange(1, 6)[:, None]) * weight
     upto = np.concatenate([np.zeros((5, 1)), np.cumsum(cost, axis=1)], axis=1)
     best, back = upto[0], []
-    for k in range(1, 5):  # best[i]: least error of the first i documents in levels up to k
+    for k in range(1, 5):  # best[i]: least error of the first i texts in levels up to k
         gain = best - upto[k]
         lowest = np.minimum.accumulate(gain)
         back.append(np.maximum.accumulate(np.where(gain == lowest, np.arange(n + 1), 0)))
@@ -208,7 +211,7 @@ def fit_cuts(values: np.ndarray, levels: np.ndarray) -> tuple[float, ...]:
 
 
 def read_level(found: list[float], cuts: tuple[tuple[float, ...], ...]) -> int:
-    """Each estimate on the scale of the levels, between its cuts in proportion; the median of all, as a level."""
+    """Each grade on the scale of the levels, between its cuts in proportion; the median of all, as a level."""
     scaled = []
     for value, c in zip(found, cuts):
         ends = np.array([2 * c[0] - c[1], *c, 2 * c[3] - c[2]])
@@ -217,44 +220,43 @@ def read_level(found: list[float], cuts: tuple[tuple[float, ...], ...]) -> int:
 
 
 def reading_profiles(df: DataFrame, text_id: str, text: str) -> DataFrame:
-    """(text_id, words, english_words, estimates array<double>) of each text with an English sentence; row by row."""
+    """(text_id, words, english_words, grades array<double>) of each text with an English sentence; row by row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(i, p) for i, t in enumerate(batch.column(1).to_pylist()) if (p := profile(t)) is not None]
             if found:
                 columns = [batch.column(0).take(pa.array([i for i, _ in found])), pa.array([p[0] for _, p in found], pa.int64()), pa.array([p[1] for _, p in found], pa.int64()), pa.array([p[2] for _, p in found], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "words", "english_words", "estimates"])
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "words", "english_words", "grades"])
 
     kind = df.schema[text_id].dataType.simpleString()
     slim = df.select(F.col(text_id).alias("_id"), F.col(text).alias("_text")).where("_text is not null")
-    return slim.mapInArrow(read, f"_id {kind}, words bigint, english_words bigint, estimates array<double>").withColumnRenamed("_id", text_id)
+    return slim.mapInArrow(read, f"_id {kind}, words bigint, english_words bigint, grades array<double>").withColumnRenamed("_id", text_id)
 
 
-def fitted_cuts(df: DataFrame, labels: DataFrame, text_id: str, text: str, level: str, most: int = LABELLED) -> tuple[tuple[float, ...], ...]:
-    """Cuts of every estimate, fitted on at most ``most`` labelled texts, picked by a hash of the id; of several
-    raters the median counts. ``DEFAULT_CUTS`` where fewer than ``FEWEST_LABELLED`` texts have a label."""
+def fitted_cuts(profiles: DataFrame, labels: DataFrame, text_id: str, level: str, most: int = LABELLED) -> tuple[tuple[float, ...], ...]:
+    """Cuts of every grade, fitted on the profiles of labelled texts, however few: at most ``most``, picked by a hash of
+    the id; of several raters the median counts. The school stages count beside them, see ``STAGES``."""
     given = labels.where(F.col(level).between(1, 5) & F.col(text_id).isNotNull()).groupBy(text_id).agg(F.median(level).alias("_level"))
     picked = given.orderBy(F.xxhash64(text_id), text_id).limit(most)  # at most ``most`` rows, so they can be broadcast
-    rows = reading_profiles(df.select(text_id, text).join(F.broadcast(picked.select(text_id)), text_id, "left_semi"), text_id, text).join(F.broadcast(picked), text_id).select("estimates", "_level").collect()
-    if len(rows) < FEWEST_LABELLED:
-        return DEFAULT_CUTS
-    found, levels = np.array([r[0] for r in rows]), np.array([float(r[1]) for r in rows])
-    return tuple(fit_cuts(found[:, i], levels) for i in range(found.shape[1]))
+    rows = profiles.dropDuplicates([text_id]).join(F.broadcast(picked), text_id).select("grades", "_level").limit(most).collect()
+    found, levels = np.array([r[0] for r in rows]).reshape(-1, len(GRADES)), np.array([float(r[1]) for r in rows])
+    return tuple(fit_cuts(found[:, i], levels) for i in range(len(GRADES)))
 
 
 def reading_levels(df: DataFrame, labels: DataFrame, text_id: str, text: str, level: str, least_words: int = LEAST_WORDS, english: float = ENGLISH_SHARE) -> DataFrame:
     """(text_id, level) of each text whose running text is mainly English and has ``least_words`` words or more.
 
     Null, empty and blank texts, and texts of code, tables or dumps alone, have no row; repeated rows repeat theirs.
-    Other columns are ignored, whatever their names.
+    Texts are read once: their profiles, four numbers a text, are written to the checkpoint folder, and both the fit and
+    the levels come from these. Other columns are ignored, whatever their names.
     """
-    cuts = fitted_cuts(df, labels, text_id, text, level)
+    fit = cut(reading_profiles(df, text_id, text).where((F.col("words") >= least_words) & (F.col("english_words") >= F.col("words") * english)).select(text_id, "grades"))
+    cuts = fitted_cuts(fit, labels, text_id, level)
 
     def to_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([read_level(e, cuts) for e in batch.column(1).to_pylist()], pa.int64())], names=["_id", "level"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([read_level(g, cuts) for g in batch.column(1).to_pylist()], pa.int64())], names=["_id", "level"])
 
     kind = df.schema[text_id].dataType.simpleString()
-    fit = reading_profiles(df, text_id, text).where((F.col("words") >= least_words) & (F.col("english_words") >= F.col("words") * english))
-    return fit.select(F.col(text_id).alias("_id"), "estimates").mapInArrow(to_level, f"_id {kind}, level bigint").withColumnRenamed("_id", text_id)
+    return fit.select(F.col(text_id).alias("_id"), "grades").mapInArrow(to_level, f"_id {kind}, level bigint").withColumnRenamed("_id", text_id)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from tallyrill.llm.readability import DEFAULT_CUTS, estimates, fit_cuts, profile, read_level, reading_levels, running_sentences, syllables
+from tallyrill.llm.readability import GRADES, fit_cuts, grades, profile, read_level, reading_levels, running_sentences, syllables, t_units
 
 SIMPLE = "The cat sat on the mat. It was a big red cat. You can see it now. He ran to the shop and got a cup. " * 5
 HARD = "Notwithstanding the epistemological indistinguishability of heterogeneous instrumentation, the jurisdictional canonicalization presupposes irreconcilable accountability throughout the evaluation of every authorization. " * 4
@@ -21,9 +21,21 @@ def test_syllables(word, count):
 
 
 def test_levels_follow_difficulty():
-    assert read_level(profile(SIMPLE)[2], DEFAULT_CUTS) < 3 < read_level(profile(HARD)[2], DEFAULT_CUTS)
+    stages = (fit_cuts(np.zeros(0), np.zeros(0)),) * len(GRADES)
+    assert np.allclose(stages[0], (5.75, 9.25, 13, 17))
+    assert read_level(profile(SIMPLE)[2], stages) < 3 < read_level(profile(HARD)[2], stages)
     chained = [s for s in running_sentences(SIMPLE.replace(". ", " and then "))]
-    assert abs(estimates(chained)[0] - estimates(running_sentences(SIMPLE))[0]) < 6  # a chain of short clauses stays easy
+    assert abs(grades(chained)[0] - grades(running_sentences(SIMPLE))[0]) < 6  # a chain of short clauses stays easy
+
+
+def test_units():
+    units = lambda text: [t_units(s) for s in running_sentences(text)]
+    assert units("The red cat ran and the dog sat, so we left it. The cat and dog ran when the man came. He ran and sat.") == [3, 1, 1]
+
+
+def test_one_label_moves_only_its_cuts():
+    cuts = fit_cuts(np.array([12.0]), np.array([1.0]))
+    assert cuts[0] >= 12 and list(cuts) == sorted(cuts)
 
 
 def test_cuts_against_all_choices():
