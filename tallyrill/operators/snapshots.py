@@ -3,7 +3,10 @@
 Items move as numbers only: the hashes of source, item key and item values, with the snapshot's number in its source.
 They are spread over hash buckets of source and item, so neither a source of a third of all rows nor a long history is
 one task. Each bucket sorts its arrays in numpy and finds with ``searchsorted`` which (item, snapshot) has no
-counterpart one snapshot before or after. Full values are fetched only for what differs.
+counterpart one snapshot before or after.
+
+Full keys are retrieved only for items that differ somewhere: a bitmap of their hashes, of a fixed size, goes to every
+scan task, and of the items it lets through each distinct one moves once a task.
 """
 
 from __future__ import annotations
@@ -16,23 +19,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrill.operators.ordering import ordered_positions
-from tallyrill.session import parallelism
+from tallyrill.session import cut, parallelism
+
+#: Items a hash bucket holds on average, whose arrays are in memory at once; and fewest buckets for each shuffle partition.
+BUCKET_ITEMS, BUCKETS_EACH = 1 << 20, 2
 
-#: Buckets for each shuffle partition; a bucket's arrays are in memory at once.
-BUCKETS_EACH = 4
+#: Bits of the bitmap of differing items, 4 MiB; where more items differ it lets more through, which a join sorts out.
+BITMAP_BITS = 1 << 25
+
+#: Parts an item's changes are spread over when its key is looked up.
+SALTS = 8
 
 _CHANGES = np.array(["added", "removed", "changed"])
 
 
 def _bucket_changes(table: pa.Table) -> pa.Table:
     col = lambda name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
-    source, item, pos, row = (col(c) for c in ("source_hash", "item_hash", "pos", "row_hash"))
+    source, item, pos, row, mark = (col(c) for c in ("source_hash", "item_hash", "pos", "row_hash", "item_mark"))
     own, later = col("snapshot_id"), table.column("next_snapshot_id").combine_chunks()
     has_next, later = later.is_valid().to_numpy(zero_copy_only=False), later.fill_null(0).to_numpy(zero_copy_only=False)
 
     # each (source, item) gets a number, and (number, position) is one sorted int64 key
     order = np.lexsort((row, pos, item, source))
-    source, item, pos, row, own, later, has_next = (a[order] for a in (source, item, pos, row, own, later, has_next))
+    source, item, pos, row, mark, own, later, has_next = (a[order] for a in (source, item, pos, row, mark, own, later, has_next))
     new = np.ones(len(pos), bool)
     new[1:] = (source[1:] != source[:-1]) | (item[1:] != item[:-1])
     number = np.cumsum(new) - 1
@@ -56,30 +65,53 @@ def _bucket_changes(table: pa.Table) -> pa.Table:
     parts = [(added, 0, own), (removed, 1, later), (changed, 2, own)]
     pick = np.concatenate([np.flatnonzero(m) for m, _, _ in parts])
     return pa.table({
-        "from_snapshot": own[pick],
         "item_hash": item[np.flatnonzero(new)][number_of[pick]],
+        "item_mark": mark[np.flatnonzero(new)][number_of[pick]],
         "snapshot_id": np.concatenate([s[m] for m, _, s in parts]),
         "change": pa.array(np.concatenate([np.repeat(_CHANGES[c], int(m.sum())) for m, c, _ in parts]).tolist(), pa.string()),
     })
 
 
-def snapshot_changes(snapshots: DataFrame, items: DataFrame, key: Sequence[str], values: Sequence[str], block: Column, buckets: int | None = None) -> DataFrame:
+def _bitmap(hashes: DataFrame, column: str) -> DataFrame:
+    """(word, bits) of the hashes' places in a bitmap of ``BITMAP_BITS`` bits: at most 1,024 rows of 4 KiB."""
+    place = F.pmod(column, F.lit(BITMAP_BITS))
+    return hashes.groupBy(F.bitmap_bucket_number(place).alias("word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+
+
+def _within(rows: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
+    """The rows whose hash has its bit set; narrow, as the bitmap has a fixed size and is broadcast."""
+    place = F.pmod(column, F.lit(BITMAP_BITS))
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn("_word", F.bitmap_bucket_number(place)).join(F.broadcast(bitmap), F.col("_word") == F.col("word"))
+    return joined.where(F.call_function("shiftright", byte, F.pmod(at, F.lit(8))).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+
+
+def snapshot_changes(snapshots: DataFrame, lists: DataFrame, key: Sequence[str], values: Sequence[str], block: Column, buckets: int | None = None) -> DataFrame:
     """Items added, removed or changed from each snapshot to the next of its source: (snapshot_id, *key, change).
 
     snapshots: (source, taken_at, snapshot_id bigint), one row for each snapshot that counts, empty ones included; the
     first of a source reports nothing. Rows with a null source, time or id are dropped. Snapshots of a source with one
     time are copies: the smallest id stands for them.
-    items: (snapshot_id, *key, *values), a row for each item; repeated items count once, nulls equal nulls. An item
+    lists: (snapshot_id, items array<struct<*key, *values>>), one or more rows for each snapshot, so that a large one can
+    come in parts; null and empty lists and null items add nothing. Repeated items count once, nulls equal nulls. An item
     with several values in a snapshot is changed where their set differs.
     block: non-decreasing in taken_at; cuts long histories, see ``ordered_positions``.
     """
     known = snapshots.where("source is not null and taken_at is not null and snapshot_id is not null").groupBy("source", "taken_at").agg(F.min("snapshot_id").alias("snapshot_id"))
     chain = ordered_positions(known, ["source"], ["taken_at"], block, "snapshot_id").select("snapshot_id", "pos", "next_snapshot_id", F.xxhash64("source").alias("source_hash"))
-    tagged = lambda names: F.xxhash64(*(F.struct(F.lit(i), F.col(n)) for i, n in enumerate(names)))
-    hashed = items.select("snapshot_id", tagged(key).alias("item_hash"), tagged(values).alias("row_hash"))
-    wide = buckets or parallelism(snapshots.sparkSession) * BUCKETS_EACH
-    numbered = hashed.join(chain, "snapshot_id").withColumn("bucket", F.pmod(F.hash("source_hash", "item_hash"), F.lit(wide)))
-    differ = numbered.groupBy("bucket").applyInArrow(_bucket_changes, "from_snapshot bigint, item_hash bigint, snapshot_id bigint, change string")
-    full = items.select(F.col("snapshot_id").alias("from_snapshot"), tagged(key).alias("item_hash"), *key)
-    # repeated items are folded behind the join, where only what differs is left
-    return differ.join(full, ["from_snapshot", "item_hash"]).select("snapshot_id", *key, "change").distinct()
+    # a place in front of each field tells a null from the next field's value; two hashes of 96 bits together name an item
+    tagged = lambda of, item, names: of(*(F.struct(F.lit(i), item[n]) for i, n in enumerate(names)))
+    hashes = lambda item: F.struct(tagged(F.xxhash64, item, key).alias("item_hash"), tagged(F.hash, item, key).alias("item_mark"), tagged(F.xxhash64, item, values).alias("row_hash"))
+    present = F.filter("items", lambda i: i.isNotNull())
+    if buckets is None:
+        n_items = lists.agg(F.coalesce(F.sum(F.greatest(F.size("items"), F.lit(0))), F.lit(0))).first()[0]
+        buckets = max(parallelism(snapshots.sparkSession) * BUCKETS_EACH, -(-n_items // BUCKET_ITEMS))
+    arrays = lists.select("snapshot_id", F.transform(present, hashes).alias("h")).where(F.size("h") > 0)
+    numbered = arrays.join(chain, "snapshot_id").select(*chain.columns, F.inline("h")).withColumn("bucket", F.pmod(F.hash("source_hash", "item_hash"), F.lit(buckets)))
+    differ = cut(numbered.groupBy("bucket").applyInArrow(_bucket_changes, "item_hash bigint, item_mark int, snapshot_id bigint, change string"))
+
+    named = lists.select(F.explode("items").alias("i")).where("i is not null").select(tagged(F.xxhash64, F.col("i"), key).alias("item_hash"), tagged(F.hash, F.col("i"), key).alias("item_mark"), F.struct(*(F.col("i")[k].alias(k) for k in key)).alias("_key"))
+    wanted = _within(named, "item_hash", _bitmap(differ, "item_hash")).groupBy("item_hash", "item_mark").agg(F.first("_key").alias("_key"))
+    salted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return differ.withColumn("_salt", F.pmod(F.hash("snapshot_id"), F.lit(SALTS))).join(salted, ["item_hash", "item_mark", "_salt"]).select("snapshot_id", "_key.*", "change")

@@ -28,28 +28,30 @@ def with_machine(checkins: DataFrame) -> DataFrame:
     return named.withColumn("machine", F.col("hostname")).unionByName(found)
 
 
-def _kind(checkins: DataFrame, column: str, kind: str, values: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """Snapshots of one list, each (machine, kind) a source, and their items. Of copies of a snapshot the smallest
-    checkin_id counts, whatever its list holds, so copies are found before null lists are passed over."""
-    flag = F.col(column).isNotNull()
-    copies = checkins.where("machine is not null and checked_in_at is not null").groupBy("machine", "checked_in_at").agg(F.min(F.struct("checkin_id", flag.alias("given"))).alias("kept"))
-    snapshots = copies.where("kept.given").select(F.concat_ws("/", F.lit(kind), "machine").alias("source"), F.col("checked_in_at").alias("taken_at"), F.col("kept.checkin_id").alias("snapshot_id"))
-    each = checkins.select("checkin_id", F.explode(column).alias("i")).where("i is not null")
-    items = each.select(F.col("checkin_id").alias("snapshot_id"), F.lit(kind).alias("item_kind"), F.trim(F.coalesce("i.name", F.lit(""))).alias("name"), F.coalesce("i.source", F.lit("")).alias("source"), platform("i.platform").alias("platform"), *values)
-    return snapshots, items
+def _item(i: Column, kind: str, one: Column, two: Column) -> Column:
+    """A listed item as p7 knows it: its kind, name, source and platform, and two values; null for a null item."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return F.when(i.isNotNull(), F.struct(F.lit(kind).alias("item_kind"), F.trim(text(i["name"])).alias("name"), text(i["source"]).alias("source"), platform(i["platform"]).alias("platform"), one.alias("one"), two.alias("two")))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every skill and server added, removed or changed from one check-in of a machine to its next."""
-    checkins = with_machine(table(spark, folder, "checkins"))
-    skills, skill_items = _kind(checkins, "installed_skills", "skill", [F.lower(F.coalesce("i.hash", F.lit(""))).alias("one"), F.lit("").alias("two")])
-    servers, server_items = _kind(checkins, "installed_mcp_servers", "server", [F.coalesce("i.type", F.lit("")).alias("one"), F.coalesce("i.command", F.lit("")).alias("two")])
+    """Every skill and server added, removed or changed from one check-in of a machine to its next.
+
+    Of copies of a snapshot the smallest checkin_id counts, whatever its lists hold, so copies are found before null
+    lists are passed over. A check-in holds a list of each kind, and each list is a snapshot of its own: of the source
+    (kind, machine), told apart by 2 * checkin_id + kind."""
+    checkins = table(spark, folder, "checkins")
+    given = F.struct("checkin_id", F.col("installed_skills").isNotNull().alias("skills"), F.col("installed_mcp_servers").isNotNull().alias("servers"))
+    copies = with_machine(checkins).where("machine is not null and checked_in_at is not null").groupBy("machine", "checked_in_at").agg(F.min(given).alias("kept"))
+    each = F.filter(F.array(F.when(F.col("kept.skills"), F.lit(0)), F.when(F.col("kept.servers"), F.lit(1))), lambda n: n.isNotNull())
+    snapshots = copies.select("machine", F.col("checked_in_at").alias("taken_at"), "kept.checkin_id", F.explode(each).alias("n")).select(F.concat_ws("/", "n", "machine").alias("source"), "taken_at", (F.col("checkin_id") * 2 + F.col("n")).alias("snapshot_id"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    skills = F.transform("installed_skills", lambda i: _item(i, "skill", F.lower(text(i["hash"])), F.lit("")))
+    servers = F.transform("installed_mcp_servers", lambda i: _item(i, "server", text(i["type"]), text(i["command"])))
+    lists = checkins.select(F.inline(F.array(*(F.struct((F.col("checkin_id") * 2 + n).alias("snapshot_id"), items.alias("items")) for n, items in enumerate((skills, servers))))))
     block = F.floor(F.unix_seconds("taken_at") / HISTORY_BLOCK_S)
-    key, values = ["item_kind", "name", "source", "platform"], ["one", "two"]
-    # a check-in holds one snapshot of each kind, so snapshots are told apart by 2 * checkin_id + kind
-    both = [x.withColumn("snapshot_id", F.col("snapshot_id") * 2 + n) for n, pair in enumerate([(skills, skill_items), (servers, server_items)]) for x in pair]
-    changes = snapshot_changes(both[0].unionByName(both[2]), both[1].unionByName(both[3]), key, values, block)
-    return changes.select(F.expr("snapshot_id div 2").alias("checkin_id"), *key, "change")
+    changes = snapshot_changes(snapshots, lists, ["item_kind", "name", "source", "platform"], ["one", "two"], block)
+    return changes.select(F.expr("snapshot_id div 2").alias("checkin_id"), "item_kind", "name", "source", "platform", "change")
 
 
 _ITEM = """trim(coalesce(i.name, '')) AS name, coalesce(i.source, '') AS source,

@@ -110,7 +110,7 @@ def test_snapshots_against_sets(spark):
             items.append((i, rng.choice(["x", "y", "z", None]), rng.choice(["1", "2", None])))
             items += [items[-1]] * (rng.random() < 0.2)
     s = spark.createDataFrame(snaps, "source string, taken_at int, snapshot_id bigint")
-    t = spark.createDataFrame(items, "snapshot_id bigint, k string, v string").withColumn("bucket", F.lit(0))
+    t = spark.createDataFrame(items, "snapshot_id bigint, k string, v string").groupBy("snapshot_id", (F.rand(1) < 0.5).alias("part")).agg(F.collect_list(F.struct(F.lit(0).alias("bucket"), "v", "k")).alias("items")).withColumn("items", F.concat("items", F.array(F.lit(None))))
     got = rows(snapshot_changes(s, t, ["k"], ["v"], F.floor(F.col("taken_at") / 6), buckets=5))
     assert got == brute_changes(snaps, items) and got
     assert snapshot_changes(s.limit(0), t.limit(0), ["k"], ["v"], F.lit(0)).count() == 0
