@@ -87,31 +87,30 @@ def _within(rows: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
     return joined.where(F.call_function("shiftright", byte, F.pmod(at, F.lit(8))).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
 
 
-def snapshot_changes(snapshots: DataFrame, lists: DataFrame, key: Sequence[str], values: Sequence[str], block: Column, buckets: int | None = None) -> DataFrame:
+def snapshot_changes(snapshots: DataFrame, items: DataFrame, key: Sequence[str], values: Sequence[str], block: Column, buckets: int | None = None, single: bool = False) -> DataFrame:
     """Items added, removed or changed from each snapshot to the next of its source: (snapshot_id, *key, change).
 
     snapshots: (source, taken_at, snapshot_id bigint), one row for each snapshot that counts, empty ones included; the
     first of a source reports nothing. Rows with a null source, time or id are dropped. Snapshots of a source with one
-    time are copies: the smallest id stands for them.
-    lists: (snapshot_id, items array<struct<*key, *values>>), one or more rows for each snapshot, so that a large one can
-    come in parts; null and empty lists and null items add nothing. Repeated items count once, nulls equal nulls. An item
+    time are copies: the smallest id stands for them; single: there are none, so they needn't be looked for.
+    items: (snapshot_id, *key, *values), a row for each item; repeated items count once, nulls equal nulls. An item
     with several values in a snapshot is changed where their set differs.
     block: non-decreasing in taken_at; cuts long histories, see ``ordered_positions``.
     """
-    known = snapshots.where("source is not null and taken_at is not null and snapshot_id is not null").groupBy("source", "taken_at").agg(F.min("snapshot_id").alias("snapshot_id"))
+    known = snapshots.where("source is not null and taken_at is not null and snapshot_id is not null")
+    if not single:
+        known = known.groupBy("source", "taken_at").agg(F.min("snapshot_id").alias("snapshot_id"))
     chain = ordered_positions(known, ["source"], ["taken_at"], block, "snapshot_id").select("snapshot_id", "pos", "next_snapshot_id", F.xxhash64("source").alias("source_hash"))
     # a place in front of each field tells a null from the next field's value; two hashes of 96 bits together name an item
-    tagged = lambda of, item, names: of(*(F.struct(F.lit(i), item[n]) for i, n in enumerate(names)))
-    hashes = lambda item: F.struct(tagged(F.xxhash64, item, key).alias("item_hash"), tagged(F.hash, item, key).alias("item_mark"), tagged(F.xxhash64, item, values).alias("row_hash"))
-    present = F.filter("items", lambda i: i.isNotNull())
+    tagged = lambda of, names: of(*(F.struct(F.lit(i), F.col(n)) for i, n in enumerate(names)))
+    marks = [tagged(F.xxhash64, key).alias("item_hash"), tagged(F.hash, key).alias("item_mark")]
     if buckets is None:
-        n_items = lists.agg(F.coalesce(F.sum(F.greatest(F.size("items"), F.lit(0))), F.lit(0))).first()[0]
-        buckets = max(parallelism(snapshots.sparkSession) * BUCKETS_EACH, -(-n_items // BUCKET_ITEMS))
-    arrays = lists.select("snapshot_id", F.transform(present, hashes).alias("h")).where(F.size("h") > 0)
-    numbered = arrays.join(chain, "snapshot_id").select(*chain.columns, F.inline("h")).withColumn("bucket", F.pmod(F.hash("source_hash", "item_hash"), F.lit(buckets)))
+        buckets = max(parallelism(snapshots.sparkSession) * BUCKETS_EACH, -(-items.count() // BUCKET_ITEMS))
+    hashed = items.select("snapshot_id", *marks, tagged(F.xxhash64, values).alias("row_hash"))
+    numbered = hashed.join(chain, "snapshot_id").withColumn("bucket", F.pmod(F.hash("source_hash", "item_hash"), F.lit(buckets)))
     differ = cut(numbered.groupBy("bucket").applyInArrow(_bucket_changes, "item_hash bigint, item_mark int, snapshot_id bigint, change string"))
 
-    named = lists.select(F.explode("items").alias("i")).where("i is not null").select(tagged(F.xxhash64, F.col("i"), key).alias("item_hash"), tagged(F.hash, F.col("i"), key).alias("item_mark"), F.struct(*(F.col("i")[k].alias(k) for k in key)).alias("_key"))
-    wanted = _within(named, "item_hash", _bitmap(differ, "item_hash")).groupBy("item_hash", "item_mark").agg(F.first("_key").alias("_key"))
+    named = items.select(*marks, *(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)))
+    wanted = _within(named, "item_hash", _bitmap(differ, "item_hash")).distinct()
     salted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return differ.withColumn("_salt", F.pmod(F.hash("snapshot_id"), F.lit(SALTS))).join(salted, ["item_hash", "item_mark", "_salt"]).select("snapshot_id", "_key.*", "change")
+    return differ.withColumn("_salt", F.pmod(F.hash("snapshot_id"), F.lit(SALTS))).join(salted, ["item_hash", "item_mark", "_salt"]).select("snapshot_id", *(F.col(f"_k{i}").alias(k) for i, k in enumerate(key)), "change")

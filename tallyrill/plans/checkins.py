@@ -20,18 +20,16 @@ def platform(value: Column | str) -> Column:
 
 def with_machine(checkins: DataFrame) -> DataFrame:
     """Check-ins with ``machine``: the hostname, which never changes and is never shared; where it is missing, the
-    hostname seen with the machine_id, else the machine_id itself. Rows with neither are dropped."""
-    named = checkins.where(F.col("hostname").isNotNull())
+    hostname seen with the machine_id, else the machine_id itself. Rows with neither are dropped.
+
+    Where no hostname is missing, as the files' own statistics mostly tell, nothing is looked up."""
+    named = checkins.where(F.col("hostname").isNotNull()).withColumn("machine", F.col("hostname"))
     nameless = checkins.where(F.col("hostname").isNull() & F.col("machine_id").isNotNull())
-    seen = named.where(F.col("machine_id").isNotNull()).groupBy("machine_id").agg(F.min("hostname").alias("_host"))
+    if nameless.isEmpty():
+        return named
+    seen = checkins.where(F.col("hostname").isNotNull() & F.col("machine_id").isNotNull()).groupBy("machine_id").agg(F.min("hostname").alias("_host"))
     found = nameless.join(seen, "machine_id", "left").withColumn("machine", F.coalesce("_host", F.concat(F.lit("id:"), "machine_id"))).drop("_host")
-    return named.withColumn("machine", F.col("hostname")).unionByName(found)
-
-
-def _item(i: Column, kind: str, one: Column, two: Column) -> Column:
-    """A listed item as p7 knows it: its kind, name, source and platform, and two values; null for a null item."""
-    text = lambda c: F.coalesce(c, F.lit(""))
-    return F.when(i.isNotNull(), F.struct(F.lit(kind).alias("item_kind"), F.trim(text(i["name"])).alias("name"), text(i["source"]).alias("source"), platform(i["platform"]).alias("platform"), one.alias("one"), two.alias("two")))
+    return named.unionByName(found)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,16 +39,18 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     lists are passed over. A check-in holds a list of each kind, and each list is a snapshot of its own: of the source
     (kind, machine), told apart by 2 * checkin_id + kind."""
     checkins = table(spark, folder, "checkins")
-    given = F.struct("checkin_id", F.col("installed_skills").isNotNull().alias("skills"), F.col("installed_mcp_servers").isNotNull().alias("servers"))
-    copies = with_machine(checkins).where("machine is not null and checked_in_at is not null").groupBy("machine", "checked_in_at").agg(F.min(given).alias("kept"))
-    each = F.filter(F.array(F.when(F.col("kept.skills"), F.lit(0)), F.when(F.col("kept.servers"), F.lit(1))), lambda n: n.isNotNull())
-    snapshots = copies.select("machine", F.col("checked_in_at").alias("taken_at"), "kept.checkin_id", F.explode(each).alias("n")).select(F.concat_ws("/", "n", "machine").alias("source"), "taken_at", (F.col("checkin_id") * 2 + F.col("n")).alias("snapshot_id"))
     text = lambda c: F.coalesce(c, F.lit(""))
-    skills = F.transform("installed_skills", lambda i: _item(i, "skill", F.lower(text(i["hash"])), F.lit("")))
-    servers = F.transform("installed_mcp_servers", lambda i: _item(i, "server", text(i["type"]), text(i["command"])))
-    lists = checkins.select(F.inline(F.array(*(F.struct((F.col("checkin_id") * 2 + n).alias("snapshot_id"), items.alias("items")) for n, items in enumerate((skills, servers))))))
+    # one number orders copies by checkin_id and says which lists there are
+    given = F.col("checkin_id") * 4 + F.col("installed_skills").isNotNull().cast("int") * 2 + F.col("installed_mcp_servers").isNotNull().cast("int")
+    copies = with_machine(checkins).where("machine is not null and checked_in_at is not null").groupBy("machine", "checked_in_at").agg(F.min(given).alias("kept"))
+    each = F.array_compact(F.array(F.when(F.col("kept").bitwiseAND(F.lit(2)) != 0, F.lit(0)), F.when(F.col("kept").bitwiseAND(F.lit(1)) != 0, F.lit(1))))
+    snapshots = copies.select("machine", F.col("checked_in_at").alias("taken_at"), F.shiftright("kept", 2).alias("checkin_id"), F.explode(each).alias("n")).select(F.concat_ws("/", "n", "machine").alias("source"), "taken_at", (F.col("checkin_id") * 2 + F.col("n")).alias("snapshot_id"))
+    items = lambda n, kind, column, one, two: checkins.select("checkin_id", F.explode(column).alias("i")).where("i is not null").select(
+        (F.col("checkin_id") * 2 + n).alias("snapshot_id"), F.lit(kind).alias("item_kind"), F.trim(text(F.col("i.name"))).alias("name"), text(F.col("i.source")).alias("source"), platform("i.platform").alias("platform"), one.alias("one"), two.alias("two")
+    )
+    both = items(0, "skill", "installed_skills", F.lower(text(F.col("i.hash"))), F.lit("")).unionByName(items(1, "server", "installed_mcp_servers", text(F.col("i.type")), text(F.col("i.command"))))
     block = F.floor(F.unix_seconds("taken_at") / HISTORY_BLOCK_S)
-    changes = snapshot_changes(snapshots, lists, ["item_kind", "name", "source", "platform"], ["one", "two"], block)
+    changes = snapshot_changes(snapshots, both, ["item_kind", "name", "source", "platform"], ["one", "two"], block, single=True)
     return changes.select(F.expr("snapshot_id div 2").alias("checkin_id"), "item_kind", "name", "source", "platform", "change")
 
 
