@@ -1,10 +1,14 @@
 """Held-out items whose passages stand in long texts.
 
 Size-partitioned MinHash containment search: texts and items are cut into windows of neighbouring word shingles, and of
-each window only the smallest hash is kept. The window's width is set for each size partition of the items so that a
-passage with all the edits it may have still leaves one whole window untouched; no passage can be missed by chance, and
-sketches grow with the text, so a short passage weighs the same in a long text as in a short one. What the sketches
-bring up is verified by exact shingle containment and then by an alignment that counts the edits.
+each window only the smallest hash is kept. Items are partitioned by size; the window's width is set for each partition
+by the shortest passage that counts for its items, so that a passage with all the edits it may have still leaves one
+whole window untouched: no passage can be missed by chance, and sketches grow with the text, so a short passage weighs
+the same in a long text as in a short one. Partitions of one width are one: where a passage of a fixed number of words
+counts, whatever the item's size, there is a single partition, and a share of the item makes them differ.
+
+What the sketches bring up is verified by exact shingle containment, and then from each run of common shingles an
+extension to both sides counts the edits.
 """
 
 from __future__ import annotations
@@ -16,12 +20,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from hashlib import blake2b
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyrill.session import cut
+
 #: Words of a shingle; least words of a passage; words of a passage for each edit it may have.
 SHINGLE, PASSAGE, WORDS_AN_EDIT = 5, 20, 10
 
@@ -31,11 +38,14 @@ INDEX_CHARS = 20_000_000
 #: Characters of text read at once, and word hashes a worker remembers.
 CHARS, WORDS = 1 << 22, 500_000
 
+#: Pairs of places of common shingles that are looked at together.
+PAIRS = 1 << 20
+
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb]")
 _UNICODE_ESCAPE = re.compile(r"\\+u\{?([0-9a-fA-F]{4})\}?")
 _SPACE_ESCAPE = re.compile(r"\\+[nrtbfv]")
 _TAG = re.compile(r"<!--.*?-->|</?(?:a|abbr|b|big|cite|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strong|sub|sup|tt|u|wbr)(?:\s[^<>]*)?/?>", re.I | re.S)
-_BLOCK_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>")
+_BLOCK_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _EMPTY_COMMENT, _COMMENT_MARK = re.compile(r"<!--\s*-->"), re.compile(r"<!--|-->")
 _INLINE = "a|abbr|b|big|cite|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strong|sub|sup|tt|u|wbr"
 _BLOCK = (
@@ -148,17 +158,49 @@ class Item:
     key: object
     words: np.ndarray
     shingles: np.ndarray
+    need: int  # words of a passage that counts
 
 
 @dataclass
 class Partition:
-    """Items of one size class: sorted window minima and, for each, the item that has it."""
+    """Items whose passages need one width: sorted window minima and, for each, the item that has it."""
 
     width: int
     minima: np.ndarray
     owner: np.ndarray
 
 
+def _furthest(item: list[int], text: list[int], i: int, j: int, most: int, goal: int, matched: bool) -> list[int]:
+    """Of 0 to ``most`` edits each, the most item words that can be passed on from item word i and text word j; matched:
+    the last word passed has to be one that both share. Stops where ``goal`` words are passed.
+
+    The furthest place on each diagonal with each number of edits follows from those with one edit less."""
+    n, m = len(item), len(text)
+
+    def slide(k: int, d: int) -> int:
+        while k < n - i and k < goal and 0 <= j + k + d < m and item[i + k] == text[j + k + d]:
+            k += 1
+        return k
+
+    reach, now = [], {0: 0}
+    for e in range(most + 1):
+        best, ends = 0, {}
+        for d, k in now.items():
+            ends[d] = end = slide(k, d)
+            if end > best and (end > k or not matched):
+                best = end
+        reach.append(max(best, reach[-1] if reach else 0))
+        if best >= goal:
+            return reach + [best] * (most - e)
+        now = {}
+        for d, k in ends.items():
+            steps = [(d, k + 1)] if j + k + d < m else []  # altered
+            for to, at in (*steps, (d - 1, k + 1), (d + 1, k)):  # left out, put in
+                if at <= n - i and j + at + to <= m and at > now.get(to, -1):
+                    now[to] = at
+    return reach
+
+
 @dataclass
 class LeakIndex:
     items: list[Item]
@@ -170,18 +212,20 @@ class LeakIndex:
     words_an_edit: int
 
     @classmethod
-    def build(cls, rows: list[tuple], shingle: int, passage: int, words_an_edit: int) -> LeakIndex:
-        items = [Item(key, w := word_hashes(own), shingle_hashes(w, shingle)) for key, text in rows if text for own in readings(text)]
+    def build(cls, rows: list[tuple], shingle: int, passage: int, words_an_edit: int, share: float = 0.0) -> LeakIndex:
+        items = [Item(key, w := word_hashes(own), shingle_hashes(w, shingle), max(passage, ceil(share * len(w)))) for key, text in rows if text for own in readings(text)]
         items = [i for i in items if len(i.words) >= passage]
-        classes: dict[int, list[int]] = {}
+        sizes: dict[int, list[int]] = {}
         for n, item in enumerate(items):
-            classes.setdefault(int(np.log2(len(item.words) / passage)), []).append(n)
+            sizes.setdefault(int(np.log2(len(item.words) / passage)), []).append(n)
+        widths: dict[int, list[int]] = {}
+        for members in sizes.values():
+            needs = [items[n].need for n in members]
+            widths.setdefault(max(1, untouched_run(min(needs), 2 * max(needs), words_an_edit) - shingle + 1), []).extend(members)
         partitions = []
-        for size, members in sorted(classes.items()):
-            width = max(1, untouched_run(passage, int(passage * 2 ** (size + 1)), words_an_edit) - shingle + 1)
+        for width, members in sorted(widths.items()):
             minima = [items[n].shingles[window_minima(items[n].shingles, width)] for n in members]
-            owner = np.repeat(np.array(members, np.int64), [len(m) for m in minima])
-            flat = np.concatenate(minima)
+            flat, owner = np.concatenate(minima), np.repeat(np.array(members, np.int64), [len(m) for m in minima])
             order = np.argsort(flat, kind="stable")
             partitions.append(Partition(width, flat[order], owner[order]))
         every = np.concatenate([np.zeros(0, np.uint64), *(i.shingles for i in items)])
@@ -189,9 +233,9 @@ class LeakIndex:
         order = np.argsort(every, kind="stable")
         return cls(items, partitions, every[order], owner[order], shingle, passage, words_an_edit)
 
-    def needed(self) -> int:
-        """Whole shingles that the worst placed edits leave among the neighbouring ones of a shortest passage."""
-        return max(1, self.passage - self.shingle + 1 - self.shingle * (self.passage // self.words_an_edit))
+    def whole(self, need: int) -> int:
+        """Whole shingles that the worst placed edits leave in a passage of ``need`` words or more."""
+        return max(1, min(n - self.shingle + 1 - self.shingle * (n // self.words_an_edit) for n in range(need, need + self.words_an_edit)))
 
     def contained(self, hashes: np.ndarray) -> np.ndarray:
         """How many shingles of each item a text holds, for all items at once."""
@@ -210,94 +254,87 @@ class LeakIndex:
             if len(own) < least:
                 continue
             hashes = shingle_hashes(own, self.shingle)
-            candidates, sketches = set(), {}
+            candidates = set()
             for part in self.partitions:
-                if part.width not in sketches:
-                    sketches[part.width] = hashes[window_minima(hashes, part.width)]
-                sketch = sketches[part.width]
+                sketch = hashes[window_minima(hashes, part.width)]
                 low, high = np.searchsorted(part.minima, sketch), np.searchsorted(part.minima, sketch, "right")
                 for a, b in zip(low[high > low].tolist(), high[high > low].tolist()):
                     candidates.update(part.owner[a:b].tolist())
             if candidates:
                 held = self.contained(hashes)
-                if candidates := [c for c in sorted(candidates) if held[c] >= self.needed()]:
+                if candidates := [c for c in sorted(candidates) if held[c] >= self.whole(self.items[c].need)]:
                     order = np.argsort(hashes, kind="stable")
                     found += [(n, c) for c in candidates if self.verify(self.items[c], own, hashes, order)]
         return list(dict.fromkeys(found))
 
     def verify(self, item: Item, text: np.ndarray, hashes: np.ndarray, order: np.ndarray) -> bool:
-        """Exact containment of the item's shingles in the text, then the alignment where it may be."""
+        """Exact containment of the item's shingles in the text, then an extension from each run of common ones.
+
+        A passage of n words with n / ``words_an_edit`` edits falls into pieces of at least ``need`` and less than twice
+        as many words, one of which has no more edits than it may; so only such pieces are looked for, and the edits to
+        try don't grow with the item."""
+        need = item.need
         ranked = hashes[order]
         low, high = np.searchsorted(ranked, item.shingles), np.searchsorted(ranked, item.shingles, "right")
         there = high > low
-        span = self.passage - self.shingle + 1
+        span = need - self.shingle + 1
         held = np.r_[0, np.cumsum(there)]
         width = min(span, len(there))
-        if (held[width:] - held[:-width]).max(initial=0) < self.needed():
+        if (held[width:] - held[:-width]).max(initial=0) < min(self.whole(need), span):
             return False
-        n, slack = len(item.words), len(item.words) // self.words_an_edit + 1
+        most = (2 * need - 1) // self.words_an_edit
+        run = max(1, untouched_run(need, 2 * need, self.words_an_edit) - self.shingle + 1)
+        n, words, own = len(item.words), item.words.tolist(), text.tolist()
         at = np.flatnonzero(there)
         count = (high - low)[at]
-        item_place = np.repeat(at, count)
-        text_place = order[np.repeat(low[at], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        # a passage word for word needs no alignment: its shingles follow each other at one distance
-        line = np.sort((text_place - item_place) * (n + 1) + item_place)
-        breaks = np.flatnonzero(np.diff(line) != 1)
-        if np.diff(np.r_[-1, breaks, len(line) - 1]).max(initial=0) >= span:
-            return True
-        # stretches of the text that an alignment through one of the common shingles can reach
-        begin = np.maximum(0, text_place - item_place - slack)
-        stop = np.minimum(len(text), text_place + (n - item_place) + slack)
-        first = np.argsort(begin, kind="stable")
-        begin, stop = begin[first], np.maximum.accumulate(stop[first])
-        breaks = np.flatnonzero(begin[1:] > stop[:-1]) + 1
-        for a, b in zip(begin[np.r_[0, breaks]], stop[np.r_[breaks - 1, len(stop) - 1]]):
-            if self.aligned(item.words, text[a:b]):
+        upto = np.cumsum(count)
+        start = 0
+        while start < len(at):  # common shingles by blocks of item places, so that repeats don't all unfold at once
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, "right")))
+            some, each = at[start:stop], count[start:stop]
+            item_place = np.repeat(some, each)
+            text_place = order[np.repeat(low[some], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)]
+            # runs of common shingles that follow each other at one distance
+            line = np.sort((text_place - item_place) * (n + 1) + item_place)
+            begins = np.flatnonzero(np.r_[True, np.diff(line) != 1])
+            length = np.diff(np.r_[begins, len(line)])
+            if length.max() >= span:  # a passage word for word
                 return True
+            for first in line[begins[length >= run]].tolist():
+                i = first % (n + 1)
+                if self.extends(words, own, i, (first - i) // (n + 1) + i, need, most):
+                    return True
+            start = stop if stop == len(at) else max(start + 1, stop - run + 1)
         return False
 
-    def aligned(self, item: np.ndarray, text: np.ndarray) -> bool:
-        """Whether the item has ``passage`` words in a row that stand in the text with one edit in ``words_an_edit``.
-
-        reach[e, j]: most item words of a stretch that ends here, at text word j, with e edits."""
-        most = len(item) // self.words_an_edit
-        none = -(1 << 20)
-        reach = np.full((most + 1, len(text) + 1), none, np.int32)
-        need = np.maximum(self.passage, self.words_an_edit * np.arange(most + 1))[:, None]
-        for word in item:
-            same = text == word
-            now = np.full_like(reach, none)
-            now[:, 1:] = np.where(same, reach[:, :-1] + 1, none)
-            now[0, 1:] = np.where(same, np.maximum(reach[0, :-1], 0) + 1, none)
-            if most:
-                now[1:, 1:] = np.maximum(now[1:, 1:], reach[:-1, :-1] + 1)  # altered
-                now[1:] = np.maximum(now[1:], reach[:-1] + 1)  # left out
-                for e in range(1, most + 1):  # put in
-                    np.maximum(now[e, 1:], now[e - 1, :-1], out=now[e, 1:])
-            if (now >= need).any():
-                return True
-            reach = now
-        return False
+    def extends(self, item: list[int], text: list[int], i: int, j: int, need: int, most: int) -> bool:
+        """Whether a passage through item word i at text word j has ``need`` words or more, ``words_an_edit`` for each
+        edit. A passage begins with a word that both share; it may end with an edit."""
+        right = _furthest(item, text, i, j, most, 2 * need, False)
+        lead = slice(max(0, i - 2 * need), i), slice(max(0, j - 2 * need - most), j)
+        left = _furthest(item[lead[0]][::-1], text[lead[1]][::-1], 0, 0, most, 2 * need, True)
+        return any(left[a] + right[b] >= max(need, self.words_an_edit * (a + b)) for a in range(most + 1) for b in range(most + 1 - a))
 
 
-def find_leaks(texts: DataFrame, items: DataFrame, text_id: str, text: str, item_id: str, item_text: str, shingle: int = SHINGLE, passage: int = PASSAGE, words_an_edit: int = WORDS_AN_EDIT, index_chars: int = INDEX_CHARS) -> DataFrame:
-    """(text_id, item_id) of each text that holds a passage of at least ``passage`` consecutive words of the item, with
-    at most one word in ``words_an_edit`` altered, left out or put in.
+def find_leaks(texts: DataFrame, items: DataFrame, text_id: str, text: str, item_id: str, item_text: str, shingle: int = SHINGLE, passage: int = PASSAGE, words_an_edit: int = WORDS_AN_EDIT, share: float = 0.0, index_chars: int = INDEX_CHARS) -> DataFrame:
+    """(text_id, item_id) of each text that holds a passage of consecutive words of the item, at least ``passage`` of
+    them and at least ``share`` of the item's, with at most one word in ``words_an_edit`` altered, left out or put in.
 
     Items of fewer words, null and empty texts have no leak. Rows that repeat a text or item give their pairs once
     each. The items' index is broadcast; where they hold more than ``index_chars`` characters, they are searched in
-    blocks of about that size, one pass over the texts a block. Other columns are ignored, whatever their names.
+    blocks of about that size, one after the other: a block's pairs are written before the next block's index is built,
+    and its broadcast is dropped. Other columns are ignored, whatever their names.
     """
     spark = texts.sparkSession
     own = items.select(F.col(item_id).alias("_key"), F.col(item_text).alias("_text")).where("_text is not null and _key is not null")
     size = own.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // index_chars))
     kind, item_kind = texts.schema[text_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    key_type = pa.int64() if item_kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
     slim = texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text")).where("_text is not null")
 
-    def search(block: DataFrame) -> DataFrame:
-        index = spark.sparkContext.broadcast(LeakIndex.build([tuple(r) for r in block.distinct().collect()], shingle, passage, words_an_edit))
-        key_type = pa.int64() if item_kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
+    def search(block: DataFrame, last: bool) -> DataFrame:
+        index = spark.sparkContext.broadcast(LeakIndex.build([tuple(r) for r in block.distinct().collect()], shingle, passage, words_an_edit, share))
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             leaks = index.value
@@ -311,7 +348,12 @@ def find_leaks(texts: DataFrame, items: DataFrame, text_id: str, text: str, item
                             yield pa.RecordBatch.from_arrays([ids, pa.array([leaks.items[c].key for _, c in found], key_type)], names=["_id", "_item"])
                         start, held = i + 1, 0
 
-        return slim.mapInArrow(find, f"_id {kind}, _item {'bigint' if key_type == pa.int64() else 'string'}")
+        pairs = slim.mapInArrow(find, f"_id {kind}, _item {'bigint' if key_type == pa.int64() else 'string'}").distinct()
+        if last:
+            return pairs
+        pairs = cut(pairs)
+        index.destroy()
+        return pairs
 
-    parts = [search(own.where(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == b) if blocks > 1 else own) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, parts).distinct().select(F.col("_id").alias(text_id), F.col("_item").cast(item_kind).alias(item_id))
+    parts = [search(own.where(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == b) if blocks > 1 else own, b == blocks - 1) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts).select(F.col("_id").alias(text_id), F.col("_item").cast(item_kind).alias(item_id))

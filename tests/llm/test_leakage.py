@@ -1,6 +1,7 @@
 """The leak search against an exhaustive alignment, and its sketches' promise that nothing is missed."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -25,9 +26,10 @@ def edited(rng, words, edits):
     return words
 
 
-def exhaustive(item, text, passage=20, rate=10):
+def exhaustive(item, text, passage=20, rate=10, share=0.0):
     """Longest-reach table over all starts; plain Python."""
     n, m, most = len(item), len(text), len(item) // rate
+    passage = max(passage, -int(-share * len(item) // 1))
     reach = {}
     for i in range(1, n + 1):
         for j in range(m + 1):
@@ -46,23 +48,49 @@ def exhaustive(item, text, passage=20, rate=10):
     return False
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_search_against_alignment(seed):
+@pytest.mark.parametrize(("seed", "share"), [(0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0), (4, 0.6), (5, 0.8)])
+def test_search_against_alignment(seed, share):
     rng = random.Random(seed)
     items = [[rng.choice(WORDS) for _ in range(rng.randrange(15, 60))] for _ in range(12)]
-    index = LeakIndex.build([(i, " ".join(w)) for i, w in enumerate(items)], 5, 20, 10)
+    index = LeakIndex.build([(i, " ".join(w)) for i, w in enumerate(items)], 5, 20, 10, share)
     texts = []
     for _ in range(60):
         item = rng.choice(items)
-        size = rng.randrange(12, 40)
+        size = rng.randrange(12, 60 if share else 40)
         start = rng.randrange(max(1, len(item) - size + 1))
         part = edited(rng, item[start : start + size], rng.randrange(0, 5))
         texts.append([rng.choice(WORDS) for _ in range(rng.randrange(20))] + part + [rng.choice(WORDS) for _ in range(rng.randrange(20))])
     got = {(t, index.items[i].key) for t, i in index.search([" ".join(t) for t in texts])}
-    want = {(t, i) for t, text in enumerate(texts) for i, item in enumerate(items) if len(item) >= 20 and exhaustive(item, text)}
+    want = {(t, i) for t, text in enumerate(texts) for i, item in enumerate(items) if len(item) >= 20 and exhaustive(item, text, share=share)}
     assert got == want and want
 
 
+def test_repeated_words_against_alignment():
+    rng = random.Random(9)
+    items = [[rng.choice("ab") for _ in range(30)] for _ in range(6)]
+    index = LeakIndex.build([(i, " ".join(w)) for i, w in enumerate(items)], 5, 20, 10)
+    texts = [[rng.choice("ab") for _ in range(60)] for _ in range(30)]
+    got = {(t, index.items[i].key) for t, i in index.search([" ".join(t) for t in texts])}
+    assert got == {(t, i) for t, text in enumerate(texts) for i, item in enumerate(items) if exhaustive(item, text)} and got
+
+
+def test_partitions_differ_in_width():
+    rng = random.Random(2)
+    rows = [(n, " ".join(rng.choice(WORDS) for _ in range(n))) for n in (20, 30, 200, 1000, 5000)]
+    assert [p.width for p in LeakIndex.build(rows, 5, 20, 10, 0.5).partitions] == [2, 5]
+    assert [p.width for p in LeakIndex.build(rows, 5, 20, 10).partitions] == [2]
+
+
+def test_long_near_miss_is_quick():
+    rng = random.Random(5)
+    item = [f"x{i}" for i in range(5000)]
+    text = [w for i in range(0, 5000, 12) for w in [*item[i : i + 12], *(rng.choice(WORDS) for _ in range(6))]]
+    index = LeakIndex.build([(1, " ".join(item))], 5, 20, 10)
+    began = time.perf_counter()
+    assert index.search([" ".join(text), " ".join(["a b c d e f"] * 20_000)]) == []
+    assert time.perf_counter() - began < 2  # the alignment of all words took minutes
+
+
 def test_sketches_promise():
     assert untouched_run(20, 20, 10) == 6
     rng = np.random.default_rng(1)
