@@ -146,8 +146,13 @@ def build(texts: list[bytes]) -> Index:
     close_at = np.full(len(start), -1, np.int64)
     alive = ~bad[text]
     containers = np.zeros(0, np.int64)  # open tokens one level up
-    for depth_now in range(int(level[alive].max()) + 1 if alive.any() else 0):
-        here = np.flatnonzero(alive & (level == depth_now))
+    # tokens by level, each level in order, so that a pass reads its own tokens only, however deep one text goes
+    living = np.flatnonzero(alive)
+    by_level = living[np.argsort(level[living], kind="stable")]
+    deepest = int(level[by_level[-1]]) if len(by_level) else -1
+    bounds = np.searchsorted(level[by_level], np.arange(deepest + 2))
+    for depth_now in range(deepest + 1):
+        here = by_level[bounds[depth_now] : bounds[depth_now + 1]]
         if not len(here):
             break
         if depth_now:

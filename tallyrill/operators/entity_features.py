@@ -1,7 +1,9 @@
 """One row for each entity with its counts, recency and the totals of each of hundreds of types.
 
-Two stages, salted: rows fold by (entity, type, salt), so that an entity or type of a third of all rows is spread over
-``salts`` groups; the partial statistics then fold by entity into the complete list of types.
+Two stages, salted: rows fold by (entity, types, salt), where only groups that hold many rows are spread over ``salts``
+salts, so that light groups aren't folded in vain into as many partial rows; the partial statistics then fold by entity
+into the complete list of types. Which groups are heavy is told by a sample; it decides where rows are folded, never what
+they add up to.
 """
 
 from __future__ import annotations
@@ -12,6 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Share of the rows from which on a group is spread, and of the table that is looked at to tell.
+HEAVY_SHARE, SAMPLED = 1 / 256, 0.01
+
+
 def type_list(df: DataFrame, columns: Sequence[str], most: int = 5_000) -> dict[str, list[str]]:
     """The distinct non-empty values of each type column, sorted, in one pass. At most ``most`` reach the driver: longer
     lists can't be the columns of a table, so they raise; ``entity_type_totals`` gives the same totals as rows."""
@@ -22,24 +28,49 @@ def type_list(df: DataFrame, columns: Sequence[str], most: int = 5_000) -> dict[
     return {c: sorted(value for column, value in found if column == c) for c in columns}
 
 
-def _partial(df: DataFrame, entity: str, types: Sequence[str], at: str, spread: Column, salts: int) -> DataFrame:
-    return df.groupBy(entity, *types, F.pmod(spread, F.lit(salts)).alias("_salt")).agg(F.count(F.lit(1)).alias("_n"), F.max(at).alias("_last"))
+def heavy_groups(df: DataFrame, group: Sequence[str], share: float = HEAVY_SHARE, fraction: float = SAMPLED) -> list[tuple]:
+    """The groups with at least ``share`` of a sample of the rows: at most 1 / ``share`` of them, whatever the table's size."""
+    sizes = df.select(*group).sample(fraction=fraction, seed=7).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.orderBy(F.desc("n"), *group).limit(int(1 / share)).collect()
+    whole = sum(r["n"] for r in most)
+    return [tuple(r[g] for g in group) for r in most if r["n"] >= share * whole]
+
+
+def _salt(group: Sequence[str], heavy: Sequence[tuple], spread: Column, salts: int) -> Column:
+    """The salt of a row: 0 but in heavy groups."""
+    is_heavy = F.lit(False)
+    for values in heavy:
+        same = F.lit(True)
+        for name, value in zip(group, values):
+            same &= F.col(name).eqNullSafe(F.lit(value))
+        is_heavy |= same
+    return F.when(is_heavy, F.pmod(spread, F.lit(salts))).otherwise(F.lit(0))
+
+
+def _partial(df: DataFrame, entity: str, types: Sequence[str], at: str, spread: Column, salts: int, sampled: DataFrame | None) -> DataFrame:
+    group = [entity, *types]
+    salt = _salt(group, heavy_groups(df if sampled is None else sampled, group), spread, salts)
+    return df.groupBy(*group, salt.alias("_salt")).agg(F.count(F.lit(1)).alias("_n"), F.max(at).alias("_last"))
+
 
+def entity_type_totals(df: DataFrame, entity: str, type_column: str, at: str, spread: Column, salts: int = 16, sampled: DataFrame | None = None) -> DataFrame:
+    """A row for each (entity, type) met: ``n_events`` and ``last_at``. Null types are left out, null entities kept.
 
-def entity_type_totals(df: DataFrame, entity: str, type_column: str, at: str, spread: Column, salts: int = 16) -> DataFrame:
-    """A row for each (entity, type) met: ``n_events`` and ``last_at``. Null types are left out, null entities kept."""
-    typed = df.where(F.col(type_column).isNotNull() & (F.col(type_column) != ""))
-    return _partial(typed, entity, [type_column], at, spread, salts).groupBy(entity, type_column).agg(F.sum("_n").alias("n_events"), F.max("_last").alias("last_at"))
+    sampled: a table with the same columns from which heavy groups can be told, where ``df`` itself costs a shuffle."""
+    typed = lambda x: x.where(F.col(type_column).isNotNull() & (F.col(type_column) != ""))
+    partial = _partial(typed(df), entity, [type_column], at, spread, salts, sampled if sampled is None else typed(sampled))
+    return partial.groupBy(entity, type_column).agg(F.sum("_n").alias("n_events"), F.max("_last").alias("last_at"))
 
 
-def entity_features(df: DataFrame, entity: str, types: Mapping[str, Sequence[str]], at: str, spread: Column, salts: int = 16) -> DataFrame:
+def entity_features(df: DataFrame, entity: str, types: Mapping[str, Sequence[str]], at: str, spread: Column, salts: int = 16, sampled: DataFrame | None = None) -> DataFrame:
     """One row for each entity: ``n_events``, ``last_at`` and, for each type column and each value listed for it, a
     column ``<type column>__<value>`` with the number of events, 0 where there is none.
 
     A null entity is an entity; null, empty and unlisted types count only in ``n_events``. ``spread`` is any integer
-    that differs from row to row. An empty table gives no row. Columns of the table that aren't named are ignored.
+    that differs from row to row; sampled as in ``entity_type_totals``. An empty table gives no row. Columns of the table
+    that aren't named are ignored.
     """
-    partial = _partial(df, entity, list(types), at, spread, salts)
+    partial = _partial(df, entity, list(types), at, spread, salts, sampled)
     kinds = [F.lit("all"), *(F.when(F.col(c) != "", F.concat(F.lit(f"{c}__"), F.col(c))) for c in types)]
     each = partial.select(entity, F.explode(F.array_compact(F.array(*kinds))).alias("_kind"), "_n", "_last")
     names = [f"{column}__{value}" for column, values in types.items() for value in values]

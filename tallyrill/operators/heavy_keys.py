@@ -136,6 +136,7 @@ def heavy_key_profile(df: DataFrame, keys: Sequence[str], sums: Sequence[str] =
             columns += [pa.array(a[i : i + 10_000], pa.int64()) for a in arrays]
             yield pa.RecordBatch.from_arrays(columns, names=[*inner, "total_rows", *(f"_v{j}" for j in range(len(kinds)))])
 
-    merged = slim.mapInArrow(scatter, block).repartition(wide, "bucket").mapInArrow(gather, result)
+    # a bucket is a partition of its own: hashing the bucket's number would leave reducers idle and give others several
+    merged = slim.mapInArrow(scatter, block).repartitionById(wide, "bucket").mapInArrow(gather, result)
     shown = [F.col(f"_v{i}") if k == "sum" else F.when(F.col(f"_v{i}") != int(_REDUCERS[k][0]), F.col(f"_v{i}")) for i, k in enumerate(kinds)]
     return merged.select(*(F.col(i).alias(k) for i, k in zip(inner, keys)), F.col("_v0").alias("n_rows"), "total_rows", *(c.alias(x) for c, x in list(zip(shown, names))[1:]))
