@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 
 #: Share of the rows from which on a group is spread, and of the table that is looked at to tell.
-HEAVY_SHARE, SAMPLED = 1 / 256, 0.01
+HEAVY_SHARE, SAMPLED = 1 / 128, 0.01
 
 
 def type_list(df: DataFrame, columns: Sequence[str], most: int = 5_000) -> dict[str, list[str]]:
@@ -28,23 +28,17 @@ def type_list(df: DataFrame, columns: Sequence[str], most: int = 5_000) -> dict[
     return {c: sorted(value for column, value in found if column == c) for c in columns}
 
 
-def heavy_groups(df: DataFrame, group: Sequence[str], share: float = HEAVY_SHARE, fraction: float = SAMPLED) -> list[tuple]:
-    """The groups with at least ``share`` of a sample of the rows: at most 1 / ``share`` of them, whatever the table's size."""
-    sizes = df.select(*group).sample(fraction=fraction, seed=7).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.orderBy(F.desc("n"), *group).limit(int(1 / share)).collect()
-    whole = sum(r["n"] for r in most)
-    return [tuple(r[g] for g in group) for r in most if r["n"] >= share * whole]
+def heavy_groups(df: DataFrame, group: Sequence[str], share: float = HEAVY_SHARE, fraction: float = SAMPLED) -> list[int]:
+    """Hashes of the groups with at least ``share`` of the rows that the 1 / ``share`` largest groups of a sample hold: no
+    more groups than that, whatever the table's size."""
+    sizes = df.select(F.xxhash64(*group).alias("g")).sample(fraction=fraction, seed=7).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.orderBy(F.desc("n"), "g").limit(int(1 / share)).collect()
+    return [r["g"] for r in most if r["n"] >= share * sum(x["n"] for x in most)]
 
 
-def _salt(group: Sequence[str], heavy: Sequence[tuple], spread: Column, salts: int) -> Column:
+def _salt(group: Sequence[str], heavy: Sequence[int], spread: Column, salts: int) -> Column:
     """The salt of a row: 0 but in heavy groups."""
-    is_heavy = F.lit(False)
-    for values in heavy:
-        same = F.lit(True)
-        for name, value in zip(group, values):
-            same &= F.col(name).eqNullSafe(F.lit(value))
-        is_heavy |= same
-    return F.when(is_heavy, F.pmod(spread, F.lit(salts))).otherwise(F.lit(0))
+    return F.when(F.xxhash64(*group).isin(list(heavy)), F.pmod(spread, F.lit(salts))).otherwise(F.lit(0)) if heavy else F.lit(0)
 
 
 def _partial(df: DataFrame, entity: str, types: Sequence[str], at: str, spread: Column, salts: int, sampled: DataFrame | None) -> DataFrame:
