@@ -4,11 +4,12 @@ Records are read as path-value maps with the raw JSON type of each value. Statis
 and a small sketch of its values) are all that moves; consecutive files are compared by an equi-join on file and field.
 A field that goes while another comes in the same file is a rename if both carry the same kind of values, judged by
 one-permutation MinHash sketches of the two fields' values and of their shapes, taken over the whole feed; where several
-go and come, the likest pair first.
+go and come, the likest pair first. The renames and the type statistics then settle the columns of the one table.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -116,17 +117,22 @@ def schema_changes(df: DataFrame, feed: str, file_no: str, record: str) -> DataF
         .where((F.col("mask") == 0) | (F.col("mask").bitwiseAND(F.coalesce(*(F.when(F.col("type") == t, F.lit(1 << i)) for i, t in enumerate(TYPES)))) != 0))
         .select("feed", "file_no", "type", F.col("field").alias(old), F.col("vs").alias(f"{old}_v"), F.col("ss").alias(f"{old}_s"), F.col("n").alias(f"{old}_n"), F.col("w").alias(f"{old}_w"))
     )
-    pairs = sketched("then", "old").join(sketched("now", "new"), ["feed", "file_no", "type"])
+    # two fields of one kind share a bin of values or of shapes, so only fields that do are paired
+    bins = lambda side: F.explode(F.filter(F.concat(*(F.transform(f"{side}_{k}", lambda x, i: F.when(x.isNotNull(), F.struct(F.lit(k).alias("k"), i.alias("i"), x.alias("x")))) for k in ("v", "s"))), lambda x: x.isNotNull()))  # noqa: E731, B023
+    old, new = sketched("then", "old").withColumn("_bin", bins("old")), sketched("now", "new").withColumn("_bin", bins("new"))
+    pairs = old.join(new, ["feed", "file_no", "type", "_bin"]).drop("_bin").dropDuplicates(["feed", "file_no", "type", "old", "new"])
     shapes = _alike("old_s", "new_s", "smaller")
     # a shape of several parts tells much by itself, so fewer values need to be shared; a bare word or number tells little
     shaped = (F.least("old_w", "new_w") >= 3) & (shapes >= SAME_KIND)
     values = F.greatest(_alike("old_v", "new_v", "either"), F.when(shaped & (_alike("old_v", "new_v", "smaller") > 0), _alike("old_v", "new_v", "smaller") / 2 + SAME_KIND / 2 + 0.1).otherwise(0.0))
     score = F.greatest(values, F.when(_varied("old_v", "old_n") & _varied("new_v", "new_n"), shapes).otherwise(0.0))
-    scored = pairs.select("feed", "file_no", "old", "new", (score + shapes / 10).alias("score"), score.alias("own")).where(F.col("own") >= SAME_KIND)
-    best = scored.groupBy("feed", "file_no", "old", "new").agg(F.max("score").alias("score"))
-    rank = lambda side, other: F.row_number().over(Window.partitionBy("feed", "file_no", side).orderBy(F.desc("score"), other))
+    scored = pairs.select("feed", "file_no", "old", "new", (score + shapes / 10 + _alike("old_v", "new_v", "either") / 100).alias("score"), score.alias("own")).where(F.col("own") >= SAME_KIND)
+    place = lambda side: F.dense_rank().over(Window.partitionBy("feed", "file_no").orderBy(side))
+    best = scored.groupBy("feed", "file_no", "old", "new").agg(F.max("score").alias("score")).withColumn("apart", F.abs(place("old") - place("new")))
+    # equal scores go by the order of names: the first old one with the first new one, and so on
+    rank = lambda side, other: F.row_number().over(Window.partitionBy("feed", "file_no", side).orderBy(F.desc("score"), "apart", F.xxhash64("old", "new"), other))
     # pairs that prefer each other, then those among what they leave, until no pair is left; the best pair of a file
-    # always does, so each round ends some
+    # always does, so each round ends some, and as ties are settled alike for both sides, most of them
     rounds, left = [], best
     while not rounds or not left.isEmpty():
         ranked = cut(left.select("*", rank("old", "new").alias("_o"), rank("new", "old").alias("_n")))
@@ -134,7 +140,7 @@ def schema_changes(df: DataFrame, feed: str, file_no: str, record: str) -> DataF
         left = ranked.drop("_o", "_n")
         for side in ("old", "new"):
             left = left.join(rounds[-1].select("feed", "file_no", side), ["feed", "file_no", side], "left_anti")
-        left = left.select("feed", "file_no", "old", "new", "score")
+        left = left.select("feed", "file_no", "old", "new", "score", "apart")
     renames = reduce(DataFrame.unionByName, rounds)
 
     plain = moved.select("feed", "file_no", "field", F.when(F.col("now").isNull(), "removed").otherwise("added").alias("change"))
@@ -145,22 +151,70 @@ def schema_changes(df: DataFrame, feed: str, file_no: str, record: str) -> DataF
     return rest.unionByName(typed).unionByName(renamed).select(F.col("feed").alias(feed), F.col("file_no").alias(file_no), "change", "field", "new_field")
 
 
+#: Most field names whose statistics reach the driver to settle the columns of a table.
+MOST_FIELDS = 5_000
+
+
+def settled_columns(df: DataFrame, feed: str, file_no: str, record: str, keep: Sequence[str] = (), most: int = MOST_FIELDS) -> dict[str, tuple[str, tuple[str, ...]]]:
+    """The columns of one table of all feeds, as ``project_typed`` takes them: by name, SQL type and field names.
+
+    Fields that a rename joins in any feed are one column, named and read first by the name with the most values; its
+    type is that of most of its values: boolean, bigint, double, or string for everything else. A column whose name is
+    one of ``keep`` or of the table's own columns gets an underscore. Names without any value are columns of strings. More than
+    ``most`` names can't be the columns of a table, so they raise.
+    """
+    values = path_values(read_records(df, record), [])
+    whole = F.coalesce((F.col("type") == "number") & F.col("value").rlike("^-?[0-9]{1,18}$"), F.lit(False))
+    counted = values.groupBy("field").agg(*(F.count_if(F.col("type") == t).alias(t) for t in TYPES), F.count_if(whole).alias("whole"))
+    rows = counted.limit(most + 1).collect()
+    renames = schema_changes(df, feed, file_no, record).where("change = 'renamed'").select("field", "new_field").distinct().limit(most + 1).collect()
+    if len(rows) > most or len(renames) > most:
+        raise ValueError(f"more than {most} fields")
+    stats = {r["field"]: Counter({"whole": r["whole"], **{t: r[t] for t in TYPES}}) for r in rows}
+    root = {f: f for f in stats}
+
+    def find(field: str) -> str:
+        while root[field] != field:
+            field = root[field] = root[root[field]]
+        return field
+
+    for old, new in ((r["field"], r["new_field"]) for r in renames):
+        root[find(old)] = find(new)
+    groups = defaultdict(list)
+    for field in sorted(stats, key=lambda f: (-sum(stats[f][t] for t in TYPES), f)):
+        groups[find(field)].append(field)
+    columns = {}
+    for fields in sorted(groups.values()):
+        total = sum((stats[f] for f in fields), Counter())
+        kind = max(TYPES, key=lambda t: (total[t], t == "string"))
+        sql = {"boolean": "boolean", "number": "bigint" if total["whole"] == total["number"] else "double"}.get(kind, "string")
+        name = fields[0]
+        while name in columns or name.lower() in {c.lower() for c in (*columns, *keep, "other", "failed_casts")}:
+            name += "_"
+        columns[name] = (sql, tuple(fields))
+    return columns
+
+
 def project_typed(df: DataFrame, record: str, keep: Sequence[str], columns: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:
     """One table with settled columns: (*keep, each of ``columns``, other, failed_casts).
 
     columns: by name, the SQL type and the field names that carry it, first non-null one first. A value that doesn't
-    read as the type is null and reported in ``failed_casts`` as (column, field, raw). Fields that no column names stay
-    in ``other`` as raw JSON texts. Unreadable records give a row of nulls with the record itself as a failed cast of
-    column ``''``.
+    read as the type is null and reported in ``failed_casts`` as (column, field, raw). Fields that no column names, and
+    those of a column that another one's value fills already, stay in ``other`` as a JSON text. Unreadable records give a
+    row of nulls with the record itself as a failed cast of column ``''``.
     """
     parsed = df.select(*keep, F.col(record).alias("_text"), F.try_parse_json(record).alias("_try"))
     is_object = F.coalesce(F.schema_of_variant("_try").startswith("OBJECT"), F.lit(False))
-    source = parsed.withColumn("_record", F.when(is_object, F.col("_try")))
-    named = [f for _, names in columns.values() for f in names]
-    shown, failed = [], [F.when(~is_object, F.struct(F.lit("").alias("column"), F.lit("").alias("field"), F.col("_text").alias("raw")))]
-    for column, (kind, fields) in columns.items():
-        raws = [F.expr(f"variant_get(_record, \"$['{f}']\", 'string')") for f in fields]
-        shown.append(F.coalesce(*(F.expr(f"try_variant_get(_record, \"$['{f}']\", '{kind}')") for f in fields)).alias(column))
-        failed += [F.when(raw.isNotNull() & F.expr(f"try_variant_get(_record, \"$['{f}']\", '{kind}')").isNull(), F.struct(F.lit(column).alias("column"), F.lit(f).alias("field"), raw.alias("raw"))) for f, raw in zip(fields, raws)]
-    other = F.map_filter(F.from_json(F.when(is_object, F.to_json("_try")), "map<string,string>"), lambda k, _: ~k.isin(named))
+    given = F.map_filter(F.when(is_object, F.col("_try")).cast("map<string,variant>"), lambda _, v: ~F.is_variant_null(v))
+    source = parsed.withColumn("_given", given).withColumn("_readable", is_object)
+    for i, (_, fields) in enumerate(columns.values()):  # of each column the field that fills it
+        first = F.coalesce(*(F.when(F.map_contains_key("_given", F.lit(f)), F.lit(f)) for f in fields)) if fields else F.lit(None).cast("string")
+        source = source.withColumn(f"_field{i}", first)
+    shown, failed = [], [F.when(~F.col("_readable"), F.struct(F.lit("").alias("column"), F.lit("").alias("field"), F.col("_text").alias("raw")))]
+    for i, (column, (kind, _)) in enumerate(columns.items()):
+        value = F.try_element_at("_given", F.col(f"_field{i}"))
+        shown.append(F.try_variant_get(value, "$", kind).alias(column))
+        failed.append(F.when(F.col(f"_field{i}").isNotNull() & F.try_variant_get(value, "$", kind).isNull(), F.struct(F.lit(column).alias("column"), F.col(f"_field{i}").alias("field"), F.variant_get(value, "$", "string").alias("raw"))))
+    used = F.array_compact(F.array(F.lit(None).cast("string"), *(F.col(f"_field{i}") for i in range(len(columns)))))
+    other = F.to_json(F.map_filter("_given", lambda k, _: ~F.array_contains(used, k)))
     return source.select(*keep, *shown, other.alias("other"), F.filter(F.array(*failed), lambda x: x.isNotNull()).alias("failed_casts"))

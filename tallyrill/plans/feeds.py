@@ -5,39 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrill.operators.schema_drift import project_typed, schema_changes
+from tallyrill.operators.schema_drift import project_typed, schema_changes, settled_columns
 from tallyrill.session import table
 
-#: The settled columns of feed records, each with the field names it has gone by.
-COLUMNS = {
-    "name": ("string", ("name", "Name", "title")),
-    "source": ("string", ("source", "Source", "origin", "src", "payload_source", "sent_by")),
-    "platform": ("string", ("platform", "Platform", "client_platform", "agent_platform", "surface", "app")),
-    "machine_id": ("string", ("machine_id", "machineId", "device", "host_key")),
-    "hostname": ("string", ("hostname", "host", "computer")),
-    "os": ("string", ("os", "os_name", "operating_system")),
-    "client_version": ("string", ("claude_version", "client_version", "agentVersion")),
-    "cwd": ("string", ("cwd", "dir", "working_dir")),
-    "type": ("string", ("type", "kind", "transport")),
-    "command": ("string", ("command", "cmd", "launch")),
-    "hash": ("string", ("hash", "sha256", "digest")),
-    "preview": ("string", ("preview", "excerpt", "head")),
-    "retry": ("int", ("retry",)),
-    "scan_ms": ("bigint", ("scan_ms",)),
-    "managed": ("boolean", ("managed",)),
-}
-
-
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every change of a file's fields against the file before it in its feed."""
     return schema_changes(table(spark, folder, "feed_records"), "feed", "file_no", "record")
 
 
 def p4_table(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of all feeds as one table, with the values that didn't fit their column's type."""
-    keep = ["file_id", "feed", "file_no", "line_no"]
-    flat = project_typed(table(spark, folder, "feed_records"), "record", keep, COLUMNS)
-    return flat.withColumn("other", F.to_json("other")).withColumn("failed_casts", F.to_json("failed_casts"))
+    """All records of all feeds as one table: its columns come from the renames found and the types met; with what no
+    column took and the values that didn't fit their column's type."""
+    records, keep = table(spark, folder, "feed_records"), ["file_id", "feed", "file_no", "line_no"]
+    flat = project_typed(records, "record", keep, settled_columns(records, "feed", "file_no", "record", keep))
+    return flat.withColumn("failed_casts", F.to_json("failed_casts"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_table": p4_table}

@@ -36,12 +36,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; one of our own only where none is set, as in tests."""
+    """The shared checkpoint folder that the session names. Where it names none, a temporary one in local mode, as in
+    tests; on a cluster, whose executors don't share their disks, that raises."""
     context = spark.sparkContext
     named = context._jsc.sc().getCheckpointDir()
     if named.isDefined():
         return named.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyrill-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tallyrill-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
 

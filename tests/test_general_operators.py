@@ -16,7 +16,7 @@ from tallyrill.operators.entity_features import entity_features, entity_type_tot
 from tallyrill.operators.heavy_keys import heavy_key_profile
 from tallyrill.operators.nested import flatten_nested
 from tallyrill.operators.ordering import ordered_positions
-from tallyrill.operators.schema_drift import project_typed, schema_changes
+from tallyrill.operators.schema_drift import project_typed, schema_changes, settled_columns
 from tallyrill.operators.snapshots import snapshot_changes
 
 
@@ -144,9 +144,40 @@ def test_drift_empty(spark):
 def test_project_typed(spark):
     df = spark.createDataFrame([(1, '{"n": "5", "b": "x"}'), (2, '{"m": "z", "b": {"q": 1}}'), (3, "{"), (4, None)], "id int, r string")
     got = {r["id"]: r for r in project_typed(df, "r", ["id"], {"n": ("int", ("n", "m"))}).collect()}
-    assert (got[1]["n"], got[1]["other"], got[1]["failed_casts"]) == (5, {"b": "x"}, [])
+    assert (got[1]["n"], got[1]["other"], got[1]["failed_casts"]) == (5, '{"b":"x"}', [])
     assert got[2]["n"] is None and [tuple(f) for f in got[2]["failed_casts"]] == [("n", "m", "z")]
     assert [tuple(f) for f in got[3]["failed_casts"]] == [("", "", "{")] and len(got) == 4
+    both = spark.createDataFrame([(1, '{"m": 1, "n": null, "it\'s \\"q\\"": [1]}'), (2, '{"n": 2, "m": 3}')], "id int, r string")
+    assert [tuple(r) for r in project_typed(both, "r", ["id"], {"n": ("int", ("n", "m"))}).orderBy("id").drop("failed_casts").collect()] == [(1, 1, '{"it\'s \\"q\\"":[1]}'), (2, 2, '{"m":3}')]
+
+
+def test_columns_from_what_is_found(spark):
+    """A rename that no list names reaches its column, and a column has the type most of its values have."""
+    app = lambda i: ["desk", "code", "web"][i % 3]
+    files = [
+        ("f", 1, [{"platform_name": app(i), "size": i, "share": 0.5, "on": True, "id": f"m-{i:06x}"} for i in range(9)]),
+        ("f", 2, [{"agent kind": app(i), "size": str(i) if i else "many", "share": 1, "on": False, "id": f"m-{i:06x}"} for i in range(8)] + ["{broken"]),
+        ("g", 1, [{"agent kind": "web", "size": 3, "file_no": 7, "list": [1]}]),
+    ]
+    lines = [(feed, no, json.dumps(r) if isinstance(r, dict) else r) for feed, no, records in files for r in records]
+    df = spark.createDataFrame(lines, "feed string, file_no bigint, record string")
+    columns = settled_columns(df, "feed", "file_no", "record", ["feed", "file_no"])
+    assert columns["agent kind"] == ("string", ("agent kind", "platform_name"))
+    assert {n: t for n, (t, _) in columns.items() if n in ("size", "share", "on", "file_no_", "list")} == {"size": "bigint", "share": "double", "on": "boolean", "file_no_": "bigint", "list": "string"}
+    got = project_typed(df, "record", ["feed", "file_no"], columns).collect()
+    name = next(n for n, (_, f) in columns.items() if "platform_name" in f)
+    assert sum(r[name] is not None for r in got) == 18 and all(r["other"] in ("{}", None) for r in got)
+    assert [tuple(f) for r in got for f in r["failed_casts"]] == [("size", "size", "many"), ("", "", "{broken")]
+    with pytest.raises(ValueError, match="more than 2 fields"):
+        settled_columns(df, "feed", "file_no", "record", most=2)
+    assert settled_columns(df.limit(0), "feed", "file_no", "record") == {}
+
+
+def test_many_fields_change_at_once(spark):
+    """A file that replaces hundreds of fields pairs only those whose values are alike."""
+    record = lambda old, i: {f"{'old' if old else 'new'}{n}": f"{n}-{(i * 7 + n) % 5}" for n in range(300)}
+    got = drift(spark, [("f", 1, [record(True, i) for i in range(8)]), ("f", 2, [record(False, i) for i in range(8)])])
+    assert got == sorted((("f", 2, "renamed", f"old{n}", f"new{n}") for n in range(300)), key=repr)
 
 
 values = st.recursive(st.none() | st.booleans() | st.integers(-99, 99) | st.text(max_size=6), lambda kids: st.lists(kids, max_size=4) | st.dictionaries(st.sampled_from(["a", "b", 'c"', "d\\"]), kids, max_size=4), max_leaves=12)
