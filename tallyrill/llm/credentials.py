@@ -1,9 +1,10 @@
 """Literal credentials in source code, configuration, commands, environments and headers, found and blanked.
 
-Text is cut lexically into names and the literals assigned or passed to them, at any depth of quoting: a literal that is
-no credential itself is searched for the names and literals inside it. A literal is flagged where its name is that of a
-credential and its value no placeholder, or where its own form tells (a private key, an address with a password, a
-scheme with a token, a provider's token format). Blanking touches only the literal's own characters.
+Text is tokenized lexically into comments, strings, names, numbers and signs, whatever the language's way of writing
+them; comments and strings are tokenized in turn, at any depth of quoting. A literal that is assigned or passed to a name
+is flagged where the name is a credential's and the literal no placeholder, or where its own form tells (a private key,
+an address with a password, a scheme with a token, a provider's token format). Blanking touches only the literal's own
+characters.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ OTHER_LAST = frozenset(
     "file path dir url uri endpoint host name header headers policy prefix suffix id ids ttl type kind length len size count limit max min expiry expires expiration timeout version format algorithm alg method mode enabled required"
     " public hash ref arn field param scope scopes issuer audience user username email region pattern regex label hint fingerprint digest stdin provider server service store manager rotation days tokens keys secrets passwords".split()
 )
+PLURALS = frozenset("tokens keys secrets passwords".split())
 OTHER_FIRST = frozenset("max min num use enable enabled has is no total public".split())
 OTHER_KEYS = frozenset("public primary foreign partition sort cache row group object index map dict lookup route idempotency dedupe translation registry sub press on host license".split())
 
@@ -50,18 +52,27 @@ _USER_FLAG = re.compile(r"(?:^|\s)(?:-u|--user|--proxy-user)[ =]?\\*[\"']?([^\s:
 _P_FLAG = re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mysqlimport|mariadb|sshpass)\b[^\n|;&]*?\s-p(?=[^\s])\\*[\"']?([^\s\"'\\]+)")
 _SCHEME = re.compile(r"(?i)^(bearer|token|basic|apikey|api-key)[ \t]+(\S+)$")
 
-_NAME = r"(?P<name>[A-Za-z_][\w.\-]*)"
-_ASSIGN = re.compile(
-    r"(?<![\w.$])" + _NAME + r"(?P<shut>\\*[\"'`])?\]?(?:[ \t]*:[ \t]*[A-Za-z_][\w\[\]<>|. ]*?(?=[ \t]*=[^=]))?"
-    r"[ \t]*(?P<sep>:=|=>|=(?!=)|:(?!/)|,)[ \t]*(?P<wrap>\(?(?:\\?\r?\n)?[ \t]*(?=\\*[\"'`]))?"
-    r"(?:[rbuf]{1,2}(?=[\"']))?(?P<open>\"\"\"|'''|\\*[\"'`])?"
+# The lexemes: comments, strings (with a language's prefix, plain or inside another string), names, numbers and signs.
+_COMMENT = r"(?P<comment>(?<!\S)#[^\n]*|(?<![:\w\"'])//[^\n]*|/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z))"
+_LEXEME = (
+    r"(?P<string>(?:(?<!\w)[rRbBuUfF]{1,2}(?=[\"']))?(?:\"\"\"(?P<s1>.*?)\"\"\"|'''(?P<s2>.*?)'''|\"(?P<s3>(?:\\.|[^\"\\\n])*)\"|(?<!\w)'(?P<s4>(?:\\['\\]|[^'\n])*?)'|`(?P<s5>(?:\\.|[^`\\])*)`|(?P<open>\\+[\"'`])(?P<s6>[^\n]*?)(?P=open)))"
+    r"|(?P<name>(?<![\w.$])[A-Za-z_][\w.\-]*)|(?P<number>(?<![\w.])\d+(?:\.\d+)?(?![\w.]))|(?P<sign>:=|=>|==|!=|<=|>=|::|[=:,(\])])"
 )
-_FLAG = re.compile(r"(?<![\w-])--?" + _NAME + r"[ \t]+(?P<open>\\*[\"'])?(?![-<|>&])")
+_TOKEN, _IN_COMMENT = re.compile(_COMMENT + "|" + _LEXEME, re.S), re.compile(_LEXEME, re.S)
+_IDENT = re.compile(r"[A-Za-z_][\w.\-]*")
+_TYPED = re.compile(r"[ \t]*[A-Za-z_][\w\[\]<>|. ?]*?[ \t]*=(?!=)")
+_WRAP = re.compile(r"[ \t]*(?:\(?(?:\\?\r?\n)?[ \t]*(?=(?:[rbufRBUF]{1,2})?\\*[\"'`]))?")
+#: What makes a value of a literal without looking it up.
+_MADE = re.compile(r"(?:new[ \t]+[\w.]+|String|str|bytes|bytearray|b64decode|Buffer\.from|SecretStr|SecureString|SecretString|String\.valueOf|toCharArray|\[\]byte)[ \t]*\([ \t]*(?=\\*[\"'`])")
+_JOIN, _PLUS = re.compile(r"[ \t]*(?:\+|\\)?[ \t]*(?:\r?\n)?[ \t]*(?:\+)?[ \t]*"), re.compile(r"[ \t]*(?:\r?\n[ \t]*)?\+[ \t]*(?:\r?\n[ \t]*)?")
+_ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.:\-]*)(?:\s[^<>]*)?>(?:<!\[CDATA\[)?(?P<text>[^<>\]]+)(?:\]\]>)?</(?P=name)\s*>")
+_FLAG = re.compile(r"(?<![\w-])--?(?P<name>[A-Za-z_][\w.\-]*)[ \t]+(?P<open>\\*[\"'])?(?![-<|>&])")
 _BARE = re.compile(r"[^\s\"'`,;&|)}\]]+")
-_SCHEMED = re.compile(r"(?i)(?:bearer|basic|token|apikey)[ \t]+([^\s\"'`,;\\]+)")
-_BLOCK = re.compile(r"[|>][+-]?\d?[ \t]*(?:#[^\n]*)?\r?\n(?:[ \t]*\r?\n)*(?P<indent>[ \t]+)(?P<text>\S[^\r\n]*)")
-_STRING = re.compile(r"\"\"\"(?P<a>.*?)\"\"\"|'''(?P<b>.*?)'''|\"(?P<c>(?:\\.|[^\"\\\n])*)\"|'(?P<d>(?:\\.|[^'\\\n])*)'|`(?P<e>(?:\\.|[^`\\])*)`", re.S)
-_JOIN = re.compile(r"[ \t]*(?:\+|\\)?[ \t]*(?:\r?\n)?[ \t]*(?:\+)?[ \t]*(?P<open>[\"'])")
+_SCHEMED = re.compile(r"(?i)[ \t]*(?:bearer|basic|token|apikey)[ \t]+([^\s\"'`,;\\]+)")
+_BLOCK = re.compile(r"[ \t]*[|>][+-]?\d?[ \t]*(?:#[^\n]*)?\r?\n(?:[ \t]*\r?\n)*(?P<indent>[ \t]+)(?P<text>\S[^\r\n]*)")
+# First words of calls that hand a credential over, and the fields of a pair that hold a name and its value.
+SETTERS = frozenset("set with use add put update assign".split())
+NAME_FIELDS, VALUE_FIELDS = frozenset("name key variable var property".split()), frozenset("value val default".split())
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 #: Kinds of files in which a value without quotes is an expression, no literal.
@@ -101,7 +112,7 @@ def stands_in(value: str) -> bool:
     if len(set(value.lower())) <= 2 or re.fullmatch(r"[xX*.•#_\-0]+", value):
         return True
     longest = max((len(r) for r in re.findall(r"[A-Za-z0-9]+", value)), default=0)
-    return bool(longest < 20 and _STAND_IN_WORD.search(value)) or len(set(re.sub(r"^[A-Za-z]{2,6}[-_]?(?:live[-_]|test[-_]|proj[-_])?", "", value).lower())) <= 1
+    return bool(longest < 20 and _STAND_IN_WORD.search(value)) or len(set(re.sub(r"^[A-Za-z]{2,6}[-_](?:live[-_]|test[-_]|proj[-_])?", "", value).lower())) <= 1
 
 
 def _plausible(kind: str, value: str) -> bool:
@@ -168,94 +179,199 @@ def value_spans(name: str, value: str, quoted_only: bool = False) -> list[Span]:
         return inner
     if kind and _plausible(kind, value) and not (kind in ("session", "token") and re.search(r"[;=]\s*\w+=", value)):
         return [(0, len(value), 0)]
+    if not kind and _holds_many(name) and not stands_in(value) and _dense(value, 16):
+        return [(0, len(value), 0)]
     return []
 
 
-def _literal(text: str, at: int, quote: str) -> int:
-    """The end of the content of a literal that starts at ``at`` after the opening ``quote``; -1 if it isn't closed."""
-    if len(quote) == 3 and quote[0] == quote[1]:
-        return text.find(quote, at)
-    if len(quote) > 1:  # escaped quotes: the literal lies inside another one
-        end = text.find(quote, at)
-        return end if end >= 0 and "\n" not in text[at:end] else -1
-    end = at
-    while end < len(text):
-        c = text[end]
-        if c == quote:
-            return end
-        if c == "\\" and quote != "'":
-            end += 1
-        elif c == "\\" and text[end + 1 : end + 2] in ("'", "\\"):
-            end += 1
-        elif c == "\n" and quote != "`" and "-----BEGIN" not in text[at:end]:
-            return -1
-        end += 1
-    return -1
+def _holds_many(name: str) -> bool:
+    """Whether a name is that of several credentials, one of which only its own looks tell from a count or a path."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return bool(words) and words[-1] in PLURALS and words[0] not in OTHER_FIRST and not OTHER_KEYS & set(words)
+
+
+Token = tuple[str, int, int, int, int]
+"""Kind, start and end, and of a comment or string the start and end of what it holds."""
+
+
+def tokens(text: str, in_comment: bool = False) -> list[Token]:
+    """The lexemes of a text, in order; blanks and signs that bind nothing are left out. A comment holds no comments."""
+    found = []
+    for m in (_IN_COMMENT if in_comment else _TOKEN).finditer(text):
+        kind = m.lastgroup if m.lastgroup in ("comment", "name", "number", "sign") else "string"
+        if kind == "string":
+            inner = next(g for g in ("s1", "s2", "s3", "s4", "s5", "s6") if m[g] is not None)
+            found.append((kind, m.start(), m.end(), m.start(inner), m.end(inner)))
+        else:
+            found.append((kind, m.start(), m.end(), m.start(), m.end()))
+    return found
+
+
+class _Bindings:
+    """Literals of one text and the names they are assigned or passed to; ``spans`` holds the secrets among them."""
+
+    def __init__(self, text: str, quoted_only: bool, hidden: list[tuple[int, int]], in_comment: bool = False):
+        self.text, self.quoted_only, self.hidden = text, quoted_only, hidden
+        self.tokens = tokens(text, in_comment)
+        self.spans: list[Span] = []
+        self.pair: tuple[str, int] | None = None  # a name given as a field's value, and where it ends
+        self.used: set[int] = set()  # strings that are names or values
+        self.read()
+        self.enter()
+
+    def free(self, at: int) -> bool:
+        return not any(s <= at < e for s, e in self.hidden)
+
+    def blank(self, a: int, b: int) -> bool:
+        return not self.text[a:b].strip(" \t")
+
+    def read(self) -> None:
+        text, all_tokens, i = self.text, self.tokens, 0
+        while i < len(all_tokens):
+            kind, start, end, a, b = all_tokens[i]
+            i += 1
+            keyed = kind == "string"
+            if kind not in ("name", "string") or i >= len(all_tokens) or not self.free(start) or (keyed and not _IDENT.fullmatch(text, a, b)):
+                continue
+            name, at = text[a:b], i
+            if keyed and text[all_tokens[at][1] : all_tokens[at][2]] == "]" and self.blank(end, all_tokens[at][1]):
+                end, at = all_tokens[at][2], at + 1
+            if at >= len(all_tokens) or all_tokens[at][0] != "sign" or not self.blank(end, all_tokens[at][1]):
+                continue
+            _, _, begin, _, _ = all_tokens[at]
+            sign = text[all_tokens[at][1] : begin]
+            if sign in (":=", "=>", "=", ":") or (sign == "," and keyed):
+                if sign == ":" and text[begin : begin + 1] == "/":
+                    continue
+                if sign == ":" and not keyed and (typed := _TYPED.match(text, begin)):
+                    begin = typed.end()
+                if keyed:
+                    self.used.add(i - 1)
+                i = self.value(name, at + 1, begin, sign, keyed) or i
+            elif sign == "(" and not keyed and (passed := self.passed_to(name)):
+                k = at + 1
+                if k + 1 < len(all_tokens) and all_tokens[k][0] == "string" and self.blank(begin, all_tokens[k][1]) and text[all_tokens[k + 1][1] : all_tokens[k + 1][2]] == ")":
+                    self.literal(passed, [k])
+                    i = k + 1
+
+    @staticmethod
+    def passed_to(name: str) -> str:
+        """The credential's name that a call hands its argument to: that of a setter, or of a builder's step."""
+        before, dot, last = name.rpartition(".")
+        words = [w.lower() for w in _WORDS.findall(last)]
+        if len(words) > 1 and words[0] in SETTERS:
+            return last if name_kind(last) else ""
+        return last if dot and name_kind(last) and words[-1] not in ("secret", "secrets", "credential", "credentials", "cookie", "session") else ""
+
+    def at(self, place: int, k: int) -> int | None:
+        """The number of the string that starts at a place, looked for from token ``k`` on."""
+        while k < len(self.tokens) and self.tokens[k][1] < place:
+            k += 1
+        return k if k < len(self.tokens) and self.tokens[k][0] == "string" and self.tokens[k][1] == place else None
+
+    def value(self, name: str, k: int, begin: int, sign: str, keyed: bool) -> int | None:
+        """Reads the value of a name; the number of the token behind it, if it is made of literals."""
+        text = self.text
+        wrap = _WRAP.match(text, begin)
+        first = self.at(wrap.end(), k)
+        if first is None and (made := _MADE.match(text, wrap.end())):
+            first = self.at(made.end(), k)
+        if first is not None:
+            parts = [first]
+            gap = _JOIN if "(" in wrap[0] else _PLUS
+            while (g := gap.match(text, self.tokens[parts[-1]][2])) and (more := self.at(g.end(), parts[-1] + 1)) is not None and more == parts[-1] + 1:
+                parts.append(more)
+            self.literal(name, parts)
+            return parts[-1] + 1
+        if sign == ",":
+            return None
+        kind = name_kind(self.named(name, begin))
+        if self.quoted_only:
+            while k < len(self.tokens) and self.tokens[k][1] < begin:
+                k += 1
+            if kind == "password" and k < len(self.tokens) and self.tokens[k][0] == "number" and self.blank(begin, self.tokens[k][1]) and self.tokens[k][2] - self.tokens[k][1] >= 6:
+                self.add(self.tokens[k][1], self.tokens[k][2])
+            return None
+        self.bare(name, kind, begin)
+        return None
+
+    def named(self, name: str, at: int) -> str:
+        """The name that a value belongs to: that of the pair it stands in, else its own."""
+        return self.pair[0] if name.lower() in VALUE_FIELDS and self.pair and at - self.pair[1] < 80 else name
+
+    def literal(self, name: str, parts: list[int]) -> None:
+        spans = [self.tokens[k][3:] for k in parts]
+        joined = "".join(self.text[a:b] for a, b in spans)
+        self.used.update(parts)
+        self.spans += _placed(value_spans(self.named(name, spans[0][0]), joined), spans)
+        if name.lower() in NAME_FIELDS and _IDENT.fullmatch(joined):
+            self.pair = joined, spans[-1][1]
+
+    def add(self, a: int, b: int) -> None:
+        self.spans.append((a, b, a))
+
+    def bare(self, name: str, kind: str, begin: int) -> None:
+        """A value without quotes: a block of lines, a scheme with a token, or a word."""
+        text = self.text
+        if block := _BLOCK.match(text, begin):
+            if kind and _plausible(kind, block["text"].strip()):
+                self.add(*block.span("text"))
+            return
+        if schemed := _SCHEMED.match(text, begin):
+            token = schemed[1]
+            if kind and (_basic(token) if schemed[0].lstrip()[:5].lower() == "basic" else not stands_in(token) and len(token) >= 8):
+                self.add(*schemed.span(1))
+            return
+        start = begin
+        while text[start : start + 1] in (" ", "\t"):
+            start += 1
+        if not (word := _BARE.match(text, start)):
+            return
+        if kind and _plausible(kind, word[0]) and not _ADDRESS.match(word[0]):
+            self.add(*word.span())
+        if name.lower() in NAME_FIELDS and _IDENT.fullmatch(word[0]):
+            self.pair = word[0], word.end()
+
+    def enter(self) -> None:
+        """Reads the comments, and the strings that no name has, as texts of their own."""
+        for k, (kind, _, _, a, b) in enumerate(self.tokens):
+            if k in self.used or b - a <= 4 or not self.free(a):
+                continue
+            if kind == "comment":
+                self.spans += _shifted(_Bindings(self.text[a:b], self.quoted_only, [], True).spans, a)
+            elif kind == "string":
+                self.spans += _shifted(text_spans(self.text[a:b]), a)
+        text = self.text
+        if not self.quoted_only and "-" in text:
+            for m in _FLAG.finditer(text):
+                kind = name_kind(m["name"])
+                if kind in ("password", "token") and self.free(m.start()) and len(m["name"]) > 1:
+                    end = text.find(m["open"], m.end()) if m["open"] else ((v := _BARE.match(text, m.end())) and v.end()) or -1
+                    if end > 0 and _plausible(kind, text[m.end() : end]):
+                        self.add(m.end(), end)
 
 
 def text_spans(text: str, quoted_only: bool = False) -> list[Span]:
     """Spans of the secrets in a text of names and literals. quoted_only: values without quotes are expressions."""
     found: list[tuple[int, int]] = []  # each a secret of its own
-    spread: list[Span] = []
     hidden = [(m.start(), m.end()) for m in re.finditer(r"-----BEGIN [A-Z0-9 ]*-----.*?(?:-----END [A-Z0-9 ]*-----|\Z)", text, re.S)] if "-----BEGIN" in text else []
     for m in _PRIVATE_KEY.finditer(text) if hidden else ():
         body = re.sub(r"\\+[nrt]|[\s\\\"'+]", "", m[1])
         if len(body) >= 16 and not _REFERENCE.search(body[:64]):
             found.append((m.start(), m.end()))
-    free = lambda a: not any(s <= a < e for s, e in hidden)
     if "://" in text:
         found += [m.span(2) for m in _ADDRESS.finditer(text) if not stands_in(m[2])]
     if "-u" in text or "user" in text:
         found += [m.span(2) for m in _USER_FLAG.finditer(text) if not stands_in(m[2]) and len(m[2]) >= 4]
     if " -p" in text:
         found += [m.span(1) for m in _P_FLAG.finditer(text) if not stands_in(m[1]) and len(m[1]) >= 5]
-    at = 0
-    while m := _ASSIGN.search(text, at):
-        name, start, quote = m["name"], m.end(), m["open"]
-        at = m.end("name")
-        if m["sep"] == "," and not (m["shut"] and quote) or not free(m.start()):
-            continue
-        if quote:
-            end = _literal(text, start, quote)
-            if end < 0:
-                at = start
-                continue
-            parts = [(start, end)]
-            while m["wrap"] and "(" in m["wrap"] and (j := _JOIN.match(text, parts[-1][1] + len(quote))) and (stop := _literal(text, j.end(), j["open"])) >= 0:
-                parts.append((j.end(), stop))
-            joined = "".join(text[a:b] for a, b in parts)
-            spread += _placed(value_spans(name, joined), parts)
-            at = parts[-1][1] + len(quote)
-        elif m["sep"] != ",":
-            if b := _BLOCK.match(text, start):
-                if (kind := name_kind(name)) and _plausible(kind, b["text"].strip()):
-                    found.append(b.span("text"))
-                continue
-            if quoted_only:
-                continue
-            kind = name_kind(name)
-            if s := _SCHEMED.match(text, start):
-                if kind and (_basic(s[1]) if s[0][:5].lower() == "basic" else not stands_in(s[1]) and len(s[1]) >= 8):
-                    found.append(s.span(1))
-                    at = s.end()
-                continue
-            if kind and (v := _BARE.match(text, start)) and _plausible(kind, v[0]) and not _ADDRESS.match(v[0]):
-                found.append(v.span())
-                at = v.end()
-    if not quoted_only:
-        for m in _FLAG.finditer(text):
-            kind = name_kind(m["name"])
-            if kind in ("password", "token") and free(m.start()):
-                end = _literal(text, m.end(), m["open"]) if m["open"] else ((v := _BARE.match(text, m.end())) and v.end()) or -1
-                if end > 0 and _plausible(kind, text[m.end() : end]) and len(m["name"]) > 1:
-                    found.append((m.end(), end))
-    else:
-        for m in _STRING.finditer(text):
-            if free(m.start()) and m.lastgroup and len(m[m.lastgroup]) > 8:
-                spread += _shifted(text_spans(m[m.lastgroup]), m.start(m.lastgroup))
+    if "</" in text:
+        found += [m.span("text") for m in _ELEMENT.finditer(text) if (kind := name_kind(m["name"])) and _plausible(kind, m["text"].strip())]
+    free = lambda a: not any(s <= a < e for s, e in hidden)
     for m in _TOKEN_FORMS.finditer(text):
         if free(m.start()) and not stands_in(m[0]) and (m[0][:4] in ("AKIA", "ASIA") or any(c.isdigit() for c in m[0])):
             found.append(m.span())
+    spread = _Bindings(text, quoted_only, hidden).spans if _BINDS.search(text) else []
     merged: list[Span] = []
     for span in sorted({*spread, *((a, b, a) for a, b in found)}, key=lambda s: (s[0], s[2], -s[1])):
         if not merged or span[0] >= merged[-1][1]:
@@ -263,14 +379,21 @@ def text_spans(text: str, quoted_only: bool = False) -> list[Span]:
     return merged
 
 
+_BINDS = re.compile(r"[=:,(]|--?[A-Za-z]")
 _KEPT = re.compile(r"(-----(?:BEGIN|END) [A-Z0-9 ]*-----)|(\\+(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[^\sA-Za-z0-9]|[abfnrtv0]))|(\s)|.", re.S)
 
 
 def blanked(text: str, spans: list[Span]) -> str:
-    """The text with the secrets' own characters written as x; delimiters, escapes, line ends and key armour stay."""
+    """The text with the secrets' own characters written as x, and numbers without quotes as numbers; delimiters,
+    escapes, line ends and key armour stay."""
     parts, at = [], 0
     for a, b, _ in spans:
-        parts += [text[at:a], _KEPT.sub(lambda m: m[0] if m[1] or m[2] or m[3] else "x", text[a:b])]
+        secret = text[a:b]
+        if secret.isascii() and secret.isdigit() and text[a - 1 : a] not in ("'", '"', "`"):
+            clean = "1" * (b - a)
+        else:
+            clean = _KEPT.sub(lambda m: m[0] if m[1] or m[2] or m[3] else "x", secret)
+        parts += [text[at:a], clean]
         at = b
     return "".join([*parts, text[at:]])
 

@@ -2,6 +2,7 @@
 
 import base64
 import json
+import time
 
 import pytest
 from conftest import rows
@@ -44,6 +45,32 @@ def test_commands(command, secret):
     assert [command[a:b] for a, b, _ in text_spans(command)] == ([secret] if secret else [])
 
 
+@pytest.mark.parametrize(("text", "kind", "secrets"), [
+    ('conn.setPassword("Tr0ub4dor");', "java", ["Tr0ub4dor"]), ('client.withToken("tok_8LrPe6n8O0YtQU4r")', "ts", ["tok_8LrPe6n8O0YtQU4r"]), ('b.password("Saddle9otter").build()', "java", ["Saddle9otter"]), ('map.put("password", "Saddle9otter")', "java", ["Saddle9otter"]),
+    ("<config><password>Tr0ub4dor9</password></config>", "xml", ["Tr0ub4dor9"]), ('<add key="DbPassword" value="Saddle9otter"/>', "xml", ["Saddle9otter"]), ('pw = new String("Tr0ub4dor9");', "java", ["Tr0ub4dor9"]), ('{"secrets": "0e3eb4d46beb180e612b"}', "json", ["0e3eb4d46beb180e612b"]),
+    ('password = "hunter2"', "py", ["hunter2"]), ("# don't use\npassword = 'Tr0ub4dor9' # it's\n", "py", ["Tr0ub4dor9"]), ('/* password = "Saddle9otter" */ int x;', "java", ["Saddle9otter"]), ('String apiKey = "abcDEF123" +\n   "ghiJKL456";', "java", ["abcDEF123", "ghiJKL456"]),
+    ("- name: DB_PASSWORD\n  value: Saddle9otter\n- name: X\n  value: abc123456\n", "yaml", ["Saddle9otter"]), ('{"env": [{"name": "API_TOKEN", "value": "tok_8LrPe6n8O0YtQU4r"}]}', "json", ["tok_8LrPe6n8O0YtQU4r"]), ('password: "it\'s9Long"\nx: \'y\'\n', "yaml", ["it's9Long"]),
+    ('password = get_password("prod/db")', "py", []), ('token = os.getenv("API_TOKEN")', "py", []), ('v = vault.secret("kv/prod/otter-9921")', "py", []), ('getToken("tok_8LrPe6n8O0YtQU4r")', "ts", []), ('{"max_tokens": "abcdef0123456789abcdef"}', "json", []), ("password_length = 12\n", "py", []), ('log("token", "the user token was refreshed")', "py", []),
+])
+def test_lexemes(text, kind, secrets):
+    spans = text_spans(text, kind in CODE_KINDS)
+    assert [text[a:b] for a, b, _ in spans] == secrets
+    assert not text_spans(blanked(text, spans), kind in CODE_KINDS)
+
+
+def test_numbers_stay_numbers():
+    text = '{"password": 83921746, "n": 1}'
+    clean = blanked(text, text_spans(text, True))
+    assert json.loads(clean).keys() == {"password", "n"} and json.loads(clean)["password"] != 83921746 and len(clean) == len(text)
+
+
+@pytest.mark.parametrize("text", ['"' + 'a=\\"' * 100_000, "password='" * 50_000, "a('x'," * 50_000, "<a " * 100_000 + "</", "# a " * 50_000, "// x=`" * 50_000, "/*" * 50_000, "\\" * 200_000 + '"'])
+def test_long_odd_texts(text):
+    began = time.perf_counter()
+    text_spans(text), text_spans(text, True)
+    assert time.perf_counter() - began < 10
+
+
 FILES = {
     "py": ("import os\nTOKEN = os.environ.get('TOKEN', \"" + TOKEN + "\")\npassword = get_password()\nkw(api_key=settings.api_key)\nX = (\"--auth-to\"\n    \"ken=DD8ZP-HXCY9-LXVZ5-R3U89\")\nPEM = \"\"\"\n" + KEY + "\n\"\"\"\ncfg['DB_PASSWORD'] = 'Lintel22!A9a'  # note\n", [2, 5, 8, 13]),
     "json": (json.dumps({"env": {"A": "b", "TOKEN": TOKEN, "ACCOUNT": json.dumps({"secret": "k" * 3 + "9aB8cD7eF6gH5"})}}, indent=1), [4, 5]),
