@@ -13,6 +13,7 @@ import base64
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,11 +60,13 @@ _LEXEME = (
     r"|(?P<name>(?<![\w.$])[A-Za-z_][\w.\-]*)|(?P<number>(?<![\w.])\d+(?:\.\d+)?(?![\w.]))|(?P<sign>:=|=>|==|!=|<=|>=|::|[=:,(\])])"
 )
 _TOKEN, _IN_COMMENT = re.compile(_COMMENT + "|" + _LEXEME, re.S), re.compile(_LEXEME, re.S)
+_STRING_FORMS = ("s3", "s4", "s6", "s5", "s1", "s2")  # the commonest first
 _IDENT = re.compile(r"[A-Za-z_][\w.\-]*")
 _TYPED = re.compile(r"[ \t]*[A-Za-z_][\w\[\]<>|. ?]*?[ \t]*=(?!=)")
 _WRAP = re.compile(r"[ \t]*(?:\(?(?:\\?\r?\n)?[ \t]*(?=(?:[rbufRBUF]{1,2})?\\*[\"'`]))?")
 #: What makes a value of a literal without looking it up.
 _MADE = re.compile(r"(?:new[ \t]+[\w.]+|String|str|bytes|bytearray|b64decode|Buffer\.from|SecretStr|SecureString|SecretString|String\.valueOf|toCharArray|\[\]byte)[ \t]*\([ \t]*(?=\\*[\"'`])")
+_MADE_STARTS = frozenset("nSsbBt[")
 _JOIN, _PLUS = re.compile(r"[ \t]*(?:\+|\\)?[ \t]*(?:\r?\n)?[ \t]*(?:\+)?[ \t]*"), re.compile(r"[ \t]*(?:\r?\n[ \t]*)?\+[ \t]*(?:\r?\n[ \t]*)?")
 _ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.:\-]*)(?:\s[^<>]*)?>(?:<!\[CDATA\[)?(?P<text>[^<>\]]+)(?:\]\]>)?</(?P=name)\s*>")
 _FLAG = re.compile(r"(?<![\w-])--?(?P<name>[A-Za-z_][\w.\-]*)[ \t]+(?P<open>\\*[\"'])?(?![-<|>&])")
@@ -79,6 +82,7 @@ _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 CODE_KINDS = frozenset("py ts js tsx jsx mjs java go rb rs c cc cpp cs php kt swift scala json toml".split())
 
 
+@lru_cache(maxsize=65_536)
 def name_kind(name: str) -> str:
     """"password", "token", "session", "key" or "" for a name that is no credential's."""
     words = [w.lower() for w in _WORDS.findall(name)]
@@ -184,6 +188,7 @@ def value_spans(name: str, value: str, quoted_only: bool = False) -> list[Span]:
     return []
 
 
+@lru_cache(maxsize=65_536)
 def _holds_many(name: str) -> bool:
     """Whether a name is that of several credentials, one of which only its own looks tell from a count or a path."""
     words = [w.lower() for w in _WORDS.findall(name)]
@@ -198,12 +203,15 @@ def tokens(text: str, in_comment: bool = False) -> list[Token]:
     """The lexemes of a text, in order; blanks and signs that bind nothing are left out. A comment holds no comments."""
     found = []
     for m in (_IN_COMMENT if in_comment else _TOKEN).finditer(text):
-        kind = m.lastgroup if m.lastgroup in ("comment", "name", "number", "sign") else "string"
+        kind, whole = m.lastgroup, m.span()
         if kind == "string":
-            inner = next(g for g in ("s1", "s2", "s3", "s4", "s5", "s6") if m[g] is not None)
-            found.append((kind, m.start(), m.end(), m.start(inner), m.end(inner)))
+            for form in _STRING_FORMS:
+                inner = m.span(form)
+                if inner[0] >= 0:
+                    break
+            found.append((kind, *whole, *inner))
         else:
-            found.append((kind, m.start(), m.end(), m.start(), m.end()))
+            found.append((kind, *whole, *whole))
     return found
 
 
@@ -220,10 +228,10 @@ class _Bindings:
         self.enter()
 
     def free(self, at: int) -> bool:
-        return not any(s <= at < e for s, e in self.hidden)
+        return not self.hidden or not any(s <= at < e for s, e in self.hidden)
 
     def blank(self, a: int, b: int) -> bool:
-        return not self.text[a:b].strip(" \t")
+        return a == b or not self.text[a:b].strip(" \t")
 
     def read(self) -> None:
         text, all_tokens, i = self.text, self.tokens, 0
@@ -274,7 +282,7 @@ class _Bindings:
         text = self.text
         wrap = _WRAP.match(text, begin)
         first = self.at(wrap.end(), k)
-        if first is None and (made := _MADE.match(text, wrap.end())):
+        if first is None and text[wrap.end() : wrap.end() + 1] in _MADE_STARTS and (made := _MADE.match(text, wrap.end())):
             first = self.at(made.end(), k)
         if first is not None:
             parts = [first]
@@ -402,13 +410,19 @@ def file_kind(kind: str | None, path: str | None) -> str:
     return (kind or "").strip().lower() or (path or "").rpartition(".")[2].lower()
 
 
+@lru_cache(maxsize=50_000)
+def _seen_before(name: str, value: str) -> list[Span]:
+    """``value_spans`` of a short value, as the same ones come again and again."""
+    return value_spans(name, value)
+
+
 def find_in_values(df: DataFrame, keep: list[str], name: str, value: str) -> DataFrame:
     """(*keep, n_secrets, redacted) of each named value that holds a secret; null and empty values hold none."""
     kinds = [df.schema[k].dataType.simpleString() for k in keep]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, value_spans(n or "", v), v) for i, (n, v) in enumerate(zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist())) if v]
+            rows = [(i, (_seen_before if len(v) <= 256 else value_spans)(n or "", v), v) for i, (n, v) in enumerate(zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist())) if v]
             if rows := [(i, s, v) for i, s, v in rows if s]:
                 at = pa.array([i for i, _, _ in rows])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(len(keep))), pa.array([sum(at >= 0 for *_, at in s) for _, s, _ in rows], pa.int32()), pa.array([blanked(v, s) for _, s, v in rows])], names=[*(f"_k{i}" for i in range(len(keep))), "n_secrets", "redacted"])
