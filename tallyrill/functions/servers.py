@@ -91,9 +91,15 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(F.trim(text(path)), "/+$", ""), "/"), -1)
 
 
+def starts_gateway(command: Column, args: Column, gateway: str) -> Column:
+    """Whether an entry starts the gateway or another copy of it: by its base name, with ``server`` as the first argument."""
+    return (basename(command) == gateway.rpartition("/")[2]) & (text(F.try_element_at(args, F.lit(1))) == "server")
+
+
 def is_gateway(command: Column, args: Column, gateway: str) -> Column:
-    """Whether an entry starts the gateway itself: by its base name, with ``server`` as the first argument."""
-    return (basename(command) == gateway) & (text(F.try_element_at(args, F.lit(1))) == "server")
+    """Whether an entry starts the gateway itself: by its path where that is known, else by its base name."""
+    exact = (F.trim(text(command)) == gateway) if "/" in gateway else F.lit(True)
+    return starts_gateway(command, args, gateway) & exact
 
 
 def render_command(url: Column, command: Column, args: Column) -> Column:
@@ -129,6 +135,30 @@ def truncated(value: Column, most: int) -> Column:
     return F.when(F.octet_length(value) > most, F.concat(F.substring(value.cast("binary"), 1, most).cast("string"), F.lit("..."))).otherwise(value)
 
 
+def display_name(value: Column, terms: Sequence[str], most: int = 80) -> Column:
+    """A name as a report shows it: blanked where it holds one of the terms, else its first bytes."""
+    return F.when(holds_term(value, terms), "[REDACTED]").otherwise(F.substring(text(value).cast("binary"), 1, most).cast("string"))
+
+
+def redacted_domains(domains: Column, terms: Sequence[str]) -> Column:
+    return F.transform(domains, lambda d: F.when(holds_term(d, terms), "[REDACTED]").otherwise(d))
+
+
+def expand_home(path: Column, home: Column) -> Column:
+    """``~`` alone or before a slash as the home folder."""
+    return F.when(path == "~", home).when(path.startswith("~/"), F.concat(home, F.substr(path, F.lit(2)))).otherwise(path)
+
+
+def server_type(kind: Column, url: Column) -> Column:
+    """A server's own type, else http where it has an address, else stdio."""
+    return F.when(text(kind) != "", text(kind)).when(text(url) != "", "http").otherwise("stdio")
+
+
+def file_hash(content: Column) -> Column:
+    """The whole SHA-256 of a file's bytes; null for a file that can't be read."""
+    return F.when(content.isNotNull(), F.sha2(content.cast("binary"), 256))
+
+
 def log_text(value: Column, most: int) -> Column:
     return truncated(F.translate(value, "\n\r", "  "), most)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tallyrill.functions import servers as S
 #: Columns by which two entries are the same server, their name aside.
 ENTRY_COLUMNS = ("command", "args", "env", "transport", "url", "headers")
 
-#: Messages of the health report's next steps, by what calls for them.
+#: Own texts of the health report's next steps, by what calls for them, in order.
 NEXT_STEPS = {
     "nothing": "Discover the supported client configurations.",
     "seen_only": "Plan the migration of servers that clients reach directly.",
@@ -24,12 +25,36 @@ NEXT_STEPS = {
     "always": "Add servers by hand only where their source isn't supported.",
 }
 
+#: What the health report says of a server that asks for a sign-in, and the clients of discovery in order.
+AUTH_ERROR = "remote MCP endpoint requires OAuth/auth headers; native Claude/Cowork connector auth is separate from the standalone local gateway"
+CLIENTS = ("claude-code", "claude-desktop", "cowork", "cursor")
+REMOTE_KIND = "cowork_remote_mcp_config"
+
 
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Of the rows of a key the first by an order; never an arbitrary one. Null keys are keys."""
     return df.withColumn("__tr_first", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__tr_first = 1").drop("__tr_first")
 
 
+def dedupe_discovered(entries: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """Entries once for each client, scope, kind, source and name; remote servers are told apart by address, whatever
+    document lists them."""
+    place = F.when(F.col("source_kind") == REMOTE_KIND, S.text(F.col("url"))).otherwise(S.text(F.col("source_path")))
+    return keep_first(entries.withColumn("__tr_place", place), ["client", "scope", "source_kind", "__tr_place", "name"], order).drop("__tr_place")
+
+
+def discover_sources(sources: Mapping[str, Sequence[DataFrame]], client: str = "all") -> DataFrame:
+    """The union of the sources of one client, or of all in the order of ``CLIENTS``, with ``source_order``, the number
+    of the source; an unknown client raises ValueError."""
+    if client != "all" and client not in CLIENTS:
+        raise ValueError(f"unknown client {client!r}")
+    parts = [source for name in CLIENTS if client in ("all", name) for source in sources.get(name, ())]
+    numbered = [part.withColumn("source_order", F.lit(n)) for n, part in enumerate(parts)]
+    if not numbered:
+        raise ValueError("no source given")
+    return reduce(DataFrame.unionByName, numbered)
+
+
 def discover(entries: DataFrame, gateway: str, default_route: str = "local_routable") -> DataFrame:
     """Named entries (name, client, scope, source_kind, source_path and ``ENTRY_COLUMNS``) with what discovery tells of
     them; values of environments and headers are dropped, only their keys stay."""
@@ -87,17 +112,17 @@ def coverage(discovered: DataFrame, n_backends: Column | int) -> DataFrame:
 
 def disposition(gateway: str, stale_name: str) -> Column:
     """What a migration does with a discovered row: ``stale`` (rewritten), ``native_kept``, ``left`` or ``direct``."""
-    stale = (F.col("route_state") != "routed") & (F.col("name") == stale_name) & (S.basename(F.col("command")) == gateway) & (F.col("first_arg") == "server")
+    stale = (F.col("route_state") != "routed") & (F.col("name") == stale_name) & (S.basename(F.col("command")) == gateway.rpartition("/")[2]) & (F.col("first_arg") == "server")
     return F.when(stale, "stale").when(F.col("routeability") == "native_client_auth", "native_kept").when((F.col("route_state") == "routed") | ~F.col("routable"), "left").otherwise("direct")
 
 
-def migration_plan(discovered: DataFrame, gateway: str, stale_name: str) -> DataFrame:
-    """One row for each client and source path: names to migrate, names kept for their own sign-in, whether the file
-    needs a rewrite and whether it is routed already."""
+def migration_plan(discovered: DataFrame, gateway: str, stale_name: str, by: Sequence[str] = ("client", "source_path")) -> DataFrame:
+    """One row for each client and source path, or project of a client: names to migrate, names kept for their own
+    sign-in, whether the file needs a rewrite and whether it is routed already."""
     marked = discovered.withColumn("d", disposition(gateway, stale_name))
     names = lambda which: F.array_sort(F.collect_list(F.when(F.col("d") == which, F.col("name"))))
     settled = F.bool_and((F.col("route_state") == "routed") | (F.col("d") == "native_kept"))
-    plan = marked.groupBy("client", "source_path").agg(names("direct").alias("migrated"), names("native_kept").alias("native_kept"), F.count_if(F.col("d") == "stale").alias("_stale"), F.bool_or(F.col("route_state") == "routed").alias("_routed"), settled.alias("_settled"))
+    plan = marked.groupBy(*by).agg(names("direct").alias("migrated"), names("native_kept").alias("native_kept"), F.count_if(F.col("d") == "stale").alias("_stale"), F.bool_or(F.col("route_state") == "routed").alias("_routed"), settled.alias("_settled"))
     rewrite = (F.size("migrated") > 0) | (F.col("_stale") > 0) | ((F.size("native_kept") > 0) & ~F.col("_routed"))
     return plan.withColumn("needs_rewrite", rewrite).withColumn("already_routed", ~rewrite & F.col("_settled")).drop("_stale", "_routed", "_settled")
 
@@ -120,19 +145,28 @@ def skill_counts(files: DataFrame, path: str = "path") -> DataFrame:
     return own.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("_source") == s).alias(s) for s in ("scheduled", "plugin", "session")))
 
 
-def free_names(rows: DataFrame, taken: DataFrame) -> DataFrame:
-    """``gateway_name`` for new rows (name, entry_key, source_hash): their own name where it is free or stands for the
-    same entry, else the name with a hash, numbered from 2 where even that is taken.
+def free_names(rows: DataFrame, taken: DataFrame, order: Sequence[str] = ("entry_key",)) -> DataFrame:
+    """``gateway_name`` for new rows (name, entry_key, source_hash, *order): no name stands for two entries.
 
-    Rows that ask for one hashed name are numbered by entry; taken: (name, entry_key)."""
-    known = taken.select(F.col("name").alias("_n"), F.col("entry_key").alias("_k")).dropDuplicates(["_n"])
+    A row whose entry has its name already keeps it. A name that is free goes to its first entry by ``order``; other
+    entries get the name with a hash of name and source, and a number from 2 on where several entries or a taken name
+    want that one. taken: (name, entry_key)."""
+    known = taken.groupBy("name").agg(F.min("entry_key").alias("_owner")).withColumnRenamed("name", "_n")
     seen = rows.join(known, F.col("name") == F.col("_n"), "left")
+    first = F.first("entry_key").over(Window.partitionBy("name").orderBy(*order, "entry_key"))
+    owned = seen.withColumn("_own", F.coalesce("_owner", first) == F.col("entry_key"))
     base = F.when(S.clean_name(F.col("name")) == "", "mcp").otherwise(S.clean_name(F.col("name")))
-    hashed = F.concat_ws("-", base, S.short_hash(F.concat_ws("|", "name", "source_hash")))
-    wanted = seen.withColumn("_own", F.col("_n").isNull() | F.col("_k").eqNullSafe(F.col("entry_key"))).withColumn("_hashed", hashed)
-    clash = wanted.join(taken.select(F.col("name").alias("_t")).distinct(), F.col("_hashed") == F.col("_t"), "left")
-    number = F.dense_rank().over(Window.partitionBy("_own", "_hashed").orderBy("entry_key")) + F.col("_t").isNotNull().cast("int")
-    return clash.withColumn("_number", number).withColumn("gateway_name", F.when(F.col("_own"), F.col("name")).when(F.col("_number") == 1, F.col("_hashed")).otherwise(F.concat_ws("-", "_hashed", F.col("_number").cast("string")))).select(*rows.columns, "gateway_name")
+    hashed = owned.withColumn("_hashed", F.concat_ws("-", base, S.short_hash(F.concat_ws("|", "name", "source_hash"))))
+    hashed = hashed.withColumn("_met", F.min(F.struct(*order)).over(Window.partitionBy("_own", "_hashed", "entry_key")))
+    place = F.dense_rank().over(Window.partitionBy("_own", "_hashed").orderBy("_met", "entry_key"))
+    # numbers of a hashed name that a taken or kept name stands for already; the name itself is number 1
+    claimed = taken.select("name").union(owned.where("_own").select("name")).distinct().select(F.explode(F.array(F.struct(F.col("name").alias("_stem"), F.lit(1).alias("_no")), F.struct(F.regexp_replace("name", "-[0-9]+$", "").alias("_stem"), F.expr("try_cast(regexp_extract(name, '-([0-9]+)$', 1) AS int)").alias("_no")))).alias("c")).select("c.*").where("_no is not null")
+    wanted = hashed.where("not _own").select(F.col("_hashed").alias("_stem")).distinct()
+    blocked = claimed.join(wanted, "_stem", "left_semi").groupBy("_stem").agg(F.collect_set("_no").alias("_blocked"))
+    numbered = hashed.withColumn("_place", place).join(blocked, F.col("_hashed") == F.col("_stem"), "left").withColumn("_blocked", F.coalesce("_blocked", F.array().cast("array<int>")))
+    number = F.element_at(F.array_except(F.sequence(F.lit(1), F.col("_place") + F.size("_blocked")), "_blocked"), F.col("_place"))
+    named = F.when(F.col("_own"), F.col("name")).when(number == 1, F.col("_hashed")).otherwise(F.concat_ws("-", "_hashed", number.cast("string")))
+    return numbered.withColumn("gateway_name", named).select(*rows.columns, "gateway_name")
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -174,7 +208,7 @@ def backend_health(backends: DataFrame, last_calls: DataFrame) -> DataFrame:
     seen = F.col("server_name").isNotNull()
     http = transport == "http"
     status = F.when(seen, "calls_observed").when(http & known & ~authorised, "auth_required").when(http & authorised, "auth_configured").otherwise("pending")
-    return joined.select("name", transport.alias("transport"), status.alias("status"), F.when(status == "auth_required", "sign-in required").otherwise("").alias("error"), S.text(F.col("last_call_at")).alias("last_call_at"), S.text(F.col("last_tool_name")).alias("last_tool_name"))
+    return joined.select("name", transport.alias("transport"), status.alias("status"), F.when(status == "auth_required", AUTH_ERROR).otherwise("").alias("error"), S.text(F.col("last_call_at")).alias("last_call_at"), S.text(F.col("last_tool_name")).alias("last_tool_name"))
 
 
 def health_detail() -> Column:
@@ -191,12 +225,32 @@ def health_summary(health: DataFrame) -> DataFrame:
     return counts.withColumn("manifest_status", status)
 
 
-def next_steps(discovered: Column, backends: Column, seen_only: Column, direct_session: Column, auth_required: Column, unreachable: Column, pending: Column, usable_key: Column) -> Column:
-    """The health report's ordered advice."""
-    steps = [("nothing", (discovered == 0) & (backends == 0)), ("seen_only", seen_only > 0), ("direct_session", direct_session), ("auth_required", auth_required > 0), ("unreachable", unreachable > 0), ("pending", pending > 0), ("no_key", ~usable_key), ("always", F.lit(True))]
+def next_steps(discovered: Column, backends: Column, seen_only: Column, direct_session: Column, auth_required: Column, unreachable: Column, waiting: Column, connected: Column) -> Column:
+    """The health report's ordered advice; waiting: backends that are pending or whose sign-in is set up."""
+    steps = [("nothing", (discovered == 0) & (backends == 0)), ("seen_only", seen_only > 0), ("direct_session", direct_session), ("auth_required", auth_required > 0), ("unreachable", unreachable > 0), ("pending", waiting > 0), ("no_key", ~connected), ("always", F.lit(True))]
     return F.filter(F.array(*(F.when(c, F.lit(NEXT_STEPS[k])) for k, c in steps)), lambda x: x.isNotNull())
 
 
+def seen_only(discovered: DataFrame, gateway_name: str, client: str = "cowork") -> DataFrame:
+    """One row: (discovered, seen_only, direct_session), the discovered rows, those that could be routed and aren't, the
+    gateway's own name aside, and whether one of them is the given client's."""
+    open_ = (F.col("route_state") != "routed") & F.col("routable")
+    return discovered.agg(F.count(F.lit(1)).alias("discovered"), F.count_if(open_ & (F.col("name") != gateway_name)).alias("seen_only"), F.coalesce(F.bool_or(open_ & (F.col("client") == client)), F.lit(False)).alias("direct_session"))
+
+
+def connection_mode(usable_key: Column, managed: Column) -> Column:
+    return F.when(usable_key, "api_key").when(managed, "managed_runtime_broker").otherwise("local_only")
+
+
+def health_report(discovered: DataFrame, health: DataFrame, gateway_name: str, usable_key: Column, managed: Column) -> DataFrame:
+    """The assembled report, one row: counts of discovered rows and backends, the tools' manifest status, how the gateway
+    is connected, and the ordered next steps. Both inputs are folded to one row each before they meet."""
+    found, summary = seen_only(discovered, gateway_name), health_summary(health)
+    both = found.join(F.broadcast(summary), F.lit(True))  # one row each
+    steps = next_steps(F.col("discovered"), F.col("backends"), F.col("seen_only"), F.col("direct_session"), F.col("auth_required"), F.col("unreachable"), F.col("pending") + F.col("auth_configured"), usable_key | managed)
+    return both.select("discovered", "seen_only", "direct_session", "backends", "manifest_status", connection_mode(usable_key, managed).alias("connection_mode"), (usable_key | managed).alias("connected"), steps.alias("next_steps"))
+
+
 def inventory(items: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Skills or servers (name, source, platform, ...) once for each name, source and platform, the first by order."""
     return keep_first(items, ["name", "source", "platform"], order).orderBy("platform", "source", "name")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyrill.plans import checkins, detection, events, feeds, gateway, inventory, posture, rpc, scans, streams
+from tallyrill.plans import checkins, detection, events, feeds, gateway, inventory, posture, reports, rpc, scans, streams
 
-MODULES = (gateway, checkins, feeds, scans, detection, events, inventory, posture, rpc, streams)
+MODULES = (gateway, checkins, feeds, scans, detection, events, inventory, reports, posture, rpc, streams)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

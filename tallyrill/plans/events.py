@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyrill.functions import keys as K
 from tallyrill.functions.servers import namespaced, original_tool
-from tallyrill.operators.inventory import backend_health, health_detail, health_summary, keep_first, namespaced_tools, tool_cache_summary
-from tallyrill.plans.literals import Literal
+from tallyrill.operators.inventory import AUTH_ERROR, backend_health, health_detail, health_summary, keep_first, namespaced_tools, tool_cache_summary
+from tallyrill.plans.literals import Literal, sql_text
 from tallyrill.session import table
 from tallyrill.sources import eventlog, sinks
 
@@ -124,7 +124,7 @@ SQL = {
     "ingest_filter": f"SELECT event_type, verdict, count(*) AS n_events FROM {_EVENTS} WHERE server_name <> '' AND tool_name <> '' GROUP BY ALL",
     "export_csv_rows": f"SELECT {', '.join(eventlog.FIELDS)} FROM {_EVENTS} WHERE contains(lower(event_type), 'threat_detected')",
     "event_rows": f"SELECT 'mcp.tool_call' AS event_type, CASE WHEN verdict = '' THEN 'pass' ELSE verdict END AS verdict, severity, count(*) AS n_events FROM {_EVENTS} WHERE regexp_replace(lower(event_type), '^.*[.]', '') = 'tool_call' GROUP BY ALL",
-    "backend_health_rows": _HEALTH + """SELECT *, CASE WHEN status = 'auth_required' THEN 'sign-in required' ELSE '' END AS error, CASE WHEN status = 'auth_required' THEN 'sign-in required' WHEN last_tool_name <> '' AND last_call_at <> '' THEN 'last call ' || last_tool_name || ' at ' || last_call_at
+    "backend_health_rows": _HEALTH + f"""SELECT *, CASE WHEN status = 'auth_required' THEN {sql_text(AUTH_ERROR)} ELSE '' END AS error, CASE WHEN status = 'auth_required' THEN {sql_text(AUTH_ERROR)} WHEN last_tool_name <> '' AND last_call_at <> '' THEN 'last call ' || last_tool_name || ' at ' || last_call_at
       WHEN last_call_at <> '' THEN 'last call at ' || last_call_at ELSE '' END AS detail FROM h""",
     "backend_health_summary": _HEALTH + """SELECT backends, pending, auth_required, auth_configured, calls_observed, 0 AS tools_observed, 0 AS unreachable, CASE WHEN backends = 0 THEN 'unknown' WHEN auth_required > 0 THEN 'action_required' WHEN calls_observed > 0 THEN 'observed' ELSE 'pending' END AS manifest_status
       FROM (SELECT count(*) AS backends, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'auth_required') AS auth_required, count(*) FILTER (status = 'auth_configured') AS auth_configured, count(*) FILTER (status = 'calls_observed') AS calls_observed FROM h)""",

@@ -205,3 +205,26 @@ def test_rpc_correlation_keeps_duplicates_apart(spark):
     q = spark.createDataFrame([("s", "1", "ping", datetime(2026, 1, 1))], "server string, id string, method string, at timestamp")
     a = spark.createDataFrame([], "server string, id string, result string, at timestamp")
     assert rows(rpc.correlate(q, a), "id", "timed_out") == [("1", True)]
+
+
+def test_names_never_stand_for_two_entries(spark):
+    """New rows are compared with each other, and numbers pass over names that are taken by anyone."""
+    rows_ = [("docs", "k1", "s1", 1), ("docs", "k2", "s1", 2), ("docs", "k2", "s1", 3), ("docs", "k3", "s1", 4), ("docs", "k1", "s2", 5), ("used", "k9", "s1", 6), ("used", "k8", "s1", 7), ("", "k7", "s1", 8), (None, "k6", "s1", 9)]
+    new = spark.createDataFrame(rows_, "name string, entry_key string, source_hash string, n int").withColumn("_own", F.lit("clash"))
+    stem = "docs-" + __import__("hashlib").sha256(b"docs|s1").hexdigest()[:12]
+    taken = spark.createDataFrame([("used", "k9"), (stem, "x"), (f"{stem}-3", "y")], "name string, entry_key string")
+    got = {(r["name"], r["entry_key"], r["source_hash"]): r["gateway_name"] for r in I.free_names(new.drop("_own"), taken, ["n"]).collect()}
+    assert got["docs", "k1", "s1"] == got["docs", "k1", "s2"] == "docs" and got["docs", "k2", "s1"] == f"{stem}-2" and got["docs", "k3", "s1"] == f"{stem}-4"
+    assert got["used", "k9", "s1"] == "used" and got["used", "k8", "s1"].startswith("used-")
+    owners = {}
+    for (name, entry, _), given in got.items():
+        assert owners.setdefault(given, entry) == entry, (name, given)
+
+
+def test_sources_by_client(spark):
+    frame = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+    sources = {"cursor": [frame("c")], "claude-code": [frame("a"), frame("b")]}
+    assert [(r["name"], r["source_order"]) for r in I.discover_sources(sources).orderBy("source_order").collect()] == [("a", 0), ("b", 1), ("c", 2)]
+    assert rows(I.discover_sources(sources, "cursor"), "name") == [("c",)]
+    with pytest.raises(ValueError, match="unknown client"):
+        I.discover_sources(sources, "emacs")
