@@ -110,6 +110,16 @@ def manifest_poison(spark: SparkSession, folder: str) -> DataFrame:
     return detect_descriptions(tools.select("server", "tool_name", "description", "parameters"), tool_text()).select("server", "tool_name", F.col("hit_pattern_name").alias("pattern_name"))
 
 
+def catalogue_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """The catalog as the manifests of its servers, read back and searched for poisoned tools."""
+    tools = table(spark, folder, "tool_catalog").where("server_name is not null and tool_name is not null")
+    properties = F.map_from_entries(F.transform(F.filter("parameters", lambda p: p["name"].isNotNull()), lambda p: F.struct(p["name"], F.struct(F.coalesce(p["description"], F.lit("")).alias("description")))))
+    entry = F.to_json(F.struct(F.col("tool_name").alias("name"), F.coalesce("description", F.lit("")).alias("description"), F.struct(properties.alias("properties")).alias("inputSchema")))
+    manifests = tools.select("server_name", F.concat(F.lit("["), entry, F.lit("]")).alias("manifest"))
+    read = manifest_tools(manifests, "manifest").select("server_name", "tool_name", "description", "parameters")
+    return detect_descriptions(read, tool_text()).select("server_name", "tool_name", F.col("hit_pattern_name").alias("pattern_name"))
+
+
 def strictness(spark: SparkSession, folder: str) -> DataFrame:
     """The stricter of the modes of every pair of modes, and whether a key is usable."""
     modes = spark.createDataFrame([(a, b) for a in ("block", "warn", "monitor", "") for b in ("block", "warn", "monitor", "")], "one string, other string")
@@ -140,9 +150,12 @@ _POLICY_RULE = """CASE WHEN lower(coalesce(name, '')) IN ('audio_kiln', 'graph_m
 
 QUERIES = {
     "detect_documents": detect_documents, "detect_responses": detect_responses, "detect_config_files": detect_config_files, "detect_planted_calls": detect_planted_calls, "poison_descriptions": poison_descriptions,
-    "policy_eval": policy_eval, "verdict_merge": verdict_merge, "escalate_enforce": escalate_enforce, "strictness": strictness, "manifest_poison": manifest_poison,
+    "policy_eval": policy_eval, "verdict_merge": verdict_merge, "escalate_enforce": escalate_enforce, "strictness": strictness, "manifest_poison": manifest_poison, "catalogue_manifests": catalogue_manifests,
 }
 
+_MANIFEST_TOOLS = f"""SELECT server, coalesce(t->>'$.name', '<nil>') AS tool_name, coalesce(t->>'$.name', '<nil>') || ' ' || coalesce(t->>'$.description', '<nil>') || coalesce(list_aggregate(list_transform(list_filter(list_sort(coalesce(json_keys(t, '$.inputSchema.properties'), [])),
+  lambda k: json_type(t->'inputSchema'->'properties'->k) = 'OBJECT'), lambda k: ' ' || k || ' ' || coalesce(t->'inputSchema'->'properties'->k->>'description', '<nil>')), 'string_agg', ''), '') AS whole
+  FROM (SELECT server, unnest(json_extract(TRY_CAST(manifest AS JSON), '$[*]')) AS t FROM {MANIFESTS.sql()}) WHERE json_type(t) = 'OBJECT'"""
 _CALL_TEXT = "('command: ' || command)"
 
 SQL = {
@@ -164,6 +177,7 @@ SQL = {
       ranked AS (SELECT *, CASE found WHEN 'sensitive_data' THEN 3 WHEN '' THEN 1 ELSE 2 END AS d FROM judged),
       final AS (SELECT CASE WHEN p = 3 OR d = 3 OR l = 3 THEN 3 WHEN d = 2 OR l = 2 THEN 2 ELSE 1 END AS verdict_rank, CASE WHEN p = 3 THEN 'policy' WHEN d > p AND d >= l THEN found WHEN l > greatest(p, d) THEN 'api_detection' ELSE '' END AS category FROM ranked)
       SELECT CASE verdict_rank WHEN 3 THEN 'block' WHEN 2 THEN 'warn' ELSE 'pass' END AS verdict, category, verdict_rank, CASE WHEN verdict_rank = 3 THEN 'blocked' ELSE 'forwarded' END AS action, count(*) AS n_calls FROM final GROUP BY ALL""",
-    "manifest_poison": "SELECT * FROM (VALUES ('a', 'run', 'poison_silent_execute'), ('a', 'run', 'poison_exfil_data'), ('a', '<nil>', 'poison_confidential')) AS t(server, tool_name, pattern_name)",
+    "manifest_poison": " UNION ALL ".join(f"SELECT server, tool_name, {sql_text(r.name)} AS pattern_name FROM ({_MANIFEST_TOOLS}) WHERE regexp_matches({_fold('whole')}, {sql_text(r.pattern)})" for r in POISON),
+    "catalogue_manifests": " UNION ALL ".join(f"SELECT server_name, tool_name, {sql_text(r.name)} AS pattern_name FROM tool_catalog WHERE server_name IS NOT NULL AND tool_name IS NOT NULL AND regexp_matches({_TOOL_TEXT}, {sql_text(r.pattern)})" for r in POISON),
     "strictness": """WITH m(name, o) AS (VALUES ('block', 3), ('warn', 2), ('monitor', 1), ('', 0)) SELECT a.name AS one, b.name AS other, CASE WHEN b.o > a.o THEN b.name ELSE a.name END AS mode, a.name <> '' AS usable FROM m a CROSS JOIN m b""",
 }

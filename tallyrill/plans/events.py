@@ -123,6 +123,7 @@ SQL = {
     "last_call_per_server": f"SELECT * FROM {_LAST}",
     "ingest_filter": f"SELECT event_type, verdict, count(*) AS n_events FROM {_EVENTS} WHERE server_name <> '' AND tool_name <> '' GROUP BY ALL",
     "export_csv_rows": f"SELECT {', '.join(eventlog.FIELDS)} FROM {_EVENTS} WHERE contains(lower(event_type), 'threat_detected')",
+    "export_json": f"SELECT log_id, '{{' || concat_ws(',', " + ", ".join(f"CASE WHEN {f} <> '' THEN '\"{f}\":' || to_json({f}) END" for f in eventlog.FIELDS) + f") || '}}' AS json FROM {_EVENTS} WHERE contains(lower(event_type), 'threat_detected')",
     "event_rows": f"SELECT 'mcp.tool_call' AS event_type, CASE WHEN verdict = '' THEN 'pass' ELSE verdict END AS verdict, severity, count(*) AS n_events FROM {_EVENTS} WHERE regexp_replace(lower(event_type), '^.*[.]', '') = 'tool_call' GROUP BY ALL",
     "backend_health_rows": _HEALTH + f"""SELECT *, CASE WHEN status = 'auth_required' THEN {sql_text(AUTH_ERROR)} ELSE '' END AS error, CASE WHEN status = 'auth_required' THEN {sql_text(AUTH_ERROR)} WHEN last_tool_name <> '' AND last_call_at <> '' THEN 'last call ' || last_tool_name || ' at ' || last_call_at
       WHEN last_call_at <> '' THEN 'last call at ' || last_call_at ELSE '' END AS detail FROM h""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyrill.operators.posture import bridge_counts, collection_size, find_values, flag_checks, grade, host_facts, points, redacted_json, score, text_list
 from tallyrill.plans.literals import Literal
-from tallyrill.plans.scans import p6_checks
+from tallyrill.plans.scans import CHECKS_SQL, p6_checks
 from tallyrill.session import table
 
 #: State documents: one at risk everywhere, one without anything, one in between, one that is no JSON.
@@ -85,12 +85,22 @@ QUERIES = {f.__name__: f for f in (posture_collections, posture_score, posture_s
 _POINTS = "CASE lower(coalesce(severity, '')) WHEN 'critical' THEN 20 WHEN 'high' THEN 12 WHEN 'medium' THEN 6 WHEN 'low' THEN 3 ELSE 0 END"
 _GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END"
 
+_SCORED = """WITH k AS ({0}), c AS (SELECT host, coalesce(nullif(category, ''), check_name) AS category, max(CASE WHEN status = 'FAIL' THEN {1} ELSE 0 END) AS p, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (status = 'SKIPPED') AS skipped, count(*) FILTER (status = 'FIXED') AS fixed
+    FROM k GROUP BY ALL), t AS (SELECT host, greatest(0, 100 - sum(p)) AS score, sum(passed) AS passed, sum(failed) AS failed, sum(skipped) AS skipped, sum(fixed) AS fixed FROM c GROUP BY ALL)
+  SELECT host AS {3}, CAST(score AS BIGINT) AS score, {2} AS grade, CAST(passed AS BIGINT) AS passed, CAST(failed AS BIGINT) AS failed, CAST(skipped AS BIGINT) AS skipped, CAST(fixed AS BIGINT) AS fixed FROM t"""
+_SIZE = "CASE json_type({0}) WHEN 'ARRAY' THEN json_array_length({0}) WHEN 'OBJECT' THEN len(json_keys({0})) ELSE 0 END"
+
 SQL = {
-    "posture_collections": """SELECT * FROM (VALUES (1, 3, 0, 0, false, ''), (2, 2, 0, 0, false, ''), (3, 3, 1, 0, false, ''), (4, 3, 0, 0, false, 'x,y'), (5, 0, 0, 0, false, 'text'), (6, 0, 0, 0, false, ''), (7, 0, 0, 0, false, NULL), (8, 0, 0, 0, false, NULL), (9, 4, 0, 0, false, 'a,b'), (10, 0, 0, 0, false, ''), (11, 3, 2, 1, true, ''))
-      AS t(row_id, n_items, entries, consented, configured, texts)""",
-    "posture_score_cases": f"""WITH c AS (SELECT host, coalesce(nullif(category, ''), check_name) AS category, max(CASE WHEN status = 'FAIL' THEN {_POINTS} ELSE 0 END) AS p, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (status = 'SKIPPED') AS skipped, count(*) FILTER (status = 'FIXED') AS fixed
-        FROM {CHECKS.sql()} GROUP BY ALL), t AS (SELECT host, greatest(0, 100 - sum(p)) AS score, sum(passed) AS passed, sum(failed) AS failed, sum(skipped) AS skipped, sum(fixed) AS fixed FROM c GROUP BY ALL)
-      SELECT host, CAST(score AS BIGINT) AS score, {_GRADE} AS grade, CAST(passed AS BIGINT) AS passed, CAST(failed AS BIGINT) AS failed, CAST(skipped AS BIGINT) AS skipped, CAST(fixed AS BIGINT) AS fixed FROM t""",
+    "posture_collections": f"""WITH v AS (SELECT row_id, TRY_CAST(text AS JSON) AS j FROM {VALUES.sql()}),
+      m AS (SELECT row_id, j, list_filter(list_transform(coalesce(json_keys(j), []), lambda k: json_extract(j, '$."' || k || '"')), lambda x: json_type(x) = 'OBJECT') AS o FROM v)
+      SELECT row_id, CAST(CASE WHEN j IS NULL THEN 0 WHEN json_type(j) = 'OBJECT' AND json_exists(j, '$.items') THEN {_SIZE.format("json_extract(j, '$.items')")} WHEN json_type(j) = 'OBJECT' AND json_exists(j, '$.entries') THEN {_SIZE.format("json_extract(j, '$.entries')")} ELSE {_SIZE.format('j')} END AS INTEGER) AS n_items,
+        CAST(len(o) AS INTEGER) AS entries, CAST(len(list_filter(o, lambda x: lower(coalesce(x->>'$.userConsented', '')) = 'true')) AS INTEGER) AS consented, len(list_filter(o, lambda x: lower(coalesce(x->>'$.enabled', '')) = 'true')) > 0 AS configured,
+        CASE json_type(j) WHEN 'ARRAY' THEN coalesce(array_to_string(list_transform(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x) = 'VARCHAR' AND x->>'$' <> ''), lambda x: x->>'$'), ','), '') WHEN 'OBJECT' THEN coalesce(array_to_string(list_sort(list_filter(json_keys(j), lambda k: lower(coalesce(json_extract_string(j, '$."' || k || '"'), '')) = 'true')), ','), '')
+          WHEN 'VARCHAR' THEN j->>'$' ELSE CASE WHEN j IS NULL THEN NULL ELSE '' END END AS texts FROM m""",
+    "posture_score": _SCORED.format(f"SELECT scan_id AS host, upper(trim(coalesce(status, ''))) AS status, check_name, category, severity FROM {CHECKS_SQL}", _POINTS, _GRADE, "scan_id"),
+    "posture_score_cases": _SCORED.format(f"SELECT * FROM {CHECKS.sql()}", _POINTS, _GRADE, "host"),
+    "posture_severities": f"SELECT lower(severity) AS severity, count(*) AS n_checks, max({_POINTS}) AS points FROM {CHECKS_SQL} WHERE upper(trim(status)) = 'FAIL' GROUP BY ALL",
+    "posture_values": "SELECT t.key, CAST(t.value AS VARCHAR) AS value, count(*) AS n_values FROM (SELECT payload FROM posture_scans WHERE json_valid(payload)) p, json_tree(p.payload) t WHERE t.key IN ('source', 'signature', 'count') GROUP BY ALL",
     "posture_hosts": "SELECT host, CAST(score AS BIGINT) AS score, grade, CAST(passed AS BIGINT) AS passed, CAST(failed AS BIGINT) AS failed, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS fixed FROM (VALUES ('risky', 5, 'F', 2, 12), ('clean', 100, 'A', 11, 0), ('some', 91, 'A', 10, 3), ('broken', 100, 'A', 11, 0)) AS t(host, score, grade, passed, failed)",
     "posture_grades": f"SELECT score, {_GRADE} AS grade FROM (SELECT range AS score FROM range(101))",
 }

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyrill.functions import keys as K
 from tallyrill.functions import servers as S
 from tallyrill.operators.inventory import keep_first
 from tallyrill.plans.literals import Literal
@@ -66,6 +67,46 @@ def settings_origin(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("row_id", configs.setting(F.col("file"), F.col("env"), F.lit("d")).alias("s"), configs.first_path(F.col("file"), F.col("env"), F.lit("/etc/d")).alias("path")).select("row_id", "s.value", "s.origin", "path")
 
 
+def _scan_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Every scan's payload as the result of a response; each fifth answers another request, each seventh has an error."""
+    scans = table(spark, folder, "posture_scans").select("scan_id", F.coalesce("payload", F.lit("null")).alias("p"))
+    error = F.when(F.col("scan_id") % 7 == 0, ',"error":{"code":1,"message":"refused"}').otherwise("")
+    return scans.select("scan_id", F.concat(F.lit('{"id":'), F.col("scan_id") + (F.col("scan_id") % 5 == 0).cast("int"), error, F.lit(',"result":'), F.regexp_replace("p", "[\\r\\n]", " "), F.lit("}")).alias("body"))
+
+
+def rpc_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Every scan read as a response by itself, as a server-sent event and as an HTTP answer: the machine it tells, and
+    the error."""
+    bodies, wanted = _scan_bodies(spark, folder), F.col("scan_id")
+    stream = F.concat(F.lit("event: m\ndata: {\ndata: "), F.col("body"), F.lit("\n\ndata: [DONE]\n"))
+    status, kind = F.when(wanted % 3 == 0, 500).otherwise(200), F.when(wanted % 2 == 0, "application/json").otherwise("text/event-stream")
+    read = bodies.select("scan_id", rpc.parse_result(F.col("body"), wanted).alias("r"), rpc.sse_result(stream, wanted).alias("s"), rpc.http_outcome(status, kind, F.when(wanted % 2 == 0, F.col("body")).otherwise(stream), wanted).alias("h"))
+    machine = lambda c: F.get_json_object(c, "$.machine_id")
+    return read.select("scan_id", "r.error", machine("r.result").alias("machine"), F.col("s").isNotNull().alias("streamed"), F.col("h").isNotNull().alias("answered"), machine("h").alias("answered_machine"))
+
+
+def rpc_feed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Feed records as lines of a session: what is passed through, and the branch that the rest take."""
+    read = rpc.read_messages(table(spark, folder, "feed_records"), "record")
+    return read.groupBy("passthrough", F.when(~F.col("passthrough"), rpc.method_branch(F.col("message"))).otherwise("").alias("branch")).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def correlate_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Every log line of an even number as a request, the line behind it as its answer; counts by method and outcome."""
+    log = K.log_lines(table(spark, folder, "gateway_log"), kind=K.event_type(), ns=K.epoch_nanos("timestamp")).withColumn("at", F.timestamp_micros(F.expr("ns div 1000")))
+    method = F.when(F.col("kind") == "tool_call", "tools/call").when(F.col("kind") == "session_start", "initialize").otherwise("tools/list")
+    requests = log.where("line_no % 2 = 0").select(F.col("session_id").alias("server"), F.col("line_no").cast("string").alias("id"), method.alias("method"), "at")
+    answers = log.where("line_no % 2 = 1").select(F.col("session_id").alias("server"), (F.col("line_no") - 1).cast("string").alias("id"), F.lit("{}").alias("result"), "at")
+    return rpc.correlate(requests, answers).groupBy("method", "timed_out").agg(F.count(F.lit(1)).alias("n_requests"))
+
+
+def settings_of_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each server entry's address would come from, its command standing in for the environment's."""
+    entries = table(spark, folder, "server_entries")
+    read = entries.select("entry_id", configs.setting(F.col("url"), F.col("command"), F.lit("default")).alias("s"), configs.first_path(F.col("transport"), F.col("url"), F.col("command"), F.lit("none")).alias("first"))
+    return read.select("entry_id", "s.value", "s.origin", "first")
+
+
 def json_statuses(spark: SparkSession, folder: str) -> DataFrame:
     """How each posture payload reads as a document."""
     scans = table(spark, folder, "posture_scans")
@@ -73,8 +114,8 @@ def json_statuses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def config_file_servers(spark: SparkSession, folder: str) -> DataFrame:
-    """The named servers of the JSON config files, by their command and number of environment keys."""
-    files = table(spark, folder, "config_files").where("path like '%.json'").withColumn("key", F.col("file_id").cast("string"))
+    """The named servers of all config files that hold a client's map of them, by command and number of environment keys."""
+    files = table(spark, folder, "config_files").withColumn("key", F.col("file_id").cast("string"))
     servers = configs.config_servers(files, "key", "content")
     return servers.select(F.col("path").cast("bigint").alias("file_id"), "name", F.coalesce("entry.command", F.lit("")).alias("command"), F.coalesce(F.size("entry.env"), F.lit(0)).alias("n_env"))
 
@@ -96,20 +137,40 @@ def session_servers(spark: SparkSession, folder: str) -> DataFrame:
     return keep_first(remotes, ["server_name", "url"], ["path"]).select("server_name", "url", F.col("path").alias("first_session"), S.needs_native_auth(F.lit("http"), F.col("url"), F.col("headers")).alias("native_auth"))
 
 
-QUERIES = {f.__name__: f for f in (rpc_results, sse_results, http_results, rpc_lines, jsonrpc_correlate, settings_origin, json_statuses, config_file_servers, state_names, project_matches, session_servers)}
+QUERIES = {f.__name__: f for f in (rpc_results, sse_results, http_results, rpc_lines, jsonrpc_correlate, rpc_scans, rpc_feed_lines, correlate_log, settings_of_entries, settings_origin, json_statuses, config_file_servers, state_names, project_matches, session_servers)}
+
+_REQUESTS = Literal("server string, id string, method string, wait int", [*(("s", str(i), m, w) for i, (m, w) in enumerate(_WAITS)), ("s", "9", "ping", None), ("t", "0", "ping", None)])
+_BRANCH = "CASE WHEN m IN ('initialize', 'tools/list', 'tools/call', 'resources/list', 'resources/read', 'prompts/list', 'prompts/get', 'ping') THEN m WHEN m LIKE 'notifications/%' THEN 'notification' WHEN m = '' THEN 'response' ELSE 'unknown' END"
+_EVENTS = f"""(SELECT stream_id, pos, trim(substring(line, 6)) AS data FROM (SELECT stream_id, trim(unnest(string_split(replace(coalesce(stream, ''), chr(13), ''), chr(10)))) AS line, generate_subscripts(string_split(replace(coalesce(stream, ''), chr(13), ''), chr(10)), 1) AS pos FROM {STREAMS.sql()}) WHERE line LIKE 'data:%' AND trim(substring(line, 6)) NOT IN ('', '[DONE]'))"""
+_READ = "CASE WHEN json_valid({0}) AND coalesce(json_extract_string(CASE WHEN json_valid({0}) THEN {0} END, '$.id'), '7') = '7' AND NOT json_exists(CASE WHEN json_valid({0}) THEN {0} END, '$.error') THEN coalesce(CAST(json_extract(CASE WHEN json_valid({0}) THEN {0} END, '$.result') AS VARCHAR), '{{}}') END"
+_HEADERS = "'authorization', 'proxy-authorization', 'cookie', 'x-api-key', 'api-key', 'x-auth-token', 'x-access-token'"
 
 SQL = {
-    "project_matches": "SELECT * FROM (VALUES ('one', '/w/app', 'srv1'), ('two', '/w', 'srv0'), ('two', '/w/app/sub', 'srv2')) AS t(config, project, name)",
-    "session_servers": "SELECT 'my-docs' AS server_name, 'https://docs.example' AS url, 's1' AS first_session, false AS native_auth",
+    "project_matches": f"""WITH p AS (SELECT config, j, unnest(json_keys(j, '$.projects')) AS project FROM (SELECT config, TRY_CAST(text AS JSON) AS j FROM {USER_CONFIGS.sql()})),
+      near AS (SELECT * FROM p WHERE project = '/w/app' OR starts_with('/w/app/', project || '/') OR starts_with(project, '/w/app/'))
+      SELECT config, project, unnest(json_keys(json_extract(j, '$.projects."' || project || '".mcpServers'))) AS name FROM near n WHERE project = '/w/app' OR NOT EXISTS (SELECT 1 FROM near m WHERE m.config = n.config AND m.project = '/w/app')""",
+    "session_servers": f"""WITH r AS (SELECT session, unnest(json_extract(TRY_CAST(text AS JSON), '$.remoteMcpServersConfig[*]')) AS r FROM {SESSIONS.sql()}),
+      n AS (SELECT session, r->>'url' AS url, lower(regexp_replace(replace(trim(r->>'name'), ' ', '-'), '[^A-Za-z0-9_.-]', '-', 'g')) AS server_name, len(list_filter(coalesce(json_keys(r, '$.headers'), []), lambda k: lower(k) IN ({_HEADERS}))) = 0 AS native_auth FROM r WHERE trim(coalesce(r->>'url', '')) <> '')
+      SELECT server_name, url, min(session) AS first_session, arg_min(native_auth, session) AS native_auth FROM n GROUP BY server_name, url""",
     "rpc_results": f"""SELECT body_id, CASE WHEN error <> '' THEN NULL WHEN blank THEN '{{}}' ELSE coalesce(CAST(j->'$.result' AS VARCHAR), '{{}}') END AS result, error FROM (SELECT *, CASE WHEN blank THEN '' WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN 'unparsable response'
       WHEN j->>'$.id' <> CAST(wanted AS VARCHAR) THEN 'unexpected response id' WHEN json_exists(j, '$.error') THEN coalesce(nullif(j->>'$.error.message', ''), 'error') ELSE '' END AS error FROM (SELECT *, trim(coalesce(body, '')) = '' AS blank, TRY_CAST(body AS JSON) AS j FROM {BODIES.sql()}))""",
-    "sse_results": """SELECT * FROM (VALUES (1, 1, '{"a":1}'), (2, 2, '{"y":1}'), (3, 0, NULL), (4, 0, NULL), (5, 0, NULL), (6, 2, NULL)) AS t(stream_id, n_payloads, result)""",
-    "http_results": """SELECT * FROM (VALUES (1, '{}'), (2, '{"ok":1}'), (3, NULL), (4, '{"s":1}'), (5, '{"t":1}'), (6, NULL), (7, NULL)) AS t(answer_id, result)""",
-    "rpc_lines": "SELECT * FROM (VALUES (1, false, 'tools/call'), (3, true, ''), (4, false, 'notification'), (5, false, 'response'), (6, false, 'unknown'), (7, true, ''), (8, false, 'initialize')) AS t(line_no, passthrough, branch)",
-    "jsonrpc_correlate": "SELECT * FROM (VALUES ('s', '0', 'tools/call', false), ('s', '1', 'tools/call', true), ('s', '2', 'tools/list', false), ('s', '3', 'tools/list', true), ('s', '4', 'ping', false), ('s', '5', 'ping', true), ('s', '6', 'initialize', true), ('s', '9', 'ping', true), ('t', '0', 'ping', true)) AS t(server, id, method, timed_out)",
+    "sse_results": f"""WITH e AS (SELECT *, {_READ.format('data')} AS r FROM {_EVENTS}) SELECT s.stream_id, CAST(count(e.data) AS INTEGER) AS n_payloads, arg_min(r, pos) FILTER (r IS NOT NULL) AS result FROM {STREAMS.sql()} s LEFT JOIN e USING (stream_id) GROUP BY s.stream_id""",
+    "http_results": f"""SELECT answer_id, CASE WHEN status = 202 THEN '{{}}' WHEN status NOT BETWEEN 200 AND 299 AND lower(coalesce(kind, '')) NOT LIKE '%application/json%' THEN NULL ELSE {_READ.format('b')} END AS result
+      FROM (SELECT *, CASE WHEN status BETWEEN 200 AND 299 AND lower(coalesce(kind, '')) LIKE '%text/event-stream%' THEN regexp_extract(body, 'data: (.*)', 1) ELSE body END AS b FROM {ANSWERS.sql()})""",
+    "rpc_lines": f"SELECT line_no, NOT o AS passthrough, CASE WHEN o THEN {_BRANCH} ELSE '' END AS branch FROM (SELECT line_no, coalesce(json_type(TRY_CAST(line AS JSON)) = 'OBJECT', false) AS o, coalesce(TRY_CAST(line AS JSON)->>'$.method', '') AS m FROM {LINES.sql()} WHERE trim(line) <> '')",
+    "rpc_feed_lines": f"SELECT NOT o AS passthrough, CASE WHEN o THEN {_BRANCH} ELSE '' END AS branch, count(*) AS n_lines FROM (SELECT coalesce(json_type(TRY_CAST(record AS JSON)) = 'OBJECT', false) AS o, coalesce(TRY_CAST(record AS JSON)->>'$.method', '') AS m FROM feed_records WHERE trim(coalesce(record, '')) <> '') GROUP BY ALL",
+    "jsonrpc_correlate": f"SELECT server, id, method, NOT coalesce(wait BETWEEN 0 AND CASE method WHEN 'tools/call' THEN 60 WHEN 'tools/list' THEN 20 WHEN 'initialize' THEN 20 ELSE 8 END, false) AS timed_out FROM {_REQUESTS.sql()}",
+    "correlate_log": """WITH l AS (SELECT DISTINCT session_id, line_no, regexp_replace(lower(coalesce(event_type, '')), '^.*[.]', '') AS kind, epoch_us(CAST(regexp_replace(timestamp, '([.][0-9]{6})[0-9]+', '\\1') AS TIMESTAMPTZ)) AS us FROM gateway_log WHERE session_id IS NOT NULL AND line_no IS NOT NULL),
+      q AS (SELECT *, CASE kind WHEN 'tool_call' THEN 'tools/call' WHEN 'session_start' THEN 'initialize' ELSE 'tools/list' END AS method FROM l WHERE line_no % 2 = 0)
+      SELECT method, a.us IS NULL AS timed_out, count(*) AS n_requests FROM q LEFT JOIN l a ON a.session_id = q.session_id AND a.line_no = q.line_no + 1 AND a.us BETWEEN q.us AND q.us + 1000000 * CASE method WHEN 'tools/call' THEN 60 WHEN 'tools/list' THEN 20 WHEN 'initialize' THEN 20 ELSE 8 END GROUP BY ALL""",
+    "rpc_scans": """WITH s AS (SELECT scan_id, payload, json_valid(coalesce(payload, 'null')) AS ok, scan_id % 5 = 0 AS other, scan_id % 7 = 0 AS refused FROM posture_scans),
+      r AS (SELECT *, CASE WHEN NOT ok THEN 'unparsable response' WHEN other THEN 'unexpected response id' WHEN refused THEN 'refused' ELSE '' END AS error FROM s),
+      m AS (SELECT *, CASE WHEN error = '' AND payload IS NOT NULL THEN json_extract_string(CASE WHEN ok THEN payload END, '$.machine_id') END AS machine, error = '' AND NOT (scan_id % 3 = 0 AND scan_id % 2 = 1) AS answered FROM r)
+      SELECT scan_id, error, machine, error = '' AS streamed, answered, CASE WHEN answered THEN machine END AS answered_machine FROM m""",
+    "settings_of_entries": "SELECT entry_id, coalesce(nullif(trim(url), ''), nullif(trim(command), ''), 'default') AS value, CASE WHEN trim(coalesce(url, '')) <> '' THEN 'file' WHEN trim(coalesce(command, '')) <> '' THEN 'env' ELSE 'default' END AS origin, coalesce(nullif(trim(transport), ''), nullif(trim(url), ''), nullif(trim(command), ''), 'none') AS first FROM server_entries",
     "settings_origin": f"SELECT row_id, coalesce(nullif(trim(file), ''), nullif(trim(env), ''), 'd') AS value, CASE WHEN trim(coalesce(file, '')) <> '' THEN 'file' WHEN trim(coalesce(env, '')) <> '' THEN 'env' ELSE 'default' END AS origin, coalesce(nullif(trim(file), ''), nullif(trim(env), ''), '/etc/d') AS path FROM {SETTINGS.sql()}",
-    "json_statuses": "SELECT scan_id, CASE WHEN payload IS NULL THEN 'missing' WHEN octet_length(encode(payload)) > 4000 THEN 'too_large' WHEN NOT json_valid(payload) THEN 'invalid_json' ELSE 'ok' END AS status FROM posture_scans",
-    "config_file_servers": """WITH f AS (SELECT file_id, TRY_CAST(content AS JSON) AS j FROM config_files WHERE path LIKE '%.json'), n AS (SELECT file_id, j, unnest(json_keys(j, '$.mcpServers')) AS name FROM f)
+    "json_statuses": "SELECT scan_id, CASE WHEN payload IS NULL THEN 'missing' WHEN octet_length(encode(payload)) > 5242880 THEN 'too_large' WHEN NOT json_valid(payload) THEN 'invalid_json' ELSE 'ok' END AS status FROM posture_scans",
+    "config_file_servers": """WITH f AS (SELECT file_id, TRY_CAST(content AS JSON) AS j FROM config_files), n AS (SELECT file_id, j, unnest(json_keys(j, '$.mcpServers')) AS name FROM f)
       SELECT file_id, name, coalesce(j->'mcpServers'->name->>'command', '') AS command, CAST(coalesce(len(json_keys(j->'mcpServers'->name, '$.env')), 0) AS INTEGER) AS n_env FROM n""",
     "state_names": "SELECT file_id, n IN ('cowork_settings.json', 'settings.json', 'config.json') OR starts_with(n, 'local_') OR contains(n, 'session') OR contains(n, 'task') OR contains(n, 'plugin') AS is_state, CASE WHEN contains(n, 'deploy') OR contains(n, 'server') THEN 1 ELSE 0 END AS n_matches FROM (SELECT file_id, lower(regexp_extract(path, '[^/]*$')) AS n FROM config_files)",
 }

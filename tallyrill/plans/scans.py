@@ -43,9 +43,16 @@ def p6_checkin_items(spark: SparkSession, folder: str) -> DataFrame:
 
 _ITEM = "SELECT checkin_id, '{0}' AS item_kind, CAST(g - 1 AS INTEGER) AS pos, i.name, i.source, i.platform, {2} FROM (SELECT checkin_id, unnest({1}) AS i, generate_subscripts({1}, 1) AS g FROM checkins) WHERE i IS NOT NULL"
 
+#: The checks of readable scans: of an array, of the JSON text of one, or a bare value as the only one.
+CHECKS_SQL = """(WITH j AS (SELECT scan_id, json_extract(CASE WHEN json_valid(payload) THEN payload END, '$.checks') AS c FROM posture_scans),
+  o AS (SELECT scan_id, CASE WHEN json_type(c) = 'VARCHAR' AND ltrim(c->>'$')[1] IN ('[', '{') THEN coalesce(TRY_CAST(c->>'$' AS JSON), c) ELSE c END AS c FROM j WHERE c IS NOT NULL AND json_type(c) <> 'NULL'),
+  e AS (SELECT scan_id, unnest(CASE WHEN json_type(c) = 'ARRAY' THEN json_extract(c, '$[*]') ELSE [c] END) AS e, generate_subscripts(CASE WHEN json_type(c) = 'ARRAY' THEN json_extract(c, '$[*]') ELSE [c] END, 1) - 1 AS pos FROM o)
+  SELECT scan_id, CAST(pos AS VARCHAR) AS check_pos, e->>'status' AS status, e->>'check_name' AS check_name, e->>'detail' AS detail, e->>'source' AS source, e->>'category' AS category, e->>'severity' AS severity FROM e WHERE json_type(e) <> 'NULL')"""
+
 QUERIES = {"p6_found": p6_found, "p6_elements": p6_elements, "p6_checks": p6_checks, "p6_checkin_items": p6_checkin_items}
 
 SQL = {
+    "p6_checks": f"SELECT * FROM {CHECKS_SQL}",
     "p6_checkin_items": _ITEM.format("skill", "installed_skills", "i.hash, i.preview, NULL::VARCHAR AS type, NULL::VARCHAR AS command")
     + " UNION ALL " + _ITEM.format("server", "installed_mcp_servers", "NULL::VARCHAR AS hash, NULL::VARCHAR AS preview, i.type, i.command"),
 }

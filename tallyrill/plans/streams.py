@@ -44,11 +44,20 @@ def tool_cache_refresh(spark: SparkSession, folder: str) -> DataFrame:
     return refresh_cache(old, lists(FRESH)).select("server", F.array_join(F.array_sort("tools"), ",").alias("tools"), "changed")
 
 
+def catalogue_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole catalogue as a cache, refreshed with lists from which some servers' later tools are gone."""
+    tools = table(spark, folder, "tool_catalog").select(K.server_key().alias("server"), F.substring_index("tool_name", "__", -1).alias("tool")).where("server <> '' and tool is not null")
+    lists = lambda t, seen: t.groupBy("server").agg(F.array_sort(F.collect_set("tool")).alias("tools")).withColumn("updated_at", F.timestamp_seconds(F.lit(seen)))
+    old = lists(tools, 1).withColumn("digest", F.sha2(F.to_json("tools"), 256))
+    fresh = lists(tools.where("length(server) % 3 = 0 or tool < 'm'"), 2)
+    return refresh_cache(old, fresh).select("server", F.size("tools").alias("n_tools"), "changed")
+
+
 def refresh_status(spark: SparkSession, folder: str) -> DataFrame:
     return latest_status(REPORTS.frame(spark).withColumn("updated_at", F.timestamp_seconds("seen"))).select("server", "status")
 
 
-QUERIES = {f.__name__: f for f in (stream_judge, stream_windows, tool_cache_refresh, refresh_status)}
+QUERIES = {f.__name__: f for f in (stream_judge, stream_windows, tool_cache_refresh, catalogue_refresh, refresh_status)}
 
 _SERVER, _TOOL = "lower(coalesce(server_name, ''))", "lower(regexp_replace(coalesce(tool_name, ''), '^.*__', ''))"
 
@@ -59,6 +68,10 @@ SQL = {
         merged AS (SELECT log_id, CASE WHEN p <> '' OR k <> '' OR c = 'sensitive_data' THEN 'block' WHEN d <> '' THEN 'warn' ELSE 'pass' END AS verdict, CASE WHEN p <> '' THEN p WHEN k <> '' THEN k ELSE d END AS pattern_name FROM judged)
       SELECT *, CASE WHEN verdict = 'block' THEN 'blocked' ELSE 'forwarded' END AS action FROM merged""",
     "stream_windows": """SELECT * FROM (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n_events FROM events GROUP BY ALL) WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 15 MINUTE""",
-    "tool_cache_refresh": "SELECT * FROM (VALUES ('a', 'x,y', false), ('b', 'm', false), ('c', 'w,z', false), ('d', 'q', true)) AS t(server, tools, changed)",
+    "tool_cache_refresh": f"""WITH l AS (SELECT server, array_to_string(list_sort(list_filter(string_split(tools, ','), lambda x: x <> '')), ',') AS tools, seen FROM {FRESH.sql()}), f AS (SELECT server, arg_max(tools, seen) AS tools FROM l WHERE tools <> '' GROUP BY ALL),
+      k AS (SELECT server, array_to_string(list_sort(string_split(tools, ',')), ',') AS tools FROM {KEPT.sql()}) SELECT coalesce(f.server, k.server) AS server, coalesce(f.tools, k.tools) AS tools, f.tools IS NOT NULL AND f.tools IS DISTINCT FROM k.tools AS changed FROM k FULL JOIN f ON f.server = k.server""",
+    "catalogue_refresh": """WITH t AS (SELECT regexp_replace(lower(coalesce(server_name, '')), '[^a-z0-9]', '', 'g') AS server, regexp_replace(tool_name, '^.*__', '') AS tool FROM tool_catalog WHERE tool_name IS NOT NULL),
+      o AS (SELECT server, count(DISTINCT tool) AS n FROM t WHERE server <> '' GROUP BY ALL), f AS (SELECT server, count(DISTINCT tool) FILTER (len(server) % 3 = 0 OR tool < 'm') AS n FROM t WHERE server <> '' GROUP BY ALL)
+      SELECT server, CAST(CASE WHEN f.n > 0 THEN f.n ELSE o.n END AS INTEGER) AS n_tools, f.n > 0 AND f.n <> o.n AS changed FROM o JOIN f USING (server)""",
     "refresh_status": f"SELECT server, max_by(status, seen) AS status FROM {REPORTS.sql()} GROUP BY ALL",
 }
