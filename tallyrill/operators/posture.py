@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -27,6 +27,11 @@ SECRET_TEXT_TERMS = ("sk-", "token=", "secret=", "password=", "authorization:")
 FOLDER_KEYS = ("allowed_directories", "allowedDirectories")
 ALLOWLIST = "dxt:allowlistenabled"
 BLOCKLISTS = ("extensions-blocklist.json", "extensions_blocklist", "extensionBlocklist")
+# Names of plugin folders, of files of scheduled tasks and what in them reaches far, and limits of both walks.
+REMOTE_PLUGINS, CACHED_PLUGINS = ("remote_cowork_plugins", "org-plugins", "org_plugins"), ("plugins", "cowork_plugins")
+TASK_FILE_NAMES, TASK_FILE_ENDS = ("scheduled", "task"), (".json", ".md")
+TASK_FILE_TERMS = ("websearch", "webfetch", "browser", "bash", "run_command", "write_file", "edit_file", "network", "filesystem")
+WALK_DEPTH, TASK_FILES, TASK_FILE_BYTES, SKILL_EXAMPLES = 8, 100, 512 * 1024, 30
 TASK_KEYS = ("cron", "cronExpression", "schedule", "prompt")
 TASK_TERMS = ("websearch", "webfetch", "browser", "bash", "run_command", "write_file", "edit_file", "network", "filesystem", "mcp")
 
@@ -173,14 +178,15 @@ def _tasks(value: object) -> tuple[int, int]:
 
 
 FACTS = (
-    "keep_awake boolean, scheduled_tasks boolean, web_search boolean, browser_actions boolean, sensitive_env boolean, servers int, active_sessions int, bridge boolean, domains array<string>, wildcard boolean, "
+    "keep_awake boolean, preferences boolean, scheduled_tasks boolean, web_search boolean, browser_actions boolean, sensitive_env boolean, servers int, active_sessions int, bridge boolean, domains array<string>, wildcard boolean, "
     "installed int, unsigned int, dangerous int, broad int, governed boolean, hooks int, risky_hooks int, hook_names array<string>, plugins int, connectors int, tasks int, sensitive_tasks int, startup int, cookies int"
 )
 
 
 def document_facts(document: object, home: str = "") -> dict:
     """What the checks need to know of a host's state documents, given as one object of documents; ``home`` is the
-    user's home folder, where it is known."""
+    user's home folder, where it is known. Of the names of hooks the first 30 are listed, as the feature has it; the
+    counts are whole."""
     doc = document if isinstance(document, dict) else {}
     prefs = doc.get("preferences") if isinstance(doc.get("preferences"), dict) else {}
     setting = lambda key: _tri(prefs[key]) if key in prefs else next((t for v in _under(doc, key)[:1] if (t := _tri(v)) is not None), None)
@@ -193,11 +199,11 @@ def document_facts(document: object, home: str = "") -> dict:
     tasks = [_tasks(v) for k in ("scheduledTasks", "tasks") for v in _under(doc, k)]
     crons = len(_under(doc, "cron"))
     return {
-        "keep_awake": _tri(prefs.get("keepAwakeEnabled")), "scheduled_tasks": any(either) if either else None, "web_search": setting("coworkWebSearchEnabled"), "browser_actions": setting("allowAllBrowserActions"),
+        "keep_awake": _tri(prefs.get("keepAwakeEnabled")), "preferences": any(_tri(prefs.get(k)) is not None for k in ("keepAwakeEnabled", "menuBarEnabled")) or "sidebarMode" in prefs or bool(_first_text(prefs, "quickEntryShortcut")), "scheduled_tasks": any(either) if either else None, "web_search": setting("coworkWebSearchEnabled"), "browser_actions": setting("allowAllBrowserActions"),
         "sensitive_env": any(_any_term(k, S.SENSITIVE_KEY_TERMS) for s in servers if isinstance(s.get("env"), dict) for k in s["env"]), "servers": len(servers),
         "active_sessions": sum(map(_true, _under(doc, "hostLoopMode"))), "bridge": any(_true(b.get("enabled")) for b in bridge),
         "domains": [REDACTED if _any_term(d, SECRET_TEXT_TERMS) else d for d in domains], "wildcard": any(d.strip() in ("*", "0.0.0.0/0", "::/0") for d in domains),
-        "installed": len(extensions), "unsigned": sum(_signature(e).lower() in ("unsigned", "invalid") for e in extensions), "dangerous": sum(bool({t.lower() for v in _under(e, "tools") for t in _tools(v)} & set(S.DANGEROUS_TOOLS)) for e in extensions),
+        "installed": len(extensions), "unsigned": sum(_signature(e).lower() == "unsigned" for e in extensions), "dangerous": sum(len({t.lower() for v in _under(e, "tools") for t in _tools(v)} & set(S.DANGEROUS_TOOLS)) for e in extensions),
         "broad": sum(_broad(d, home) for k in FOLDER_KEYS for v in _under(doc, k) for d in _texts(v)),
         "governed": any(ALLOWLIST in k.lower() and _true(v) for k, v in flatten(doc)) or any(_size(v) for k in BLOCKLISTS for v in _under(doc, k)), "hooks": sum(h[0] for h in hooks), "risky_hooks": sum(h[1] for h in hooks), "hook_names": sorted(set().union(*(h[2] for h in hooks)))[:30],
         "plugins": len({p for v in _under(doc, "marketplaces") for p in _tools(v)}), "connectors": len({c for v in _under(doc, "connectors") for c in _connectors(v)}), "tasks": sum(t[0] for t in tasks) + crons, "sensitive_tasks": sum(t[1] for t in tasks),
@@ -256,33 +262,57 @@ def check(status: str | Column, name: str, category: str, severity: str = "") ->
 
 
 def flag_checks(flags: dict[str, Column]) -> Column:
-    """The checks of a host's tri-state settings and counts, in order; a check with nothing to say is left out.
+    """The checks of a host's tri-state settings and counts, in order; a check with nothing to say is left out. A host
+    whose platform isn't supported, or that has no data folder, has one skipped check.
 
-    flags: keep_awake, scheduled_tasks, web_search, browser_actions (bools, null where unknown), sensitive_env (bool),
-    active_sessions (int), bridge (bool), wildcard (bool), unsigned, dangerous, broad (ints), governed (bool),
-    installed (int), hooks, risky_hooks, plugins, connectors, tasks, sensitive_tasks, startup, cookies (ints)."""
+    flags: supported, data_folder (bools, true where not given), keep_awake, scheduled_tasks, web_search,
+    browser_actions (bools, null where unknown), sensitive_env (bool), active_sessions (int), bridge (bool), wildcard
+    (bool), unsigned, dangerous, broad (ints), governed (bool), installed (int), hooks, risky_hooks, plugins, connectors,
+    tasks, sensitive_tasks, startup, cookies, servers (ints), preferences (bool)."""
     n = lambda k: F.coalesce(flags.get(k, F.lit(0)), F.lit(0))
-    b = lambda k: F.coalesce(flags.get(k, F.lit(None).cast("boolean")), F.lit(False))
+    b = lambda k, given=False: F.coalesce(flags.get(k, F.lit(None).cast("boolean")), F.lit(given))
     either = lambda bad, fail, good: F.when(bad, fail).otherwise(good)
+    # names, categories and severities of the checks are fixed values
     checks = [
-        F.when(b("keep_awake"), check("FAIL", "sleep_prevention", "runtime", "low")),
-        F.when(b("scheduled_tasks"), check("FAIL", "scheduled_tasks_enabled", "scheduled_tasks", "medium")),
-        F.when(b("web_search"), check("FAIL", "web_search_enabled", "egress", "low")),
-        F.when(b("browser_actions"), check("FAIL", "browser_actions", "browser", "high")).when(flags.get("browser_actions", F.lit(None).cast("boolean")).isNotNull(), check("PASS", "browser_actions", "browser")),
-        either(b("sensitive_env"), check("FAIL", "sensitive_environment", "mcp_servers", "medium"), check("PASS", "servers", "mcp_servers")),
-        F.when(n("active_sessions") > 0, check("FAIL", "active_dispatch", "dispatch", "high")).when(b("bridge"), check("FAIL", "dispatch_bridge", "dispatch", "high")).otherwise(check("PASS", "dispatch", "dispatch")),
-        either(b("wildcard"), check("FAIL", "egress_policy", "egress", "critical"), check("PASS", "egress_policy", "egress")),
-        F.when(n("installed") > 0, either(~b("governed"), check("FAIL", "extension_governance", "extensions", "high"), check("PASS", "extension_governance", "extensions"))),
-        either(n("unsigned") + n("dangerous") + n("broad") > 0, check("FAIL", "extension_risk", "extensions", "medium"), check("PASS", "extensions", "extensions")),
-        F.when(n("risky_hooks") > 0, check("FAIL", "plugin_hooks", "plugins_hooks", "high")).when(n("hooks") > 0, check("FAIL", "plugin_hooks", "plugins_hooks", "medium")).otherwise(check("PASS", "plugin_hooks", "plugins_hooks")),
-        either(n("plugins") > 0, check("FAIL", "plugins", "plugins", "low"), check("PASS", "plugins", "plugins")),
-        either(n("connectors") > 0, check("FAIL", "connectors", "connectors", "low"), check("PASS", "connectors", "connectors")),
-        check("PASS", "skills", "skills"),
-        F.when(n("sensitive_tasks") > 0, check("FAIL", "task_definitions", "scheduled_tasks", "high")).when(n("tasks") > 0, check("FAIL", "task_definitions", "scheduled_tasks", "medium")).otherwise(check("PASS", "task_definitions", "scheduled_tasks")),
-        either((n("startup") > 0) | b("keep_awake"), check("FAIL", "runtime_state", "runtime", "low"), check("PASS", "runtime_state", "runtime")),
-        either(n("cookies") > 0, check("FAIL", "cookies", "cookies", "low"), check("PASS", "cookies", "cookies")),
+        F.when(b("keep_awake"), check("FAIL", "Claude Desktop Sleep Prevention", "runtime", "low")),
+        F.when(b("scheduled_tasks"), check("FAIL", "Cowork Scheduled Tasks Enabled", "scheduled_tasks", "medium")),
+        F.when(b("web_search"), check("FAIL", "Cowork Web Search Enabled", "egress", "low")),
+        F.when(b("browser_actions"), check("FAIL", "Cowork Browser Actions", "browser", "high")).when(flags.get("browser_actions", F.lit(None).cast("boolean")).isNotNull(), check("PASS", "Cowork Browser Actions", "browser")),
+        either(b("sensitive_env"), check("FAIL", "Cowork MCP Sensitive Environment", "mcp_servers", "medium"), check("PASS", "Cowork MCP Servers", "mcp_servers")),
+        F.when(n("active_sessions") > 0, check("FAIL", "Cowork Active Dispatch", "dispatch", "high")).when(b("bridge"), check("FAIL", "Cowork Dispatch Bridge", "dispatch", "high")).otherwise(check("PASS", "Cowork Dispatch", "dispatch")),
+        either(b("wildcard"), check("FAIL", "Cowork Egress Policy", "egress", "critical"), check("PASS", "Cowork Egress Policy", "egress")),
+        F.when(n("installed") > 0, either(~b("governed"), check("FAIL", "DXT Extension Governance", "extensions", "high"), check("PASS", "DXT Extension Governance", "extensions"))),
+        either(n("unsigned") + n("dangerous") + n("broad") > 0, check("FAIL", "DXT Extension Risk", "extensions", "medium"), check("PASS", "DXT Extensions", "extensions")),
+        F.when(n("risky_hooks") > 0, check("FAIL", "Cowork Plugin Hooks", "plugins_hooks", "high")).when(n("hooks") > 0, check("FAIL", "Cowork Plugin Hooks", "plugins_hooks", "medium")).otherwise(check("PASS", "Cowork Plugin Hooks", "plugins_hooks")),
+        either(n("plugins") > 0, check("FAIL", "Cowork Plugins And Marketplaces", "plugins", "low"), check("PASS", "Cowork Plugins", "plugins")),
+        either(n("connectors") > 0, check("FAIL", "Cowork Connectors", "connectors", "low"), check("PASS", "Cowork Connectors", "connectors")),
+        check("PASS", "Cowork Skills", "skills"),
+        F.when(n("sensitive_tasks") > 0, check("FAIL", "Cowork Scheduled Task Definitions", "scheduled_tasks", "high")).when(n("tasks") > 0, check("FAIL", "Cowork Scheduled Task Definitions", "scheduled_tasks", "medium")).otherwise(check("PASS", "Cowork Scheduled Task Definitions", "scheduled_tasks")),
+        either((n("startup") > 0) | b("keep_awake"), check("FAIL", "Claude Runtime State", "runtime", "low"), check("PASS", "Claude Runtime State", "runtime")),
+        either(n("cookies") > 0, check("FAIL", "Claude Cookies Present", "cookies", "low"), check("PASS", "Claude Cookies Present", "cookies")),
+        F.when(b("preferences"), check("PASS", "Claude Desktop Preferences", "claude_desktop_cowork")),
     ]
-    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+    skipped = F.when(~b("supported", True), check("SKIPPED", "Claude Desktop & Cowork Support", "claude_desktop_cowork")).when(~b("data_folder", True), check("SKIPPED", "Claude Desktop Data Directory", "claude_desktop_cowork"))
+    return F.when(skipped.isNotNull(), F.array(skipped)).otherwise(F.filter(F.array(*checks), lambda x: x.isNotNull()))
+
+
+def plugin_folders(folders: DataFrame, host: str, below: str, remote: Sequence[str] = REMOTE_PLUGINS, cached: Sequence[str] = CACHED_PLUGINS, deepest: int = WALK_DEPTH) -> DataFrame:
+    """(host, remote_folders, cached_folders) from a row for each folder, by its path below the app's folder: those of
+    plugins, by their names without case, down to ``deepest`` separators."""
+    name = F.lower(F.element_at(F.split(below, "/"), -1))
+    near = folders.where(F.size(F.split(below, "/")) - 1 <= deepest)
+    return near.groupBy(host).agg(F.count_if(name.isin(list(remote))).alias("remote_folders"), F.count_if(name.isin(list(cached))).alias("cached_folders"))
+
+
+def task_files(files: DataFrame, host: str, below: str, content: str, names: Sequence[str] = TASK_FILE_NAMES, ends: Sequence[str] = TASK_FILE_ENDS, most: int = TASK_FILES) -> DataFrame:
+    """(host, task_files, sensitive_files) from a row for each file: those of scheduled tasks, by name, and how many of
+    them hold a term that reaches far. Of a host the first ``most`` by path count, none over 512 KiB is read and none
+    deeper than 8 separators is seen; these limits are the feature's."""
+    name = F.lower(F.element_at(F.split(below, "/"), -1))
+    own = files.where(F.size(F.split(below, "/")) - 1 <= WALK_DEPTH).where(F.exists(F.array(*map(F.lit, names)), lambda t: name.contains(t)) & F.exists(F.array(*map(F.lit, ends)), lambda t: name.endswith(t)))
+    first = own.withColumn("__tr_n", F.row_number().over(Window.partitionBy(host).orderBy(below, content))).where(F.col("__tr_n") <= most)
+    sensitive = (F.octet_length(content) <= TASK_FILE_BYTES) & S.holds_term(F.col(content), TASK_FILE_TERMS)
+    return first.groupBy(host).agg(F.count(F.lit(1)).alias("task_files"), F.count_if(sensitive).alias("sensitive_files"))
 
 
 def points(severity: Column) -> Column:

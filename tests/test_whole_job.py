@@ -39,7 +39,7 @@ def test_broad_folders_and_governance(spark):
     fields = ("installed", "unsigned", "dangerous", "broad", "governed")
     checks = facts.select("host", F.explode(posture.flag_checks({f: F.col(f"facts.{f}") for f in fields})).alias("c")).where("c.category = 'extensions'").select("host", "c.*")
     assert rows(posture.score(checks, "host"), "host", "score") == [("allowed", 100), ("blocked", 100), ("empty", 88), ("home", 88), ("narrow", 88), ("off", 88), ("own", 88), ("root", 88)]
-    assert rows(checks.where("check_name = 'extension_risk' and status = 'FAIL'"), "host") == [("home",), ("own",), ("root",)]
+    assert rows(checks.where("check_name = 'DXT Extension Risk' and status = 'FAIL'"), "host") == [("home",), ("own",), ("root",)]
     assert posture.document_facts({"allowedDirectories": ["/home/u", ".", "c:/", "//", "/x/Desktop"]})["broad"] == 4
     assert dict(posture.flatten({"a": {"b": {"c": 1}}, "d": [{"e": 2}]})) == {"a": {"b": {"c": 1}}, "a.b": {"c": 1}, "a.b.c": 1, "d": [{"e": 2}]}
 
