@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tallyrill.functions import keys as K
 from tallyrill.functions.servers import namespaced, original_tool
 from tallyrill.operators.inventory import AUTH_ERROR, backend_health, health_detail, health_summary, keep_first, namespaced_tools, tool_cache_summary
 from tallyrill.plans.literals import Literal, sql_text
-from tallyrill.session import table
+from tallyrill.session import checkpoint_dir, table
 from tallyrill.sources import eventlog, sinks
 
 SINCE = "2026-03-01"
@@ -59,6 +61,34 @@ def export_json(spark: SparkSession, folder: str) -> DataFrame:
     return findings.select("log_id", F.to_json(F.struct(*eventlog.FIELDS)).alias("json"))
 
 
+def _written(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+
+
+def log_strict(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole log written as JSON lines in two appends and read back strictly, counted."""
+    path, events = _written(spark), _events(spark, folder)
+    for part in (0, 1):
+        sinks.append_jsonl(events.where(F.col("log_id") % 2 == part).select(*eventlog.FIELDS), path)
+    return eventlog.read_strict(spark, path).groupBy("event_type", "verdict").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("severity") == "").alias("n_without_severity"))
+
+
+def log_lenient(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole log written as lines of which each fiftieth is broken, and read back leniently, counted."""
+    path = _written(spark)
+    line = F.to_json(F.struct(*eventlog.FIELDS))
+    _events(spark, folder).select(F.when(F.col("log_id") % 50 == 0, F.concat(F.lit("{broken"), line)).otherwise(line).alias("value")).write.text(path)
+    return eventlog.read_lenient(spark, path).groupBy("event_type", "verdict").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+def exported_array(spark: SparkSession, folder: str) -> DataFrame:
+    """The findings exported as one JSON array and read back as one document."""
+    path = _written(spark)
+    sinks.export(_events(spark, folder).where(F.lower("event_type").contains("threat_detected")).select("log_id", *eventlog.FIELDS), path, "json", "log_id")
+    return spark.read.text(path).where("length(value) > 1").select(F.from_json(F.substring("value", 2, 1 << 30), "log_id bigint, pattern_name string, severity string").alias("e")).select("e.*")
+
+
 def event_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Events built anew from log lines, by the verdict they end up with."""
     log = table(spark, folder, "gateway_log").where(K.event_type() == "tool_call")
@@ -105,7 +135,7 @@ def tool_summary(spark: SparkSession, folder: str) -> DataFrame:
     return tool_cache_summary(_cache(spark, folder), STATUSES.frame(spark))
 
 
-QUERIES = {f.__name__: f for f in (events_since, events_tail, last_call_per_server, ingest_filter, export_csv_rows, export_json, event_rows, backend_health_rows, backend_health_summary, upload_outcomes, broker_envelopes, tool_namespace, tool_summary)}
+QUERIES = {f.__name__: f for f in (events_since, events_tail, last_call_per_server, ingest_filter, export_csv_rows, export_json, log_strict, log_lenient, exported_array, event_rows, backend_health_rows, backend_health_summary, upload_outcomes, broker_envelopes, tool_namespace, tool_summary)}
 
 _EVENTS = "(SELECT log_id, " + ", ".join(f"coalesce({f}, '') AS {f}" for f in eventlog.FIELDS) + " FROM gateway_log)"
 _LAST = f"(SELECT server_name, max_by(timestamp, log_id) AS last_call_at, max_by(tool_name, log_id) AS last_tool_name FROM {_EVENTS} WHERE event_type = 'mcp.tool_call' AND server_name <> '' GROUP BY server_name)"
@@ -124,6 +154,9 @@ SQL = {
     "ingest_filter": f"SELECT event_type, verdict, count(*) AS n_events FROM {_EVENTS} WHERE server_name <> '' AND tool_name <> '' GROUP BY ALL",
     "export_csv_rows": f"SELECT {', '.join(eventlog.FIELDS)} FROM {_EVENTS} WHERE contains(lower(event_type), 'threat_detected')",
     "export_json": f"SELECT log_id, '{{' || concat_ws(',', " + ", ".join(f"CASE WHEN {f} <> '' THEN '\"{f}\":' || to_json({f}) END" for f in eventlog.FIELDS) + f") || '}}' AS json FROM {_EVENTS} WHERE contains(lower(event_type), 'threat_detected')",
+    "log_strict": f"SELECT event_type, verdict, count(*) AS n_events, count(*) FILTER (severity = '') AS n_without_severity FROM {_EVENTS} GROUP BY ALL",
+    "log_lenient": f"SELECT event_type, verdict, count(*) AS n_events FROM {_EVENTS} WHERE log_id % 50 <> 0 GROUP BY ALL",
+    "exported_array": f"SELECT log_id, nullif(pattern_name, '') AS pattern_name, nullif(severity, '') AS severity FROM {_EVENTS} WHERE contains(lower(event_type), 'threat_detected')",
     "event_rows": f"SELECT 'mcp.tool_call' AS event_type, CASE WHEN verdict = '' THEN 'pass' ELSE verdict END AS verdict, severity, count(*) AS n_events FROM {_EVENTS} WHERE regexp_replace(lower(event_type), '^.*[.]', '') = 'tool_call' GROUP BY ALL",
     "backend_health_rows": _HEALTH + f"""SELECT *, CASE WHEN status = 'auth_required' THEN {sql_text(AUTH_ERROR)} ELSE '' END AS error, CASE WHEN status = 'auth_required' THEN {sql_text(AUTH_ERROR)} WHEN last_tool_name <> '' AND last_call_at <> '' THEN 'last call ' || last_tool_name || ' at ' || last_call_at
       WHEN last_call_at <> '' THEN 'last call at ' || last_call_at ELSE '' END AS detail FROM h""",

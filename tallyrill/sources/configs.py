@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from fnmatch import fnmatch
+from functools import reduce
 
 import pyarrow as pa
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyrill.session import cut
+
 ENTRY = "struct<command:string,args:array<string>,env:map<string,string>,transport:string,type:string,url:string,headers:map<string,string>>"
 REMOTE = "remoteMcpServersConfig array<struct<uuid:string,name:string,url:string,headers:map<string,string>>>"
 
@@ -20,22 +23,45 @@ STATE_DEPTH, STATE_FILES, STATE_BYTES, JSON_BYTES = 8, 400, 2 << 20, 5 << 20
 SKILL_DEPTH = 7
 
 
+def _opened(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+
+
 def list_files(spark: SparkSession, root: str, glob: str = "*", pruned: Sequence[str] = PRUNED, deepest: int | None = None) -> DataFrame:
     """(path, length, below) of the files under a folder, hidden ones included (Spark's own readers pass those over),
-    outside pruned folders and not deeper than ``deepest`` steps below the root; empty where the folder is missing.
-    Names are listed on the driver, as a file index does; contents aren't touched."""
+    not deeper than ``deepest`` steps below the root; pruned folders are not entered, nor those that can't be read. Empty
+    where the folder is missing.
+
+    Folders are listed where rows are processed, a level after the other; contents aren't touched and no list of files
+    is on the driver."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = []
-    if system.exists(folder):
-        top, files = system.makeQualified(folder).toString().rstrip("/") + "/", system.listFiles(folder, True)
-        while files.hasNext():
-            status = files.next()
-            path = status.getPath().toString()
-            steps = path.removeprefix(top).split("/")
-            if fnmatch(steps[-1], glob) and not set(steps[:-1]) & set(pruned) and (deepest is None or len(steps) - 1 <= deepest):
-                found.append((path, status.getLen(), "/".join(steps)))
-    return spark.createDataFrame(found, "path string, length bigint, below string")
+    columns = "path string, length bigint, below string, folder boolean"
+    if not system.exists(folder):
+        return spark.createDataFrame([], columns).drop("folder")
+    top = system.makeQualified(folder).toString().rstrip("/")
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, below in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
+                try:
+                    system_of, name = _opened(path)
+                    found = sorted(system_of.get_file_info(FileSelector(name)), key=lambda i: i.base_name)
+                except OSError:
+                    continue
+                found = [i for i in found if (i.type == FileType.File and fnmatch(i.base_name, glob)) or (i.type == FileType.Directory and i.base_name not in pruned)]
+                lead = f"{below}/" if below else ""
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{path}/{i.base_name}" for i in found], pa.string()), pa.array([i.size or 0 for i in found], pa.int64()), pa.array([lead + i.base_name for i in found], pa.string()), pa.array([i.type == FileType.Directory for i in found], pa.bool_())],
+                    names=["path", "length", "below", "folder"],
+                )
+
+    level, files, steps = spark.createDataFrame([(top, "")], "path string, below string"), [], 0
+    while not steps or (not level.isEmpty() and (deepest is None or steps <= deepest)):
+        listed = cut(level.repartition(spark.sparkContext.defaultParallelism).mapInArrow(children, columns) if steps else level.mapInArrow(children, columns))
+        files.append(listed.where("not folder").drop("folder"))
+        level, steps = listed.where("folder").select("path", "below"), steps + 1
+    return reduce(DataFrame.unionByName, files)
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*", pruned: Sequence[str] = PRUNED, deepest: int | None = None) -> DataFrame:
@@ -44,7 +70,7 @@ def read_files(spark: SparkSession, root: str, glob: str = "*", pruned: Sequence
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, path in enumerate(batch.column(0).to_pylist()):
-                system, name = FileSystem.from_uri(path if path.startswith(("file://", "hdfs://", "s3://", "gs://")) else path.replace("file:", "file://", 1))
+                system, name = _opened(path)
                 with system.open_input_stream(name) as stream:
                     yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns), pa.array([stream.read()], pa.binary())], names=["path", "length", "below", "content"])
 

@@ -36,10 +36,15 @@ def read_strict(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lenient(spark: SparkSession, path: str) -> DataFrame:
-    """Every readable event of a JSONL log; malformed lines, and lines over 1 MiB, are passed over."""
+    """Every readable event of a JSONL log; malformed lines are passed over, and a line over 1 MiB ends its file."""
     if not _exists(spark, path):
         return spark.createDataFrame([], SCHEMA)
-    return parse_lines(spark.read.text(path), "value")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), place.alias("_at"))
+    ends = lines.where(F.octet_length("value") > LONGEST_LINE).groupBy("_file").agg(F.min("_at").alias("_end"))
+    if not ends.isEmpty():
+        lines = lines.join(ends, "_file", "left").where(F.col("_end").isNull() | (F.col("_at") < F.col("_end")))
+    return parse_lines(lines, "value")
 
 
 def parse_lines(lines: DataFrame, column: str, *keep: str) -> DataFrame:

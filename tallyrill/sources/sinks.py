@@ -21,8 +21,8 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def as_json_array(df: DataFrame, order: str) -> DataFrame:
-    """One row whose ``json`` is the array of all rows in order; ``[]`` where there are none. For exports small enough
-    to be one document; ``append_jsonl`` writes any number."""
+    """One row whose ``json`` is the array of all rows in order; ``[]`` where there are none. For results that are small
+    by nature, as it is one value in one task; ``write_json_array`` writes any number."""
     rows = df.agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.struct(*df.columns).alias("row")))).alias("rows"))
     return rows.select(F.to_json(F.transform("rows", lambda r: r["row"])).alias("json"))
 
@@ -37,11 +37,28 @@ def write_csv(df: DataFrame, path: str) -> None:
     csv_lines(df).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def export(df: DataFrame, path: str, form: str) -> None:
-    """An export as ``json`` lines or ``csv``; any other form raises ValueError."""
+def write_json_array(df: DataFrame, path: str, order: str) -> None:
+    """One JSON array of all rows by an order column, as parts of text that make it when read one after the other; ``[]``
+    where there are none. Empty fields are left out; no task holds more than its part."""
+    spark = df.sparkSession
+    rows = without_blanks(df).select(F.col(order).alias("_order"), F.to_json(F.struct(*df.columns)).alias("value"))
+    key = F.struct(F.col("_order").isNotNull().alias("known"), "_order", "value")
+    first = rows.agg(F.min(key).alias("k")).first()["k"]
+    # the first element, which has no comma before it, is written with its repeats; every other one by its own task
+    is_first = F.lit(False) if first is None else F.col("_order").eqNullSafe(F.lit(first["_order"])) & (F.col("value") == first["value"])
+    repeats = rows.where(is_first).count()
+    line = lambda n, kind, value: spark.range(n).select(F.lit(kind).alias("_kind"), F.lit(value).alias("value"))
+    head = first["value"] if first is not None else ""
+    ends = line(1, 0, "[" + head).unionByName(line(max(repeats - 1, 0), 1, "," + head)).unionByName(line(1, 3, "]"))
+    others = rows.where(~is_first).select(F.lit(2).alias("_kind"), "_order", F.concat(F.lit(","), "value").alias("value"))
+    others.unionByName(ends, allowMissingColumns=True).orderBy("_kind", F.asc_nulls_first("_order"), "value").select("value").write.mode("overwrite").text(path)
+
+
+def export(df: DataFrame, path: str, form: str, order: str = "timestamp") -> None:
+    """An export as a ``json`` array by an order column, or as ``csv``; any other form raises ValueError."""
     match form.strip().lower():
         case "json":
-            without_blanks(df).write.mode("overwrite").json(path)
+            write_json_array(df, path, order)
         case "csv":
             write_csv(df, path)
         case other:

@@ -13,6 +13,7 @@ from tallyrill.functions.rules import POISON, SENSITIVE, THREAT, java_pattern
 from tallyrill.operators import inventory as I
 from tallyrill.operators.detection import RESULT, detect_calls, detect_descriptions, detect_text, escalate, result, tool_text
 from tallyrill.operators.policy import Policy, evaluate, merge, rank
+from tallyrill.operators import routing as R
 from tallyrill.operators.posture import document_facts, find_values, redacted_json, score
 from tallyrill.sources import configs, eventlog, rpc, sinks
 from tallyrill.streaming import gateway
@@ -73,6 +74,8 @@ def test_event_log(spark, tmp_path):
     with pytest.raises(ValueError):
         eventlog.since(strict, "2026-6-20")
     (log / "f.jsonl").write_text("{broken\n" + json.dumps({"server_name": "x" * (1 << 20)}) + "\n" + json.dumps(lines[0]))
+    assert eventlog.read_lenient(spark, str(log)).count() == 4  # the long line ends its file
+    (log / "f.jsonl").write_text("{broken\n" + json.dumps(lines[0]))
     assert eventlog.read_lenient(spark, str(log)).count() == 5
     with pytest.raises(Exception, match="(?i)malformed|failfast"):
         eventlog.read_strict(spark, str(log)).collect()
@@ -93,6 +96,34 @@ def test_exports(spark, tmp_path):
     assert sinks.as_json_array(df.select("description", "verdict").limit(0), "verdict").collect()[0]["json"] == "[]"
     with pytest.raises(ValueError):
         sinks.export(df, str(tmp_path / "x"), "xml")
+    many = spark.createDataFrame([(i // 2, f'a"{i}') for i in range(40)] + [(None, None)], "n int, t string").repartition(5)
+    for frame, want in ((many, 41), (many.limit(0), 0), (many.where("n = 3"), 2)):
+        sinks.write_json_array(frame, str(tmp_path / "array"), "n")
+        parts = json.loads("".join(p.read_text() for p in sorted((tmp_path / "array").glob("part-*"))))
+        assert len(parts) == want and [p.get("n", -1) for p in parts] == sorted(p.get("n", -1) for p in parts)
+
+
+def test_state_table(spark, tmp_path):
+    """A state is replaced as a whole; a first one makes the table."""
+    for n in (3, 1):
+        sinks.overwrite_state(spark.range(n).withColumnRenamed("id", "state"), str(tmp_path / "s"))
+        assert spark.read.parquet(str(tmp_path / "s")).count() == n
+
+
+def test_routing_edges(spark):
+    """Nulls, repeated rows, empty tables and clashing names."""
+    servers = "name string, url string, transport string, headers map<string,string>"
+    some = spark.createDataFrame([("a", "https://x", "http", None), ("a", "https://x", "http", None), (None, "https://y", "http", None), ("b", None, None, None)], servers).withColumn("_owned", F.lit("clash"))
+    assert rows(R.restore_plan(some.drop("_owned"), some.select("name").where("name = 'a'")), "name", "disposition") == sorted([("a", "restored"), ("a", "restored"), (None, "kept"), ("b", "kept")], key=repr)
+    assert rows(R.recover_native(some, some.limit(0)), "name") == [("a",), ("a",)] and R.recover_native(some, some).count() == 0
+    assert R.delete_by(some, some.where("name = 'a'").select("name"), "name").count() == 2 and R.merge_named(some.limit(0), some, ["name"]).count() == 4
+    calls = spark.createDataFrame([("t",), (None,), ("u",)], "tool_name string").withColumn("tool", F.lit("clash"))
+    tools = spark.createDataFrame([("t", "s1"), ("t", "s2"), (None, "s3")], "tool string, server string")
+    assert rows(R.route_calls(calls, tools, "tool_name"), "tool_name", "server", "unknown") == sorted([("t", "s2", False), (None, None, True), ("u", None, True)], key=repr)
+    assert R.route_calls(calls.limit(0), tools.limit(0), "tool_name").count() == 0
+    kept = spark.createDataFrame([(5, "n", "p", "old")], "position int, name string, path string, body string")
+    fresh = spark.createDataFrame([("n", "p", "new"), ("m", "p", "new")], "name string, path string, body string")
+    assert rows(R.replace_snapshot(kept, fresh)) == [(5, "n", "p", "new"), (6, "m", "p", "new")] and rows(R.replace_snapshot(kept.limit(0), fresh), "position") == [(1,), (1,)]
 
 
 def test_config_scans(spark, tmp_path):
