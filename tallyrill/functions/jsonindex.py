@@ -9,6 +9,7 @@ array operations over all texts together, a pass for each depth.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +31,8 @@ _BLANK[[9, 10, 13, 32]] = True
 
 @dataclass
 class Index:
-    """Values of all texts, a row for each: text number, kind, byte span, parent row (-1 at the top), key row in
-    ``keys`` (-1 outside objects), place among the parent's children."""
+    """Values of all texts, a row for each: text number, kind, byte span, parent row (-1 at the top), place among the
+    parent's children, byte span of the key (-1 outside objects) and depth (0 at the top)."""
 
     buffer: bytes
     ok: np.ndarray  # of each text
@@ -43,6 +44,38 @@ class Index:
     place: np.ndarray
     key_start: np.ndarray
     key_end: np.ndarray
+    depth: np.ndarray
+
+    def children(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The children of some rows, and for each which of the rows it belongs to."""
+        if not hasattr(self, "_order"):
+            self._order = np.argsort(self.parent, kind="stable")
+            self._above = self.parent[self._order]
+        low, high = np.searchsorted(self._above, rows), np.searchsorted(self._above, rows, "right")
+        count = high - low
+        of = np.repeat(np.arange(len(rows)), count)
+        return self._order[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())], of
+
+    def keys_in(self, wanted: list[bytes], plain: Callable[[bytes], bytes]) -> np.ndarray:
+        """Of each row the number of its key among the wanted ones, -1 for others; keys with escapes are read by ``plain``."""
+        found = np.full(len(self.parent), -1, np.int64)
+        data = np.frombuffer(self.buffer, np.uint8)
+        size = np.where(self.key_start >= 0, self.key_end - self.key_start - 2, -1)
+        for length in {len(k) for k in wanted}:
+            rows = np.flatnonzero(size == length)
+            if not len(rows):
+                continue
+            held = data[self.key_start[rows][:, None] + np.arange(1, length + 1)]
+            for number, key in enumerate(wanted):
+                if len(key) == length:
+                    found[rows[(held == np.frombuffer(key, np.uint8)).all(axis=1)]] = number
+        slashes = np.r_[0, np.cumsum(data == 0x5C)] if b"\\" in self.buffer else None
+        if slashes is not None:
+            keyed = np.flatnonzero(size > 0)
+            for row in keyed[slashes[self.key_end[keyed]] > slashes[self.key_start[keyed]]].tolist():
+                key = plain(self.key(row))
+                found[row] = wanted.index(key) if key in wanted else -1
+        return found
 
     def raw(self, row: int) -> bytes:
         return self.buffer[self.start[row] : self.end[row]]
@@ -206,4 +239,4 @@ def build(texts: list[bytes]) -> Index:
     ends = end[rows].copy()
     containers_here = opens[rows]
     ends[containers_here] = end[close_at[rows[containers_here]]]
-    return Index(buffer, ~bad, text[rows], kind[rows], start[rows], ends, np.where(above == -2, -1, of_token[above]), place[rows], np.where(keys >= 0, start[keys], -1), np.where(keys >= 0, end[keys], -1))
+    return Index(buffer, ~bad, text[rows], kind[rows], start[rows], ends, np.where(above == -2, -1, of_token[above]), place[rows], np.where(keys >= 0, start[keys], -1), np.where(keys >= 0, end[keys], -1), level[rows])

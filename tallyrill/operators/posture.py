@@ -36,27 +36,35 @@ TASK_KEYS = ("cron", "cronExpression", "schedule", "prompt")
 TASK_TERMS = ("websearch", "webfetch", "browser", "bash", "run_command", "write_file", "edit_file", "network", "filesystem", "mcp")
 
 
+#: Bytes of documents indexed at once; a longer one is indexed alone.
+INDEX_BYTES = 1 << 20
+
+
+def _plain_key(raw: bytes) -> bytes:
+    return json.dumps(json.loads(raw), ensure_ascii=False)[1:-1].encode("utf-8", "surrogatepass")
+
+
 def find_values(docs: DataFrame, doc_id: str, text: str, keys: Sequence[str], deepest: int = DEEPEST) -> DataFrame:
     """(doc_id, key, value) of every value that stands under one of the keys at any depth down to ``deepest`` below the
     top; value is its JSON text. All depths are read off one structural index, so documents are passed over once and
     nothing is shuffled. A null text and one that is no complete JSON have no values; repeated rows repeat theirs."""
-    wanted = {json.dumps(k, ensure_ascii=False).encode(): k for k in keys}
+    keys = list(dict.fromkeys(keys))
+    names = [json.dumps(k, ensure_ascii=False)[1:-1].encode() for k in keys]
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index = jsonindex.build([t.encode() for t in batch.column(1).to_pylist()])
-            depth = np.zeros(len(index.parent), np.int64)
-            level = np.flatnonzero(index.parent == -1)
-            below = 0
-            while len(level):
-                below += 1
-                level = np.flatnonzero(np.isin(index.parent, level) & (index.parent >= 0))
-                depth[level] = below
-            rows = [r for r in np.flatnonzero((index.key_start >= 0) & (depth <= deepest + 1)).tolist() if index.key(r) in wanted]
-            if rows:
-                columns = [batch.column(0).take(pa.array(index.text[rows])), pa.array([wanted[index.key(r)] for r in rows]), pa.array([index.raw(r).decode("utf-8", "replace") for r in rows])]
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "key", "value"])
+            start, held, texts = 0, 0, batch.column(1).to_pylist()
+            for i, text in enumerate(texts):
+                held += len(text)
+                if held < INDEX_BYTES and i + 1 < len(texts):
+                    continue
+                index = jsonindex.build([t.encode() for t in texts[start : i + 1]])
+                number = index.keys_in(names, _plain_key)
+                rows = np.flatnonzero((number >= 0) & (index.depth <= deepest + 1))
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(start + index.text[rows])), pa.array([keys[k] for k in number[rows]], pa.string()), pa.array([index.raw(r).decode("utf-8", "replace") for r in rows], pa.string())], names=["_id", "key", "value"])
+                start, held = i + 1, 0
 
     slim = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text is not null")
     return slim.mapInArrow(find, f"_id {kind}, key string, value string").withColumnRenamed("_id", doc_id)

@@ -22,7 +22,9 @@ def p6_elements(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p6_elements(spark, folder).select("scan_id", "path", "pos")
+    """Where every element of every array of every scan stands."""
+    scans = spread(table(spark, folder, "posture_scans").select("scan_id", "payload"))
+    return flatten_nested(scans, "scan_id", "payload", SCAN_ARRAYS, values=False).select("scan_id", "path", "pos")
 
 
 def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
