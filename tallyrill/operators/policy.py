@@ -78,6 +78,12 @@ def stricter_mode(one: Column, other: Column) -> Column:
     return F.when(order(other) > order(one), other).otherwise(one)
 
 
+def merged_keywords(one: Column, other: Column) -> Column:
+    """The keywords of two policies, each once, those of the first in front; blank ones are dropped."""
+    both = F.concat(F.coalesce(one, F.array().cast("array<string>")), F.coalesce(other, F.array().cast("array<string>")))
+    return F.array_distinct(F.filter(both, lambda k: F.trim(F.coalesce(k, F.lit(""))) != ""))
+
+
 def usable_key(key: Column, placeholders: Sequence[str] = PLACEHOLDER_KEYS) -> Column:
     """Whether an API key is more than a placeholder."""
     return ~F.trim(F.coalesce(key, F.lit(""))).isin(list(placeholders))

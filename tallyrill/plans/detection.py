@@ -12,7 +12,7 @@ from tallyrill.functions import keys as K
 from tallyrill.functions.gojson import canonical_json
 from tallyrill.functions.rules import POISON, SENSITIVE, THREAT, Rule
 from tallyrill.operators.detection import detect_calls, detect_descriptions, detect_text, escalate, manifest_tools, tool_text
-from tallyrill.operators.policy import Policy, action, evaluate, merge, policy_detection, rank, stricter_mode, usable_key
+from tallyrill.operators.policy import Policy, action, evaluate, merge, merged_keywords, policy_detection, rank, stricter_mode, usable_key
 from tallyrill.plans.literals import Literal, sql_text
 from tallyrill.session import spread, table
 
@@ -88,11 +88,12 @@ def policy_eval(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verdict_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """Policy, rules and the logged verdict of every call, merged: counts by final verdict, category and action."""
+    """Policy, rules and the logged verdict of every call, its description read as its arguments, merged: counts by final
+    verdict, category and action."""
     log = table(spark, folder, "gateway_log").where(K.event_type() == "tool_call").select("server_name", "tool_name", "description", K.verdict().alias("logged"), "pattern_name", "severity")
     found = detect_text(log, "description")
     remote = F.struct(F.col("logged").alias("verdict"), F.coalesce("pattern_name", F.lit("")).alias("pattern_name"), F.coalesce("severity", F.lit("")).alias("severity"), F.lit("").alias("description"), F.lit("api_detection").alias("category"))
-    judged = found.withColumn("policy", policy_detection(evaluate(POLICY, F.col("server_name"), F.substring_index("tool_name", "__", -1), F.lit(None).cast("string"))))
+    judged = found.withColumn("policy", policy_detection(evaluate(POLICY, F.col("server_name"), F.substring_index("tool_name", "__", -1), F.col("description"))))
     merged = judged.withColumn("final", merge(F.col("policy"), escalate(F.col("detection"), dict(POLICY.detection), LOCAL), remote))
     return merged.groupBy(F.col("final.verdict").alias("verdict"), F.col("final.category").alias("category"), rank(F.col("final.verdict")).alias("verdict_rank"), action(F.col("final.verdict"), True).alias("action")).agg(F.count(F.lit(1)).alias("n_calls"))
 
@@ -121,9 +122,9 @@ def catalogue_manifests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def strictness(spark: SparkSession, folder: str) -> DataFrame:
-    """The stricter of the modes of every pair of modes, and whether a key is usable."""
+    """The stricter of the modes of every pair of modes, their keywords together, and whether a key is usable."""
     modes = spark.createDataFrame([(a, b) for a in ("block", "warn", "monitor", "") for b in ("block", "warn", "monitor", "")], "one string, other string")
-    return modes.select("one", "other", stricter_mode(F.col("one"), F.col("other")).alias("mode"), usable_key(F.when(F.col("one") == "", " YOURKEY ").otherwise(F.col("one"))).alias("usable"))
+    return modes.select("one", "other", stricter_mode(F.col("one"), F.col("other")).alias("mode"), F.array_join(merged_keywords(F.array("one", F.lit("uvx"), F.lit(" ")), F.array("other", F.lit("uvx"), "one")), ",").alias("keywords"), usable_key(F.when(F.col("one") == "", " YOURKEY ").otherwise(F.col("one"))).alias("usable"))
 
 
 def _fold(text: str) -> str:
@@ -172,12 +173,12 @@ SQL = {
     "escalate_enforce": f"SELECT call_id, verdict, pattern_name, CASE WHEN verdict = 'block' THEN 'blocked' ELSE 'forwarded' END AS enforced, 'forwarded' AS audited FROM (SELECT call_id, {first_rule(_CALL_TEXT, 'verdict', sql_text('pass'), ['sensitive_data'])} AS verdict, {first_rule(_CALL_TEXT, 'pattern_name')} AS pattern_name FROM {CALLS.sql()})",
     "verdict_merge": f"""WITH calls AS (SELECT lower(coalesce(server_name, '')) AS server, lower(regexp_replace(coalesce(tool_name, ''), '^.*__', '')) AS tool, coalesce(description, '') AS t,
         coalesce(nullif(lower(trim(verdict)), ''), 'pass') AS logged FROM gateway_log WHERE regexp_replace(lower(coalesce(event_type, '')), '^.*[.]', '') = 'tool_call'),
-      judged AS (SELECT *, CASE WHEN server IN ('audio_kiln', 'graph_mill') OR (server = 'stock_bridge' AND tool IN ('read_table', 'fetch_rows')) OR (server = 'sheet_quarry' AND tool = 'send_thread') THEN 3 ELSE 1 END AS p,
+      judged AS (SELECT *, CASE WHEN server IN ('audio_kiln', 'graph_mill') OR (server = 'stock_bridge' AND tool IN ('read_table', 'fetch_rows')) OR (server = 'sheet_quarry' AND tool = 'send_thread') OR contains(lower(t), 'docker run') OR contains(lower(t), 'a&b') OR contains(lower(t), 'uvx') THEN 3 ELSE 1 END AS p,
         {first_rule('t', 'category')} AS found, CASE logged WHEN 'block' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END AS l FROM calls),
       ranked AS (SELECT *, CASE found WHEN 'sensitive_data' THEN 3 WHEN '' THEN 1 ELSE 2 END AS d FROM judged),
       final AS (SELECT CASE WHEN p = 3 OR d = 3 OR l = 3 THEN 3 WHEN d = 2 OR l = 2 THEN 2 ELSE 1 END AS verdict_rank, CASE WHEN p = 3 THEN 'policy' WHEN d > p AND d >= l THEN found WHEN l > greatest(p, d) THEN 'api_detection' ELSE '' END AS category FROM ranked)
       SELECT CASE verdict_rank WHEN 3 THEN 'block' WHEN 2 THEN 'warn' ELSE 'pass' END AS verdict, category, verdict_rank, CASE WHEN verdict_rank = 3 THEN 'blocked' ELSE 'forwarded' END AS action, count(*) AS n_calls FROM final GROUP BY ALL""",
     "manifest_poison": " UNION ALL ".join(f"SELECT server, tool_name, {sql_text(r.name)} AS pattern_name FROM ({_MANIFEST_TOOLS}) WHERE regexp_matches({_fold('whole')}, {sql_text(r.pattern)})" for r in POISON),
     "catalogue_manifests": " UNION ALL ".join(f"SELECT server_name, tool_name, {sql_text(r.name)} AS pattern_name FROM tool_catalog WHERE server_name IS NOT NULL AND tool_name IS NOT NULL AND regexp_matches({_TOOL_TEXT}, {sql_text(r.pattern)})" for r in POISON),
-    "strictness": """WITH m(name, o) AS (VALUES ('block', 3), ('warn', 2), ('monitor', 1), ('', 0)) SELECT a.name AS one, b.name AS other, CASE WHEN b.o > a.o THEN b.name ELSE a.name END AS mode, a.name <> '' AS usable FROM m a CROSS JOIN m b""",
+    "strictness": """WITH m(name, o) AS (VALUES ('block', 3), ('warn', 2), ('monitor', 1), ('', 0)) SELECT a.name AS one, b.name AS other, CASE WHEN b.o > a.o THEN b.name ELSE a.name END AS mode, concat_ws(',', nullif(a.name, ''), 'uvx', CASE WHEN b.name NOT IN ('', a.name) THEN b.name END) AS keywords, a.name <> '' AS usable FROM m a CROSS JOIN m b""",
 }
