@@ -61,12 +61,15 @@ def entity_features(df: DataFrame, entity: str, types: Mapping[str, Sequence[str
     column ``<type column>__<value>`` with the number of events, 0 where there is none.
 
     A null entity is an entity; null, empty and unlisted types count only in ``n_events``. ``spread`` is any integer
-    that differs from row to row; sampled as in ``entity_type_totals``. An empty table gives no row. Columns of the table
+    that differs from row to row, ``at`` one that orders them in time; sampled as in ``entity_type_totals``. An empty table gives no row. Columns of the table
     that aren't named are ignored.
     """
     partial = _partial(df, entity, list(types), at, spread, salts, sampled)
-    kinds = [F.lit("all"), *(F.when(F.col(c) != "", F.concat(F.lit(f"{c}__"), F.col(c))) for c in types)]
-    each = partial.select(entity, F.explode(F.array_compact(F.array(*kinds))).alias("_kind"), "_n", "_last")
+    # every count is a kind of value, and so is the latest time, so that one pivot expands them all
+    value = lambda kind, v: F.struct(kind.alias("kind"), v.alias("value"))
+    kinds = [value(F.lit("all"), F.col("_n")), value(F.lit("last"), F.col("_last")), *(F.when(F.col(c) != "", value(F.concat(F.lit(f"{c}__"), F.col(c)), F.col("_n"))) for c in types)]
+    each = partial.withColumn("_last", F.col("_last").cast("bigint")).select(entity, F.explode(F.array_compact(F.array(*kinds))).alias("_x")).select(entity, F.col("_x.kind").alias("_kind"), F.col("_x.value").alias("_value"))
     names = [f"{column}__{value}" for column, values in types.items() for value in values]
-    wide = each.groupBy(entity).pivot("_kind", ["all", *names]).agg(F.sum("_n").alias("n"), F.max("_last").alias("last"))
-    return wide.select(entity, F.col("all_n").alias("n_events"), F.col("all_last").alias("last_at"), *(F.coalesce(F.col(f"`{n}_n`"), F.lit(0)).alias(n) for n in names))
+    is_last = F.col("_kind") == "last"
+    wide = each.groupBy(entity).pivot("_kind", ["all", "last", *names]).agg(F.coalesce(F.max(F.when(is_last, F.col("_value"))), F.sum(F.when(~is_last, F.col("_value")))))
+    return wide.select(entity, F.col("all").alias("n_events"), F.col("last").alias("last_at"), *(F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(n) for n in names))
