@@ -63,6 +63,7 @@ def value_shape(value: Column) -> Column:
     shape = F.regexp_replace(shape, r"\b(?=[a-f]*[0-9])[0-9a-f]{8,31}\b", "②")
     for least, sign in ((7, "③"), (4, "④"), (2, "⑤"), (1, "⑥")):
         shape = F.regexp_replace(shape, f"[0-9]{{{least},}}", sign)
+    shape = F.when(value.rlike("[0-9]"), shape).otherwise(value)  # without a digit all of these leave the value as it is
     return F.regexp_replace(F.regexp_replace(shape, r"\p{L}+", "a"), r"\s+", " ")
 
 
