@@ -14,8 +14,9 @@ HISTORY_BLOCK_S = 90 * 24 * 3600
 
 def platform(value: Column | str) -> Column:
     """Letters only, lower case, then the two known platforms as they are written; null reads as empty."""
-    letters = F.lower(F.regexp_replace(F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit("")), "[^A-Za-z]", ""))
-    return F.when(letters == "claudecode", "claude_code").when(letters == "claudedesktop", "claude_desktop").otherwise(letters)
+    given = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(""))
+    letters = F.lower(F.regexp_replace(given, "[^A-Za-z]", ""))
+    return F.when(given.isin("claude_code", "claude_desktop"), given).otherwise(F.regexp_replace(letters, "^claude(code|desktop)$", "claude_$1"))
 
 
 def with_machine(checkins: DataFrame) -> DataFrame:
