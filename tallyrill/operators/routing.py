@@ -56,6 +56,23 @@ def client_plan(entries: DataFrame, gateway: str, gateway_name: str) -> DataFram
     return plan.withColumn("already_wired", F.col("has_gateway") & (F.size("migrated") == 0))
 
 
+def is_gateway_server(name: Column, command: Column, gateway: str, gateway_name: str) -> Column:
+    """Whether a configured server is the gateway itself: by its name, or by its command's base name."""
+    return (S.text(name) == gateway_name) | (S.basename(command) == gateway.rpartition("/")[2])
+
+
+def gateway_backends(servers: DataFrame, gateway: str, gateway_name: str) -> DataFrame:
+    """The gateway's configured servers as a report shows them, by name: without the gateway itself, with a transport,
+    and the keys of environments and headers instead of their values."""
+    own = servers.where(~is_gateway_server(F.col("name"), F.col("command"), gateway, gateway_name))
+    return own.select("name", S.transport_loose(F.col("transport"), F.col("url")).alias("transport"), S.sorted_keys(F.col("env")).alias("env_keys"), S.sorted_keys(F.col("headers")).alias("header_keys")).orderBy("name")
+
+
+def project_hash(path: Column, project: Column, name: Column) -> Column:
+    """What tells a server of a project apart from those of the same name elsewhere."""
+    return S.short_hash(F.concat_ws("|", S.text(path), S.text(project), S.text(name)))
+
+
 def delete_by(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The table without the rows of some keys."""
     return table.join(keys.select(key), key, "left_anti").select(*table.columns)

@@ -13,7 +13,7 @@ from tallyrill.operators.detection import detect_text
 from tallyrill.operators.policy import usable_key
 from tallyrill.plans import events, inventory
 from tallyrill.plans.detection import first_rule
-from tallyrill.plans.inventory import _BACK, _DISC, _ENT, _NATIVE, GATEWAY, OLD_GATEWAY, STALE
+from tallyrill.plans.inventory import _DISC, _ENT, _LABEL, _NATIVE, GATEWAY, OLD_GATEWAY, STALE
 from tallyrill.plans.literals import Literal, sql_text
 from tallyrill.session import spread, table
 
@@ -75,6 +75,23 @@ def client_plans(spark: SparkSession, folder: str) -> DataFrame:
     return plan.withColumn("migrated", F.array_join("migrated", ",")).withColumn("native_kept", F.array_join("native_kept", ","))
 
 
+def project_plans(spark: SparkSession, folder: str) -> DataFrame:
+    """What a migration would do with each project of a source, a fourth of its entries being each of four projects."""
+    entries = inventory._entries(spark, folder).where("name <> ''").withColumn("scope", F.concat(F.lit("project-"), F.col("entry_id") % 4))
+    found = I.discover(I.dedupe_discovered(entries, ["entry_id"]), GATEWAY).withColumn("source_hash", R.project_hash(F.col("source_path"), F.col("scope"), F.col("name")))
+    plan = I.migration_plan(found, GATEWAY, STALE, ("client", "source_path", "scope"))
+    hashes = found.groupBy("client", "source_path", "scope").agg(F.min("source_hash").alias("first_hash"))
+    joined = plan.join(hashes, ["client", "source_path", "scope"])
+    return joined.select("client", "source_path", F.col("scope").alias("project"), F.array_join("migrated", ",").alias("migrated"), F.array_join("native_kept", ",").alias("native_kept"), "needs_rewrite", "already_routed", "first_hash")
+
+
+def configured_backends(spark: SparkSession, folder: str) -> DataFrame:
+    """One client's servers as the gateway's configured ones, shown without values."""
+    entries = inventory._entries(spark, folder).where("client = 'cowork'")
+    shown = R.gateway_backends(entries, GATEWAY, STALE)
+    return shown.select("name", "transport", F.array_join("env_keys", ",").alias("env_keys"), F.array_join("header_keys", ",").alias("header_keys"))
+
+
 def pruned_backends(spark: SparkSession, folder: str) -> DataFrame:
     """The gateway's backends without those that a client keeps for its own sign-in."""
     backends = inventory._backends(spark, folder)
@@ -162,7 +179,7 @@ def file_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    health_report, health_lines, discover_clients, tool_routes, response_threats, client_plans, pruned_backends, recovered_servers, upserted_servers, restored_servers, replaced_snapshots, paths_checked, managed_configs, connection_modes,
+    health_report, health_lines, discover_clients, tool_routes, response_threats, client_plans, project_plans, configured_backends, pruned_backends, recovered_servers, upserted_servers, restored_servers, replaced_snapshots, paths_checked, managed_configs, connection_modes,
     hook_envelopes, start_problems, first_answers, checkin_payloads, app_data, file_facts,
 )}
 
@@ -190,6 +207,13 @@ SQL = {
     "client_plans": f"""WITH e AS (SELECT *, {_NATIVE} AS native FROM (SELECT *, row_number() OVER (PARTITION BY client, source_path, name ORDER BY entry_id) AS rn FROM {_ENT} WHERE name <> '') WHERE rn = 1),
       p AS (SELECT client, source_path, bool_or(name = '{STALE}' AND coalesce(command = '{GATEWAY}' AND args[1] = 'server', false)) AS has_gateway, coalesce(string_agg(name, ',' ORDER BY name) FILTER (name <> '{STALE}' AND NOT native), '') AS migrated, coalesce(string_agg(name, ',' ORDER BY name) FILTER (name <> '{STALE}' AND native), '') AS native_kept FROM e GROUP BY ALL)
       SELECT *, has_gateway AND migrated = '' AS already_wired FROM p""",
+    "project_plans": f"""WITH e AS (SELECT *, 'project-' || (entry_id % 4) AS project FROM {_ENT} WHERE name <> ''), d AS (SELECT *, coalesce(command = '{GATEWAY}' AND args[1] = 'server', false) AS routed, coalesce(command = '{OLD_GATEWAY}' AND args[1] = 'server', false) AS stale, {_LABEL} AS label
+        FROM (SELECT *, row_number() OVER (PARTITION BY client, source_path, project, name ORDER BY entry_id) AS rn FROM e) WHERE rn = 1),
+      m AS (SELECT client, source_path, project, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT routed AND NOT stale AND label = 'local_routable'), '') AS migrated, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT routed AND NOT stale AND label = 'native_client_auth'), '') AS native_kept,
+        bool_or(stale) AS stale, bool_or(routed) AS routed, bool_and(routed OR label = 'native_client_auth') AS settled, min(substring(sha256(source_path || '|' || project || '|' || name), 1, 12)) AS first_hash FROM d GROUP BY ALL),
+      r AS (SELECT *, migrated <> '' OR stale OR (native_kept <> '' AND NOT routed) AS needs_rewrite FROM m) SELECT client, source_path, project, migrated, native_kept, needs_rewrite, NOT needs_rewrite AND settled AS already_routed, first_hash FROM r""",
+    "configured_backends": f"""SELECT name, {_LOOSE} AS transport, nullif(array_to_string(list_sort(map_keys(env)), ','), '') AS env_keys, nullif(array_to_string(list_sort(map_keys(headers)), ','), '') AS header_keys
+      FROM {_ENT} WHERE client = 'cowork' AND NOT (coalesce(name, '') = '{STALE}' OR coalesce(regexp_extract(regexp_replace(trim(command), '/+$', ''), '([^/]*)$', 1), '') = 'gateway-mcp')""",
     "pruned_backends": f"SELECT name, entry_id AS position FROM {_OWN_BACK} b WHERE NOT (name <> '' AND coalesce(url, '') <> '' AND {_NATIVE} AND EXISTS (SELECT 1 FROM {_ENT} o WHERE o.client <> 'cursor' AND o.name = b.name AND coalesce(o.url, '') = b.url AND {_NATIVE.replace('url', 'o.url').replace('transport', 'o.transport').replace('headers', 'o.headers')}))",
     "recovered_servers": f"SELECT name, url, 'client' AS origin FROM {_FIRST('claude-desktop')} UNION ALL SELECT name, url, 'gateway' FROM {_OWN_BACK} WHERE {_NATIVE} AND name NOT IN (SELECT name FROM {_FIRST('claude-desktop')})",
     "upserted_servers": f"""WITH f AS (SELECT name, entry_id FROM {_FIRST('cowork')}), u AS (SELECT name, entry_id FROM {_OWN_BACK} WHERE name NOT IN (SELECT name FROM f) UNION ALL SELECT * FROM f)
