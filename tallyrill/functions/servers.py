@@ -45,12 +45,12 @@ def needs_native_auth(transport: Column, url: Column, headers: Column) -> Column
 def routeability(transport: Column, url: Column, command: Column, headers: Column, default: str = "local_routable") -> Column:
     """(label, routable) of an entry."""
     outcome = lambda label, routable: F.struct(F.lit(label).alias("label"), F.lit(routable).alias("routable"))
-    if default == "remote_not_local":
+    if default == "cowork_remote_connector_not_local_routable":
         return outcome(default, False)
     kind = transport_exact(transport, url)
     blank_url, blank_command = F.trim(text(url)) == "", F.trim(text(command)) == ""
     review = F.when(kind == "http", blank_url).when(kind.isin("stdio", "local"), blank_command).otherwise(blank_url & blank_command)
-    return F.when(review, outcome("unknown_requires_review", False)).when((kind == "http") & needs_native_auth(transport, url, headers), outcome("native_client_auth", False)).otherwise(outcome(default, True))
+    return F.when(review, outcome("cowork_unknown_requires_review", False)).when((kind == "http") & needs_native_auth(transport, url, headers), outcome("native_client_auth_required", False)).otherwise(outcome(default, True))
 
 
 def clean_name(name: Column) -> Column:

@@ -113,7 +113,7 @@ def coverage(discovered: DataFrame, n_backends: Column | int) -> DataFrame:
 def disposition(gateway: str, stale_name: str) -> Column:
     """What a migration does with a discovered row: ``stale`` (rewritten), ``native_kept``, ``left`` or ``direct``."""
     stale = (F.col("route_state") != "routed") & (F.col("name") == stale_name) & (S.basename(F.col("command")) == gateway.rpartition("/")[2]) & (F.col("first_arg") == "server")
-    return F.when(stale, "stale").when(F.col("routeability") == "native_client_auth", "native_kept").when((F.col("route_state") == "routed") | ~F.col("routable"), "left").otherwise("direct")
+    return F.when(stale, "stale").when(F.col("routeability") == "native_client_auth_required", "native_kept").when((F.col("route_state") == "routed") | ~F.col("routable"), "left").otherwise("direct")
 
 
 def migration_plan(discovered: DataFrame, gateway: str, stale_name: str, by: Sequence[str] = ("client", "source_path")) -> DataFrame:

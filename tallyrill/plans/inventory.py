@@ -127,7 +127,7 @@ _T = "CASE WHEN coalesce(transport, '') IN ('sse', 'streamable-http') THEN 'http
 _NATIVE = """(trim(coalesce(url, '')) <> '' AND lower(trim(coalesce(transport, ''))) IN ('', 'http', 'sse', 'streamable-http') AND len(list_filter(map_entries(coalesce(headers, MAP {})), lambda e: trim(coalesce(e.value, '')) <> ''
   AND lower(trim(e.key)) IN ('authorization', 'proxy-authorization', 'cookie', 'x-api-key', 'api-key', 'x-auth-token', 'x-access-token'))) = 0)"""
 _REVIEW = f"CASE WHEN {_T} = 'http' THEN trim(coalesce(url, '')) = '' WHEN {_T} IN ('stdio', 'local') THEN trim(coalesce(command, '')) = '' ELSE trim(coalesce(url, '')) = '' AND trim(coalesce(command, '')) = '' END"
-_LABEL = f"CASE WHEN {_REVIEW} THEN 'unknown_requires_review' WHEN {_T} = 'http' AND {_NATIVE} THEN 'native_client_auth' ELSE 'local_routable' END"
+_LABEL = f"CASE WHEN {_REVIEW} THEN 'cowork_unknown_requires_review' WHEN {_T} = 'http' AND {_NATIVE} THEN 'native_client_auth_required' ELSE 'local_routable' END"
 _OWN = "SELECT entry_id, name, lower(client) AS client, coalesce(machine_id, '') AS source_path, command, args, env, transport, url, headers FROM server_entries"
 _ENT = f"""(WITH own AS ({_OWN}) SELECT * FROM own UNION ALL
   SELECT first + 1000000000, '{STALE}', client, source_path, CASE WHEN first % 3 = 0 THEN '{GATEWAY}' ELSE '{OLD_GATEWAY}' END, ['server'], NULL, NULL, NULL, NULL FROM (SELECT client, source_path, min(entry_id) AS first FROM own GROUP BY ALL) WHERE first % 3 < 2)"""
@@ -151,8 +151,8 @@ SQL = {
       c AS (SELECT count(*) FILTER (route_state = 'routed') AS routed, count(*) FILTER (route_state = 'direct') AS direct, count(*) FILTER (route_state = 'direct' AND routable) AS routable, count(*) FILTER (covered) AS covered_direct, (SELECT count(*) FROM {_BACK}) AS backends FROM d)
       SELECT *, CASE WHEN routed > 0 AND direct = 0 THEN CASE WHEN backends = 0 THEN 'cowork_gateway_entrypoint_routed_but_no_backends_configured' ELSE 'cowork_local_mcp_routed_native_connectors_require_zip' END
         WHEN routed > 0 THEN 'cowork_gateway_routed_but_direct_bypass_detected' WHEN covered_direct > 0 THEN 'cowork_gateway_covered_but_direct_bypass_detected' WHEN routable > 0 THEN 'cowork_servers_discovered_not_routed' ELSE 'no_cowork_servers_discovered' END AS verdict FROM c""",
-    "migration_plans": f"""WITH m AS (SELECT client, source_path, coalesce(string_agg(name, ',' ORDER BY name) FILTER (routable AND NOT stale), '') AS migrated, coalesce(string_agg(name, ',' ORDER BY name) FILTER (routeability = 'native_client_auth'), '') AS native_kept,
-        bool_or(stale) AS stale, bool_or(route_state = 'routed') AS routed, bool_and(route_state = 'routed' OR routeability = 'native_client_auth') AS settled FROM {_DISC} GROUP BY ALL),
+    "migration_plans": f"""WITH m AS (SELECT client, source_path, coalesce(string_agg(name, ',' ORDER BY name) FILTER (routable AND NOT stale), '') AS migrated, coalesce(string_agg(name, ',' ORDER BY name) FILTER (routeability = 'native_client_auth_required'), '') AS native_kept,
+        bool_or(stale) AS stale, bool_or(route_state = 'routed') AS routed, bool_and(route_state = 'routed' OR routeability = 'native_client_auth_required') AS settled FROM {_DISC} GROUP BY ALL),
       r AS (SELECT *, migrated <> '' OR stale OR (native_kept <> '' AND NOT routed) AS needs_rewrite FROM m)
       SELECT client, source_path, migrated, native_kept, needs_rewrite, NOT needs_rewrite AND settled AS already_routed FROM r""",
     "short_hash_names": f"""WITH r AS (SELECT *, {_CLEAN.format('name')} AS clean FROM {_DISC} WHERE route_state = 'direct' AND routable),

@@ -209,8 +209,8 @@ SQL = {
       SELECT *, has_gateway AND migrated = '' AS already_wired FROM p""",
     "project_plans": f"""WITH e AS (SELECT *, 'project-' || (entry_id % 4) AS project FROM {_ENT} WHERE name <> ''), d AS (SELECT *, coalesce(command = '{GATEWAY}' AND args[1] = 'server', false) AS routed, coalesce(command = '{OLD_GATEWAY}' AND args[1] = 'server', false) AS stale, {_LABEL} AS label
         FROM (SELECT *, row_number() OVER (PARTITION BY client, source_path, project, name ORDER BY entry_id) AS rn FROM e) WHERE rn = 1),
-      m AS (SELECT client, source_path, project, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT routed AND NOT stale AND label = 'local_routable'), '') AS migrated, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT routed AND NOT stale AND label = 'native_client_auth'), '') AS native_kept,
-        bool_or(stale) AS stale, bool_or(routed) AS routed, bool_and(routed OR label = 'native_client_auth') AS settled, min(substring(sha256(source_path || '|' || project || '|' || name), 1, 12)) AS first_hash FROM d GROUP BY ALL),
+      m AS (SELECT client, source_path, project, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT routed AND NOT stale AND label = 'local_routable'), '') AS migrated, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT routed AND NOT stale AND label = 'native_client_auth_required'), '') AS native_kept,
+        bool_or(stale) AS stale, bool_or(routed) AS routed, bool_and(routed OR label = 'native_client_auth_required') AS settled, min(substring(sha256(source_path || '|' || project || '|' || name), 1, 12)) AS first_hash FROM d GROUP BY ALL),
       r AS (SELECT *, migrated <> '' OR stale OR (native_kept <> '' AND NOT routed) AS needs_rewrite FROM m) SELECT client, source_path, project, migrated, native_kept, needs_rewrite, NOT needs_rewrite AND settled AS already_routed, first_hash FROM r""",
     "configured_backends": f"""SELECT name, {_LOOSE} AS transport, nullif(array_to_string(list_sort(map_keys(env)), ','), '') AS env_keys, nullif(array_to_string(list_sort(map_keys(headers)), ','), '') AS header_keys
       FROM {_ENT} WHERE client = 'cowork' AND NOT (coalesce(name, '') = '{STALE}' OR coalesce(regexp_extract(regexp_replace(trim(command), '/+$', ''), '([^/]*)$', 1), '') = 'gateway-mcp')""",

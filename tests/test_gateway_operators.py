@@ -11,11 +11,12 @@ from tallyrill.functions import gojson
 from tallyrill.functions import servers as S
 from tallyrill.functions.rules import POISON, SENSITIVE, THREAT, java_pattern
 from tallyrill.operators import inventory as I
+from tallyrill.operators import routing as R
 from tallyrill.operators.detection import RESULT, detect_calls, detect_descriptions, detect_text, escalate, result, tool_text
 from tallyrill.operators.policy import Policy, evaluate, merge, rank
-from tallyrill.operators import routing as R
 from tallyrill.operators.posture import document_facts, find_values, redacted_json, score
 from tallyrill.sources import configs, eventlog, rpc, sinks
+from tallyrill.sources.discovery import discover_home
 from tallyrill.streaming import gateway
 
 
@@ -150,7 +151,7 @@ def test_inventory(spark):
     rows_ = [("s", "c", "user", "config", "p", "npx", ["-y"], {"B": "1", "A": "2"}, "", None, None), ("h", "c", "user", "config", "p", None, None, None, "sse", "https://x", {"X-Api-Key": " "}), ("g", "c", "user", "config", "p", "/opt/gw", ["server"], None, None, None, None), ("e", "c", "user", "config", "q", " ", None, None, None, None, None), ("gw", "c", "user", "config", "q", "/old/gw", ["server"], None, None, None, None)]
     df = spark.createDataFrame(rows_, "name string, client string, scope string, source_kind string, source_path string, command string, args array<string>, env map<string,string>, transport string, url string, headers map<string,string>").withColumn("__tr", F.lit(1))
     found = I.discover(df, "gw")
-    assert rows(found, "name", "transport", "route_state", "routeability", "routable") == [("e", "stdio", "direct", "unknown_requires_review", False), ("g", "stdio", "routed", "local_routable", False), ("gw", "stdio", "routed", "local_routable", False), ("h", "http", "direct", "native_client_auth", False), ("s", "stdio", "direct", "local_routable", True)]
+    assert rows(found, "name", "transport", "route_state", "routeability", "routable") == [("e", "stdio", "direct", "cowork_unknown_requires_review", False), ("g", "stdio", "routed", "local_routable", False), ("gw", "stdio", "routed", "local_routable", False), ("h", "http", "direct", "native_client_auth_required", False), ("s", "stdio", "direct", "local_routable", True)]
     assert found.where("name = 's'").collect()[0]["env_keys"] == ["A", "B"]
     plan = {r["source_path"]: r for r in I.migration_plan(found, "gw", "gw").collect()}
     assert (plan["p"]["migrated"], plan["p"]["native_kept"], plan["p"]["needs_rewrite"]) == (["s"], ["h"], True) and not plan["q"]["needs_rewrite"] and not plan["q"]["already_routed"]
@@ -259,3 +260,26 @@ def test_sources_by_client(spark):
     assert rows(I.discover_sources(sources, "cursor"), "name") == [("c",)]
     with pytest.raises(ValueError, match="unknown client"):
         I.discover_sources(sources, "emacs")
+
+
+def test_discovery_of_a_home(spark, tmp_path):
+    home, cwd = tmp_path / "home", tmp_path / "work"
+    server = lambda **more: {"mcpServers": {"s": {"command": "c", **more}, "": {"command": "x"}}}
+    texts = {
+        home / ".claude.json": {**server(), "projects": {str(cwd): {"mcpServers": {"p": {"command": "c"}}}, "/other": {"mcpServers": {"q": {"command": "c"}}}}}, home / ".claude/settings.json": server(), home / ".cursor/mcp.json": server(type="sse", url="https://x"), cwd / ".mcp.json": server(),
+        home / ".config/Claude/claude_desktop_config.json": {"mcpServers": {"gateway": {"command": "/opt/gateway", "args": ["server"]}}}, home / ".config/Claude/local-agent-mode-sessions/a/plugin/.mcp.json": server(), home / ".config/Claude/local-agent-mode-sessions/node_modules/.mcp.json": server(),
+        **{home / f".config/Claude/local-agent-mode-sessions/{d}/local_1.json": {"remoteMcpServersConfig": [{"uuid": "u", "name": "My Docs", "url": "https://d", "headers": {"Authorization": "t"}}]} for d in "ab"},
+    }
+    for path, text in texts.items():
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(json.dumps(text))
+    found = discover_home(spark, str(home), str(cwd))
+    got = [(r["client"], r["source_kind"], r["scope"], r["name"], r["route_state"], r["routeability"]) for r in found.collect()]
+    assert got == [
+        ("claude-code", "claude_code_settings", "global", "s", "direct", "local_routable"), ("claude-code", "claude_json_project", "local", "p", "direct", "local_routable"), ("claude-code", "claude_json_user", "user", "s", "direct", "local_routable"), ("claude-code", "project_mcp_json", "project", "s", "direct", "local_routable"),
+        ("claude-desktop", "claude_desktop_config", "global", "gateway", "routed", "local_routable"), ("cowork", "claude_desktop_config", "global", "gateway", "routed", "local_routable"), ("cowork", "cowork_plugin_mcp", "plugin", "s", "direct", "cowork_local_plugin_mcp_routable"),
+        ("cowork", "cowork_remote_mcp_config", "remote", "my-docs", "direct", "cowork_remote_mcp_routable"), ("cursor", "cursor_mcp_json", "global", "s", "direct", "native_client_auth_required"),
+    ]
+    assert discover_home(spark, str(home), client="cursor").count() == 1 and discover_home(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError, match="unknown client"):
+        discover_home(spark, str(home), client="emacs")
