@@ -30,7 +30,9 @@ def route_calls(calls: DataFrame, tools: DataFrame, tool: str) -> DataFrame:
 def response_events(judged: DataFrame, policy_mode: dict[str, str], local_mode: dict[str, str], enforce: bool) -> DataFrame:
     """Of judged responses (server_name, tool_name, detection, ...) the events that the gateway logs: one
     ``mcp.threat_detected`` row for each that doesn't pass, with what becomes of the response."""
-    lifted = judged.withColumn("__tr_d", escalate(F.col("detection"), policy_mode, local_mode)).where("__tr_d.verdict <> 'pass'")
+    # what doesn't pass is unfolded, not filtered: a filter would be pushed below the rules and try them all once more
+    found = judged.withColumn("__tr_x", F.explode(F.filter(F.array("detection"), lambda d: d["verdict"] != "pass")))
+    lifted = found.withColumn("__tr_d", escalate(F.col("__tr_x"), policy_mode, local_mode))
     return lifted.select(*(c for c in judged.columns if c != "detection"), F.lit("mcp.threat_detected").alias("event_type"), *(F.col(f"__tr_d.{f}").alias(f) for f in ("verdict", "severity", "pattern_name", "category", "description")), F.when(action(F.col("__tr_d.verdict"), enforce) == "blocked", "withheld").otherwise("forwarded").alias("action"))
 
 
